@@ -6,17 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.packing import PackingParams, pack_documents
 from millrace.llm.simhash import simhash_components
+from millrace.llm.tokenfile import encode_and_read_back
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids in bit-packed files, in ascending id order, read back from the files."""
+    return encode_and_read_back(_table(spark, sf_dir, "documents"), end_id=2)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 ids."""
+    return pack_documents(_table(spark, sf_dir, "documents"), params=PackingParams(capacity=4096, end_id=1))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, links within 2 bits, components of all documents."""
     return simhash_components(_table(spark, sf_dir, "documents"), ngram=3, radius=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_simhash": op8_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_file": op5_token_file,
+    "op7_packing": op7_packing,
+    "op8_simhash": op8_simhash,
+}
 ORACLE_SQL: dict[str, str] = {}
