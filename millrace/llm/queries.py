@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import decontam, secrets
 from millrace.llm.packing import PackingParams, pack_documents
+from millrace.llm.sharding import reshard_documents
 from millrace.llm.simhash import simhash_components
 from millrace.llm.tokenfile import encode_and_read_back
 
@@ -15,11 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside windows of 10 words of benchmark items."""
+    return decontam.document_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids in bit-packed files, in ascending id order, read back from the files."""
     return encode_and_read_back(_table(spark, sf_dir, "documents"), end_id=2)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; the source is both the repository and the owner."""
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
     return pack_documents(_table(spark, sf_dir, "documents"), params=PackingParams(capacity=4096, end_id=1))
@@ -30,9 +42,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), ngram=3, radius=2)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents from 16 old into 24 new shards of near equal sizes."""
+    return reshard_documents(_table(spark, sf_dir, "documents"), n_old=16, n_new=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op5_token_file": op5_token_file,
+    "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_sharding": op9_sharding,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontam.ORACLE_SQL,
+    "op6_secrets": secrets.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
