@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontam, secrets
+from millrace.llm.htmltext import extract_main_text
 from millrace.llm.packing import PackingParams, pack_documents
+from millrace.llm.quality import QualityParams, score_documents
 from millrace.llm.sharding import reshard_documents
 from millrace.llm.simhash import simhash_components
 from millrace.llm.tokenfile import encode_and_read_back
@@ -17,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels of rows that are not held out."""
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), QualityParams())
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside windows of 10 words of benchmark items."""
     return decontam.document_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
@@ -47,13 +54,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard_documents(_table(spark, sf_dir, "documents"), n_old=16, n_new=24)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages, with the templates of their hosts taken out."""
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op5_token_file": op5_token_file,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontam.ORACLE_SQL,
