@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, secrets
+from millrace.llm import decontam, linededup, secrets
 from millrace.llm.htmltext import extract_main_text
+from millrace.llm.linededup import dedup_lines
 from millrace.llm.packing import PackingParams, pack_documents
 from millrace.llm.quality import QualityParams, score_documents
+from millrace.llm.rpforest import ForestParams, embedding_components
 from millrace.llm.sharding import reshard_documents
 from millrace.llm.simhash import simhash_components
 from millrace.llm.tokenfile import encode_and_read_back
@@ -19,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 or more between all vectors of a label, and their components."""
+    return embedding_components(_table(spark, sf_dir, "embeddings"), params=ForestParams(threshold=0.93))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from the labels of rows that are not held out."""
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), QualityParams())
@@ -29,6 +36,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.document_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that have an earlier line within one character edit."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_words=5, edit_bound=1, count_cols=True)
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids in bit-packed files, in ascending id order, read back from the files."""
     return encode_and_read_back(_table(spark, sf_dir, "documents"), end_id=2)
@@ -60,8 +73,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_forest": op1_embedding_forest,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_file": op5_token_file,
     "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
@@ -71,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontam.ORACLE_SQL,
+    "op4_line_dedup": linededup.ORACLE_SQL,
     "op6_secrets": secrets.ORACLE_SQL,
 }
