@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 Vectors of a label (and dimension) are one root. A node over ``leaf_rows`` vectors is split at the median of a random
-projection, and both sides overlap: vectors between the quantiles ``0.5 - spill`` and ``0.5 + spill`` go to both.
+projection, and both sides overlap: vectors between the quantiles ``0.5 - spill`` and ``0.5 + spill``, or within a
+margin of the median, go to both.
 Thresholds come from a sample of bounded size of each node; every vector is routed. Several levels are cut in a
 round, and rounds go on until all leaves are small, so leaves keep their size as the table grows. Vectors are compared
 within leaves by cosine in double precision. A pair that meets in several leaves is counted in the one with the
@@ -28,7 +29,9 @@ class ForestParams:
     threshold: float = 0.93
     trees: int = 6
     leaf_rows: int = 512
-    spill: float = 0.1
+    spill: float = 0.1  # least and most share of a node on either side of the median that goes both ways
+    most_spill: float = 0.25
+    margin: float = 1.0  # half the overlap, in standard deviations of the projected difference of a linked pair
     levels: int = 5  # levels that are cut in a round
     sample: int = 4096  # vectors that a node's thresholds are taken from
     max_depth: int = 50
@@ -54,7 +57,13 @@ def cut_node(rows: np.ndarray, tree: int, node: int, count: int, p: ForestParams
         if level == p.levels or size <= p.leaf_rows or len(part) < 16:
             continue
         x = part @ direction(p.seed, tree, at, part.shape[1])
-        low, high = np.quantile(x, [0.5 - p.spill, 0.5 + p.spill])
+        outer_low, low, middle, high, outer_high = np.quantile(
+            x, [0.5 - p.most_spill, 0.5 - p.spill, 0.5, 0.5 + p.spill, 0.5 + p.most_spill]
+        )
+        # in a dense stretch the overlap is widened, so that linked vectors seldom fall on either side of it
+        width = p.margin * np.sqrt(2 * (1 - p.threshold) / part.shape[1])
+        low = max(outer_low, min(low, middle - width))
+        high = min(outer_high, max(high, middle + width))
         if not x.min() < low or not high < x.max():
             continue
         cuts.append((at, float(low), float(high)))
