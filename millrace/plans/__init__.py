@@ -1,0 +1,24 @@
+"""Whole plans: from documents to chunks, reports and indexes; and helpers for building plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once, however often they are used.
+
+    The optimizer merges projections, and repeats an expression at each use; it does not reach through a generator.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    all_ = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return df.select(*keep, F.explode(F.array(all_)).alias("__computed")).select(
+        *keep, *[F.col(f"__computed.{k}").alias(k) for k in columns]
+    )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than that; larger inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
