@@ -93,39 +93,34 @@ def _near(ws: Workspace, placed: DataFrame, distinct: DataFrame, min_words: int)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     meeting = ws.table(keyed.join(shared, "key", "left_semi").select("h").distinct(), "meeting")
     maybe = maybe_in(_lines(placed, min_words), ws.table(fixed_filter(meeting, "h"), "filter"), "h").where("maybe")
-    texts = ws.table(
-        maybe.join(meeting, "h", "left_semi").groupBy("h")
-        .agg(F.min(F.struct("id", "place", "pos")).alias("ord"), F.first("line").alias("line")),
-        "texts",
-    )
+    first = maybe.join(meeting, "h", "left_semi").groupBy("h").agg(
+        F.min(F.struct("id", "place", "pos")).alias("ord"), F.first("line").alias("line")
+    )
+    # numbers that follow the order of first occurrence, so that eight bytes of it travel with each variant
+    ranged = first.repartitionByRange("ord").sortWithinPartitions("ord")
+    texts = ws.table(ranged.select("h", "line", F.monotonically_increasing_id().alias("who")), "texts")
 
     def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes, places, rows = [], [], []
-            for row, line in enumerate(batch["line"]):
+            hashes, places, owners, held = [], [], [], 0
+            for who, line in zip(batch["who"], batch["line"]):
                 whole, parts = deletion_hashes(line)
                 hashes.append(np.concatenate([[whole], parts]).astype(np.int64))
                 places.append(np.arange(-1, len(parts), dtype=np.int32))
-                rows.append(np.full(len(parts) + 1, row))
-                if sum(map(len, rows)) > 200_000:
-                    yield frame(batch, hashes, places, rows)
-                    hashes, places, rows = [], [], []
-            if rows:
-                yield frame(batch, hashes, places, rows)
-
-    def frame(batch, hashes, places, rows) -> pd.DataFrame:
-        at = np.concatenate(rows)
-        return pd.DataFrame({
-            "vh": np.concatenate(hashes), "at": np.concatenate(places), "h": batch["h"].to_numpy()[at],
-            "id": batch["id"].take(at).reset_index(drop=True), "place": batch["place"].to_numpy()[at],
-            "pos": batch["pos"].to_numpy()[at],
-        })
-
-    kind = placed.schema["id"].dataType.simpleString()
-    source = texts.select("h", "line", "ord.id", "ord.place", "ord.pos")
-    emitted = source.mapInPandas(variants, f"vh long, at int, h binary, id {kind}, place long, pos int").select(
-        "vh", "at", F.struct(F.struct("id", "place", "pos").alias("ord"), "h").alias("who")
-    )
+                owners.append(np.full(len(parts) + 1, who))
+                held += len(parts)
+                if held > 200_000:
+                    yield frame(hashes, places, owners)
+                    hashes, places, owners, held = [], [], [], 0
+            if owners:
+                yield frame(hashes, places, owners)
+
+    def frame(hashes, places, owners) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"vh": np.concatenate(hashes), "at": np.concatenate(places), "who": np.concatenate(owners)}
+        )
+
+    emitted = texts.select("who", "line").mapInPandas(variants, "vh long, at int, who long")
     deleted, entire = F.when(F.col("at") >= 0, F.col("who")), F.when(F.col("at") < 0, F.col("who"))
     met = emitted.select(
         "vh", "at", "who",
@@ -135,11 +130,10 @@ def _near(ws: Workspace, placed: DataFrame, distinct: DataFrame, min_words: int)
     )
     partner = F.when(F.col("at") < 0, F.col("longer")).otherwise(F.least("same_place", "shorter"))
     earlier = (
-        met.select("who", partner.alias("partner")).where(F.col("partner.ord") < F.col("who.ord"))
-        .groupBy(F.col("who.h").alias("h")).agg(F.min("partner").alias("p")).select("h", F.col("p.h").alias("other"))
-    )
-    verified = earlier.join(texts.select("h", "line"), "h").join(
-        texts.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other"
+        met.select("who", partner.alias("other")).where("other < who").groupBy("who").agg(F.min("other").alias("other"))
+    )
+    verified = earlier.join(texts, "who").join(
+        texts.select(F.col("who").alias("other"), F.col("line").alias("other_line")), "other"
     )
     return verified.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select("h")
 
@@ -178,12 +172,13 @@ def dedup_lines(
     else:
         repeated = repeated.withColumn("near", F.lit(False))
     later = F.coalesce(F.col("near"), F.lit(False)) | (F.struct("id", "place", "pos") > F.col("first"))
-    gone = lines.select("id", "place", "pos", "h").join(repeated, "h").where(later)
+    # these tables grow with the documents, so they are joined by shuffles at every size
+    gone = lines.select("id", "place", "pos", "h").join(repeated.hint("merge"), "h").where(later)
     removed = ws.table(gone.groupBy("place").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "removed")
 
     filter_ = ws.table(fixed_filter(removed, "place"), "filter")
     marked = maybe_in(rows.withColumnRenamed("__place", "place"), filter_, "place")
-    hit = marked.where("maybe").join(removed, "place", "left")
+    hit = marked.where("maybe").join(removed.hint("merge"), "place", "left")
     each = F.split(F.col(text_col).cast("string"), "\n")
     kept = F.filter(each, lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
