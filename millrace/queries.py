@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -157,7 +158,7 @@ def doc_chunks(spark, sf_dir):
 
 @query
 def ready_chunks(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
+    chunks = _chunks(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # used three times
     return quality.ready_chunks(chunks, quality.chunk_issues(chunks, CONFIG)).select(
         "doc_id", "chunk_id", "chunk_index", "word_count", "content_hash"
     )
