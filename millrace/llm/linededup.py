@@ -69,9 +69,9 @@ def maybe_in(df: DataFrame, filter_: DataFrame, key: str) -> DataFrame:
 def _lines(placed: DataFrame, min_words: int) -> DataFrame:
     """(id, place, pos, line, h) of the lines that take part: those of ``min_words`` words, without outer white space."""
     each = placed.select("id", "place", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    line = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    words = F.size(F.split(line, r"\s+"))
-    return each.select("id", "place", "pos", line.alias("line")).where(words >= min_words).withColumn(
+    line = F.btrim("raw", F.lit(" \t\r\f\x0b"))
+    enough = rf"^\S+(?:\s+\S+){{{min_words - 1}}}" if min_words > 0 else ""
+    return each.select("id", "place", "pos", line.alias("line")).where(F.col("line").rlike(enough)).withColumn(
         "h", F.unhex(F.md5("line"))
     )
 
@@ -197,7 +197,7 @@ def dedup_lines(
     )
 
 
-_TRIMMED = r"regexp_replace(raw, '^\s+|\s+$', '', 'g')"
+_TRIMMED = r"regexp_replace(raw, '^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+$', '', 'g')"
 ORACLE_SQL = rf"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 e AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM s),
