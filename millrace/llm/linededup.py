@@ -153,11 +153,10 @@ def dedup_lines(
     if edit_bound not in (0, 1):
         raise ValueError("edit_bound is 0 or 1")
     ws = Workspace(docs.sparkSession, "linededup")
-    columns = docs.columns
-    rows = docs.withColumn("__place", F.monotonically_increasing_id())
-    placed = rows.select(
-        F.col(id_col).alias("id"), F.col("__place").alias("place"), F.col(text_col).cast("string").alias("text")
-    )
+    # the documents' own columns are kept in a struct, so that no name of theirs can clash
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place"))
+    own = {c: F.col("doc").getField(c) for c in docs.columns}
+    placed = rows.select(own[id_col].alias("id"), "place", own[text_col].cast("string").alias("text"))
     lines = ws.table(
         _lines(placed, min_words).select("id", "place", "pos", "h", _half_keys(F.col("line")).alias("keys")), "lines"
     )
@@ -177,23 +176,19 @@ def dedup_lines(
     removed = ws.table(gone.groupBy("place").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "removed")
 
     filter_ = ws.table(fixed_filter(removed, "place"), "filter")
-    marked = maybe_in(rows.withColumnRenamed("__place", "place"), filter_, "place")
+    marked = maybe_in(rows, filter_, "place")
     hit = marked.where("maybe").join(removed.hint("merge"), "place", "left")
-    each = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.filter(each, lambda _, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    out = hit.withColumn("__new", text).unionByName(
-        marked.where("not maybe").withColumn("gone", F.lit(None).cast("array<int>")).withColumn("__new", F.col(text_col))
-    )
+    out = hit.unionByName(marked.where("not maybe").withColumn("gone", F.lit(None).cast("array<int>")))
+    parts = F.split(own[text_col].cast("string"), "\n")
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    out = out.withColumn("new", F.when(F.col("gone").isNotNull(), kept).otherwise(own[text_col]))
     if drop_emptied:
-        out = out.where(F.col("gone").isNull() | F.col("__new").rlike(r"\S"))
-    n_lines = F.coalesce(F.size(each), F.lit(0)).cast("long")
-    counts = [n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
-    if count_cols:
-        counts[0] = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines")
-        counts[1] = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(F.size("gone")).cast("long").alias("n_removed")
+        out = out.where(F.col("gone").isNull() | F.col("new").rlike(r"\S"))
+    n_lines = F.when(own[text_col].isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")
     return out.select(
-        *[F.col("__new").alias(c) if c == text_col else F.col(c) for c in columns], *(counts if count_cols else [])
+        *[(F.col("new") if c == text_col else own[c]).alias(c) for c in docs.columns],
+        *([n_lines, n_removed] if count_cols else []),
     )
 
 
