@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,17 +28,18 @@ from millrace.llm.workspace import Workspace
 @dataclass(frozen=True)
 class ForestParams:
     threshold: float = 0.93
-    trees: int = 6
-    leaf_rows: int = 512
+    trees: int = 4
+    leaf_rows: int = 4096  # compared by matrix products of a few hundred rows at a time
     spill: float = 0.1  # least and most share of a node on either side of the median that goes both ways
     most_spill: float = 0.25
     margin: float = 1.0  # half the overlap, in standard deviations of the projected difference of a linked pair
     levels: int = 5  # levels that are cut in a round
-    sample: int = 4096  # vectors that a node's thresholds are taken from
+    sample: int = 8192  # vectors that a node's thresholds are taken from
     max_depth: int = 50
     seed: int = 17
 
 
+@lru_cache(maxsize=4096)
 def direction(seed: int, tree: int, node: int, size: int) -> np.ndarray:
     v = np.random.default_rng([seed, int(tree), int(node), size]).standard_normal(size)
     return v / np.linalg.norm(v)
@@ -190,7 +192,8 @@ def embedding_components(
     null id keeps its row, unkept. An empty table gives an empty result.
     """
     ws, p = Workspace(embeddings.sparkSession, "rpforest"), params
-    vector = F.col(vector_col).cast("array<double>")
+    kind = embeddings.schema[vector_col].dataType.simpleString()
+    vector = F.col(vector_col) if kind == "array<float>" else F.col(vector_col).cast("array<double>")
     rows = embeddings.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), vector.alias("vec"))
     rows = rows.withColumn("good", _usable(F.col("vec")) & F.col("label").isNotNull())
     rows = ws.table(rows.withColumn("hash", F.xxhash64("label", "vec")), "rows")
