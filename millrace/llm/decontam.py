@@ -19,11 +19,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.tokenfile import open_fs
-from millrace.llm.workspace import Workspace
+from millrace.llm.workspace import Workspace, release
 
 #: Bytes of words: digits, letters A-Z as a-z, and all of non-ASCII characters; others part words.
 WORD_BYTES = bytes(
@@ -228,28 +228,32 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 FINDINGS = "n_words long, n_hit long, items array<string>, begins array<int>, ends array<int>"
 
 
-def contamination(parts: Parts):
-    """A column function of a binary text: its words, hit words, items, and hit runs as word numbers [begin, end)."""
+def findings(parts: Parts, texts: pd.Series) -> dict[str, list]:
+    """Of each binary text its words, hit words, items, and hit runs as word numbers [begin, end)."""
+    split = [words_of(t) for t in texts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in split]
+    items: list[set[str]] = [set() for _ in split]
+    for path in parts.paths:
+        automaton = _kept(path) if len(parts.paths) == 1 else _load(path)
+        for k, words in enumerate(split):
+            for begin, end, places in automaton.windows(words):
+                spans[k].append((begin, end))
+                items[k].update(str(automaton.ids[p]) for p in places if automaton.ids[p] is not None)
+    runs = [merged(s) for s in spans]
+    return {
+        "n_words": [len(w) for w in split], "n_hit": [sum(e - b for b, e in r) for r in runs],
+        "items": [sorted(i) for i in items], "begins": [[b for b, _ in r] for r in runs],
+        "ends": [[e for _, e in r] for r in runs],
+    }
 
-    @F.pandas_udf(FINDINGS)
-    def find(texts: pd.Series) -> pd.DataFrame:
-        split = [words_of(t) for t in texts]
-        spans: list[list[tuple[int, int]]] = [[] for _ in split]
-        items: list[set[str]] = [set() for _ in split]
-        for path in parts.paths:
-            automaton = _kept(path) if len(parts.paths) == 1 else _load(path)
-            for k, words in enumerate(split):
-                for begin, end, places in automaton.windows(words):
-                    spans[k].append((begin, end))
-                    items[k].update(str(automaton.ids[p]) for p in places if automaton.ids[p] is not None)
-        runs = [merged(s) for s in spans]
-        return pd.DataFrame({
-            "n_words": [len(w) for w in split], "n_hit": [sum(e - b for b, e in r) for r in runs],
-            "items": [sorted(i) for i in items], "begins": [[b for b, _ in r] for r in runs],
-            "ends": [[e for _, e in r] for r in runs],
-        })
-
-    return find
+
+def _without_spans(text: str, runs: list[tuple[int, int]]) -> str:
+    places = [m.span() for m in WORD.finditer(text)]
+    kept, at = [], 0
+    for begin, end in runs:
+        kept.append(text[at : places[begin][0]])
+        at = places[end - 1][1]
+    return "".join([*kept, text[at:]])
 
 
 def scan_documents(
@@ -263,7 +267,12 @@ def scan_documents(
     """
     ws = Workspace(docs.sparkSession, "decontam")
     parts = build_automata(ws, benchmark, item_id_col, item_text_col, window, part_words)
-    return docs.withColumn(as_col, contamination(parts)(F.col(text_col).cast("binary")))
+
+    @F.pandas_udf(FINDINGS)
+    def find(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(findings(parts, texts))
+
+    return docs.withColumn(as_col, find(F.col(text_col).cast("binary")))
 
 
 def _without_spans(text: str, runs: list[tuple[int, int]]) -> str:
@@ -286,16 +295,31 @@ def _cut_column(text: Column, begins: Column, ends: Column) -> Column:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", **kw
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text", part_words: int = 200_000,
+) -> DataFrame:
     """``docs`` without what it shares with the benchmark: hit runs are cut out of their texts, and a document of
     whose words more than ``max_coverage`` are hit is removed. Other rows, null and empty texts among them, and
     all other columns stay as they are."""
-    found = scan_documents(docs, benchmark, window, text_col, as_col="__found", **kw)
-    stay = found.where(F.col("__found.n_hit") <= max_coverage * F.col("__found.n_words"))
-    cut = _cut_column(F.col(text_col), F.col("__found.begins"), F.col("__found.ends"))
-    text = F.when(F.col("__found.n_hit") > 0, cut).otherwise(F.col(text_col))
-    return stay.withColumn(text_col, text).select(*docs.columns)
+    ws = Workspace(docs.sparkSession, "decontam")
+    parts = build_automata(ws, benchmark, item_id_col, item_text_col, window, part_words)
+
+    @F.pandas_udf("n_words long, n_hit long, text string")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = findings(parts, texts)
+            cut = [
+                _without_spans(t.decode("utf-8", "replace"), list(zip(b, e))) if b else None
+                for t, b, e in zip(texts, found["begins"], found["ends"])
+            ]
+            yield pd.DataFrame({"n_words": found["n_words"], "n_hit": found["n_hit"], "text": cut})
+        release()
+
+    own = {c: F.col("doc").getField(c) for c in docs.columns}
+    rows = docs.select(F.struct("*").alias("doc"), clean(F.col(text_col).cast("binary")).alias("found"))
+    stay = rows.where(F.col("found.n_hit") <= max_coverage * F.col("found.n_words"))
+    text = F.when(F.col("found.n_hit") > 0, F.col("found.text")).otherwise(own[text_col])
+    return stay.select(*[(text if c == text_col else own[c]).alias(c) for c in docs.columns])
 
 
 def document_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

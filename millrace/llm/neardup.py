@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import connected_components, union_labels
 from millrace.llm.linededup import fixed_filter, maybe_in
 from millrace.llm.simhash import BLOCK, TILE_ROWS, majority_bits, shingle_hashes
-from millrace.llm.workspace import Workspace
+from millrace.llm.workspace import Workspace, release
 
 WORDS = 4
 
@@ -112,10 +112,12 @@ def _closest(labels: np.ndarray, i, j, d):
 def near_duplicate_groups(
     ws: Workspace, docs: DataFrame, id_col: str, text_col: str, params: NearDupParams
 ) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with ``place``, (place, first) of each document that is not the first of its group)."""
+    """((doc, place) of each document, (place, first) of each document that is not the first of its group)."""
     p, kind = params, docs.schema[id_col].dataType.simpleString()
-    placed = docs.withColumn("place", F.monotonically_increasing_id())
-    source = placed.select(F.col(id_col).alias("id"), "place", F.col(text_col).cast("binary").alias("text"))
+    # the documents' own columns are kept in a struct, so that no name of theirs can clash
+    placed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place"))
+    own = {c: F.col("doc").getField(c) for c in docs.columns}
+    source = placed.select(own[id_col].alias("id"), "place", own[text_col].cast("binary").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,6 +127,7 @@ def near_duplicate_groups(
                 "id": batch["id"], "place": batch["place"], "n": np.array([f[1] for f in found], np.int64),
                 **{f"w{k}": words[:, k] for k in range(WORDS)},
             })
+        release()
 
     names = [f"w{k}" for k in range(WORDS)]
     marked = ws.table(
@@ -187,7 +190,8 @@ def _verify(
         "asked",
     )
     filter_ = ws.table(fixed_filter(nodes, "place"), "filter")
-    texts = maybe_in(placed.select("place", F.col(text_col).cast("binary").alias("text")), filter_, "place").where("maybe")
+    text = F.col("doc").getField(text_col).cast("binary").alias("text")
+    texts = maybe_in(placed.select("place", text), filter_, "place").where("maybe")
     texts = texts.drop("maybe").join(nodes, "place").select("node", "text")
 
     @F.pandas_udf("double")
@@ -210,4 +214,5 @@ def drop_near_duplicates(
     """
     ws = Workspace(docs.sparkSession, "neardup")
     placed, later = near_duplicate_groups(ws, docs, id_col, text_col, params)
-    return placed.join(later.select("place"), "place", "left_anti").select(*docs.columns)
+    kept = placed.join(later.select("place"), "place", "left_anti")
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import ship_package
+from millrace.llm.workspace import narrow_batches, release
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 #: All n-grams that begin and end with the same word share a slot, whatever the word.
 REPEATED = 0x7265706561740000
 
@@ -85,7 +85,8 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], params: QualityPar
         return -shrunk / ((params.beta + np.sqrt(n[at])) / params.alpha + params.l2)
 
     for _ in range(params.epochs):
-        for slots, values, label in examples:
+        for slots, values, label in examples:  # kept narrow; an example at a time is widened
+            slots, values = slots.astype(np.int64), values.astype(float)
             w = weights(slots)
             g = (sigmoid(w @ values) - label) * values
             g2 = g * g
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     At most about ``train_rows`` labelled rows are used, chosen by the hash of their id, so the broadcast table of
     ids, the training task and the weights that the driver gets are all of bounded size.
     """
-    ship_package(docs.sparkSession)
+    narrow_batches(docs.sparkSession)
     labelled = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     share = min(1.0, params.train_rows / max(1, labelled.count()))
     picked = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
@@ -120,12 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for batch in batches for r in zip(batch["order"], batch["slots"], batch["values"], batch["label"])]
         rows.sort(key=lambda r: r[:2])
-        examples = [
-            (np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), int(y))
-            for _, s, v, y in rows
-        ]
-        del rows
+        examples = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32), int(y)) for _, s, v, y in rows]
         yield pd.DataFrame({"weights": [train(examples, params).tobytes()]})
+        del examples, rows
+        release()
 
     source = joined.select(
         F.xxhash64("doc_id", F.lit(5)).alias("order"), F.col("quality").cast("int").alias("label"), "text"
@@ -139,17 +138,19 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
 
 def score_column(docs: DataFrame, weights: np.ndarray, params: QualityParams, text_col: str = "text"):
     """The score of a text as a column; the weights, of fixed size, are broadcast."""
-    shared = ship_package(docs.sparkSession).sparkContext.broadcast(weights)
+    shared = narrow_batches(docs.sparkSession).sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = shared.value
 
         def one(text: str | None) -> float:
             slots, values = features(text, params)
             return float(sigmoid(w[slots].astype(float) @ values))
 
-        return pd.Series([one(t) for t in texts], dtype=float)
+        for texts in batches:
+            yield pd.Series([one(t) for t in texts], dtype=float)
+        release()
 
     return score(F.col(text_col).cast("string"))
 

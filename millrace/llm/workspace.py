@@ -7,6 +7,8 @@ temporary folder of this machine set instead.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -29,11 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def narrow_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
+    """Ship the package, and let Python get at most ``rows`` texts at once, where the session has Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+    return ship_package(spark)
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the machine; idle workers are kept for later tasks."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 class Workspace:
     """A folder of intermediate Parquet tables of one operator call, removed when the driver exits."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = ship_package(spark)
+        self.spark = narrow_batches(spark)
         self.root = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self.drop)
