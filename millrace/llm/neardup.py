@@ -4,7 +4,8 @@ A document's sketch is four SimHash words of its shingles, and its tile is given
 shingles: documents of a Jaccard similarity ``s`` have sizes within a factor ``s``, so only a tile and the next one are
 compared. There, fingerprints are sorted by population count, blocks beyond the radius are skipped, and the others
 compared in full on the first word, then on all 256 bits. Pairs well under the distance that the similarity stands for
-are links; pairs around it are verified on their shingles, one pair for each two groups that are still apart.
+are links. Documents with a partner around it meet again with their texts, where pairs that are still apart are verified
+on their shingles. Only a spanning forest of links leaves a task, never the pairs of a group.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components, union_labels
 from millrace.llm.linededup import fixed_filter, maybe_in
-from millrace.llm.simhash import BLOCK, TILE_ROWS, majority_bits, shingle_hashes
+from millrace.llm.simhash import BLOCK, majority_bits, shingle_hashes
 from millrace.llm.workspace import Workspace, release
 
 WORDS = 4
+#: Rows of a tile that are compared in one task; a row has 50 bytes.
+CHUNK_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -49,26 +52,33 @@ def sketch(text: bytes | None, ngram: int) -> tuple[list[int], int]:
     return words, len(hashes)
 
 
-def jaccard(a: bytes | None, b: bytes | None, ngram: int) -> float:
-    x, y = np.unique(shingle_hashes(a, ngram)), np.unique(shingle_hashes(b, ngram))
+def similar(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of shingles; 1 of two empty ones."""
     if not len(x) and not len(y):
         return 1.0
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
+def jaccard(a: bytes | None, b: bytes | None, ngram: int) -> float:
+    return similar(np.unique(shingle_hashes(a, ngram)), np.unique(shingle_hashes(b, ngram)))
+
+
 def _bits(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words).sum(1, dtype=np.int64)
 
 
-def compare_tiles(words: np.ndarray, n_home: int, inside: bool, radius: int, sure: int, wide: int):
-    """(labels after the sure links, i, j of pairs to verify) of a tile's rows against themselves or its guests."""
+def compare_tiles(words: np.ndarray, n_home: int, inside: bool, radius: int, sure: int, wide: int, ask) -> np.ndarray:
+    """Labels of a tile's rows after comparing them with themselves or with its guests.
+
+    Pairs within ``sure`` are linked. Those up to ``wide`` that are still apart go to ``ask(labels, i, j, d)`` block by
+    block, which gives the labels back.
+    """
     labels = np.arange(len(words))
     home = np.argsort(np.bitwise_count(words[:n_home, 0]), kind="stable")
     others = home if inside else n_home + np.argsort(np.bitwise_count(words[n_home:, 0]), kind="stable")
     left, right = words[home, 0], words[others, 0]
     left_bits, right_bits = (np.bitwise_count(x).astype(np.int64) for x in (left, right))
-    kept_i, kept_j, kept_d = [], [], []
     step = 256
     for at in range(0, len(left), step):
         rows = left[at : at + step]
@@ -86,27 +96,10 @@ def compare_tiles(words: np.ndarray, n_home: int, inside: bool, radius: int, sur
             d = _bits(words[i] ^ words[j])
             near = d <= sure
             labels = union_labels(labels, i[near], j[near])
-            maybe = ~near & (d <= wide)
-            maybe &= labels[i] != labels[j]
-            kept_i.append(i[maybe])
-            kept_j.append(j[maybe])
-            kept_d.append(d[maybe])
-            if sum(map(len, kept_i)) > 1 << 18:
-                kept_i, kept_j, kept_d = ([x] for x in _closest(labels, kept_i, kept_j, kept_d))
-    i, j, _ = _closest(labels, kept_i, kept_j, kept_d)
-    return labels, i, j
-
-
-def _closest(labels: np.ndarray, i, j, d):
-    """Of the pairs between two groups the one of the smallest distance."""
-    i, j, d = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (i, j, d))
-    a, b = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
-    order = np.lexsort((d, b, a))
-    order = order[a[order] != b[order]]
-    first = np.ones(len(order), bool)
-    first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    keep = order[first]
-    return i[keep], j[keep], d[keep]
+            maybe = ~near & (d <= wide) & (labels[i] != labels[j])
+            if maybe.any():
+                labels = ask(labels, i[maybe], j[maybe], d[maybe])
+    return labels
 
 
 def near_duplicate_groups(
@@ -139,36 +132,74 @@ def near_duplicate_groups(
     )
     tile = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(p.similarity))).cast("long")
     coded = classes.select("node", tile.alias("tile"), *names)
-    sizes = ws.table(coded.groupBy("tile").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("chunks")), "tiles")
-    dealt = coded.join(F.broadcast(sizes), "tile").withColumn(  # sizes: as many rows as logarithms of sizes
-        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    )
+    sizes = ws.table(coded.groupBy("tile").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")), "tiles")
     chunks = sizes.select("tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     met = chunks.withColumn("other", F.explode(F.array("tile", F.col("tile") + 1))).join(
         chunks.select(F.col("tile").alias("other"), F.col("chunk").alias("with_chunk")), "other"
     )
-    met = met.where("other <> tile or with_chunk >= chunk")
+    met = ws.table(met.where("other <> tile or with_chunk >= chunk"), "met")
     key = ["tile", "chunk", "other", "with_chunk"]
-    home = dealt.join(met, ["tile", "chunk"]).select(*key, F.lit(False).alias("guest"), "node", *names)
-    guests = dealt.withColumnRenamed("tile", "other").withColumnRenamed("chunk", "with_chunk").join(
-        met.where("other <> tile or with_chunk <> chunk"), ["other", "with_chunk"]
-    )
-    pairs = home.unionByName(guests.select(*key, F.lit(True).alias("guest"), "node", *names))
+
+    def pairs_of_tiles(rows: DataFrame, *carry: str) -> DataFrame:
+        dealt = rows.join(F.broadcast(sizes), "tile").withColumn(  # sizes: a row for each logarithm of a size
+            "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        )
+        home = dealt.join(met, ["tile", "chunk"]).select(*key, F.lit(False).alias("guest"), "node", *names, *carry)
+        guests = dealt.withColumnRenamed("tile", "other").withColumnRenamed("chunk", "with_chunk").join(
+            met.where("other <> tile or with_chunk <> chunk"), ["other", "with_chunk"]
+        )
+        return home.unionByName(guests.select(*key, F.lit(True).alias("guest"), "node", *names, *carry))
+
     radius, sure, wide = p.distance(64, 2.9), p.distance(64 * WORDS, -2.5), p.distance(64 * WORDS, 3.5)
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    def unpacked(group: pd.DataFrame):
         group = group.sort_values(["guest", "node"])
         words = np.ascontiguousarray(group[names].to_numpy(np.int64)).view(np.uint64)
-        n_home, nodes = int((~group["guest"]).sum()), group["node"].to_numpy(np.int64)
-        labels, i, j = compare_tiles(words, n_home, n_home == len(nodes), radius, sure, wide)
+        return group, words, int((~group["guest"]).sum()), group["node"].to_numpy(np.int64)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group, words, n_home, nodes = unpacked(group)
+        asked = np.zeros(len(nodes), bool)
+
+        def ask(labels, i, j, d):
+            asked[i] = asked[j] = True
+            return labels
+
+        labels = compare_tiles(words, n_home, n_home == len(nodes), radius, sure, wide, ask)
         linked = np.nonzero(labels != np.arange(len(labels)))[0]
         return pd.DataFrame({
-            "a": np.concatenate([nodes[linked], nodes[i]]), "b": np.concatenate([nodes[labels[linked]], nodes[j]]),
-            "sure": np.arange(len(linked) + len(i)) < len(linked),
+            "a": np.concatenate([nodes[linked], nodes[asked]]), "b": np.concatenate([nodes[labels[linked]], nodes[asked]]),
+            "sure": np.arange(len(linked) + int(asked.sum())) < len(linked),
         })
 
-    found = ws.table(pairs.groupBy(*key).applyInPandas(compare, "a long, b long, sure boolean"), "pairs")
-    verified = _verify(ws, placed, text_col, classes, found.where("not sure").select("a", "b").distinct(), p)
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        group, words, n_home, nodes = unpacked(group)
+        texts, known = group["text"].tolist(), {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in known:
+                known[k] = np.unique(shingle_hashes(texts[k], p.ngram))
+            return known[k]
+
+        def ask(labels, i, j, d):
+            for k in np.argsort(d, kind="stable").tolist():
+                a, b = int(i[k]), int(j[k])
+                if labels[a] != labels[b] and similar(shingles(a), shingles(b)) >= p.similarity:
+                    labels = union_labels(labels, i[k : k + 1], j[k : k + 1])
+            return labels
+
+        labels = compare_tiles(words, n_home, n_home == len(nodes), radius, sure, wide, ask)
+        linked = np.nonzero(labels != np.arange(len(labels)))[0]
+        return pd.DataFrame({"a": nodes[linked], "b": nodes[labels[linked]]})
+
+    found = ws.table(
+        pairs_of_tiles(coded).groupBy(*key).applyInPandas(compare, "a long, b long, sure boolean"), "pairs"
+    )
+    # documents with a partner around the distance meet again with their texts, and only links leave the task
+    texts = _texts(ws, placed, text_col, classes, found.where("not sure").select(F.col("a").alias("node")).distinct())
+    verified = ws.table(
+        pairs_of_tiles(coded.join(texts, "node"), "text").groupBy(*key).applyInPandas(verify, "a long, b long"), "verified"
+    )
     comps = connected_components(ws, found.where("sure").select("a", "b").unionByName(verified))
     grouped = classes.join(comps, "node", "left").select(
         "n", *names, "first", F.coalesce("component", "node").alias("component")
@@ -179,29 +210,13 @@ def near_duplicate_groups(
     return placed, place
 
 
-def _verify(
-    ws: Workspace, placed: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame, p: NearDupParams
-) -> DataFrame:
-    """The pairs whose texts have the similarity. Only texts of these pairs are shuffled."""
-    pairs = ws.table(pairs, "unsure")
-    nodes = ws.table(
-        pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        .join(classes.select("node", F.col("first.place").alias("place")), "node"),
-        "asked",
-    )
+def _texts(ws: Workspace, placed: DataFrame, text_col: str, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, text) of the asked nodes. Only their texts are shuffled."""
+    nodes = ws.table(asked.join(classes.select("node", F.col("first.place").alias("place")), "node"), "asked")
     filter_ = ws.table(fixed_filter(nodes, "place"), "filter")
     text = F.col("doc").getField(text_col).cast("binary").alias("text")
     texts = maybe_in(placed.select("place", text), filter_, "place").where("maybe")
-    texts = texts.drop("maybe").join(nodes, "place").select("node", "text")
-
-    @F.pandas_udf("double")
-    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(a, b, p.ngram) for a, b in zip(left, right)], dtype=float)
-
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
-    )
-    return both.where(similarity("ta", "tb") >= p.similarity).select("a", "b")
+    return ws.table(texts.drop("maybe").join(nodes, "place").select("node", "text"), "texts")
 
 
 def drop_near_duplicates(
