@@ -2,7 +2,7 @@
 
 A page is a sequence of tokens: its tags and its blocks of text, each with its path of open elements. Tokens that
 occur on the same pages, as often on each, have the same occurrence vector and form an equivalence class. A class is
-valid when it is large, when nearly all pages of the host have it, and when enough different pages support it; valid
+valid when it is large, when nearly all different pages of the host have it, and when enough of them support it; valid
 classes are nested by the stretch of the page that they span, and make the host's template. What the template's own
 text says is dropped; what is left are the slots between its tokens. Of these the main text is kept: the blocks in
 article or main elements, or, on pages without any, all blocks; without menus, page headers and footers, sidebars,
@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.linededup import fixed_filter, maybe_in
 from millrace.llm.workspace import Workspace
 
 # Elements of HTML by their role.
@@ -194,7 +195,7 @@ def main_text(source: str | None, template: set[int]) -> str:
 @dataclass(frozen=True)
 class TemplateParams:
     least_pages: int = 5  # different pages that must support a class
-    share: float = 0.9  # of the host's pages that must have the class
+    share: float = 0.9  # of the host's different pages that must have the class
     least_tokens: int = 2  # of a class
 
 
@@ -202,54 +203,66 @@ def _host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, is_text, a, b, pages, place) of ``pages(host, html)``, added up within each batch.
+def page_tokens(ws: Workspace, pages: DataFrame) -> DataFrame:
+    """(host, token, is_text, a, b, pages, place) over the different pages of each host of ``pages(host, html)``.
 
     ``a`` and ``b`` are sums over pages of a hash of (page, occurrences): equal sums, equal vectors. ``place`` is the
-    sum of the token's first places, in thousandths of the page. A page is its html: copies have the same hash.
+    sum of the token's first places, in thousandths of the page. A page is its html, and copies on a host count once:
+    tokens are added up within each batch, but those of pages that may have copies go out by page, to meet these.
     """
+    keyed = pages.select("host", "html", F.xxhash64("host", F.coalesce("html", F.lit(""))).alias("page"))
+    copied = keyed.groupBy("page").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = maybe_in(keyed, ws.table(fixed_filter(copied, "page"), "copied"), "page").select("host", "html", "page", "maybe")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = {}
-            for host, source in zip(batch["host"], batch["html"]):
-                page = xxhash.xxh64_intdigest(source or "", 3)
+            sums: dict[tuple[str, int, int], list[int]] = {}
+            met: set[int] = set()
+            for host, source, page, maybe in zip(batch["host"], batch["html"], batch["page"], batch["maybe"]):
+                if maybe:
+                    if page in met:
+                        continue
+                    met.add(page)
                 blocks, paths = tokenize(source or "")
                 counts: dict[int, list[int]] = {}
                 size = max(1, len(blocks) + len(paths))
                 for k, (path, text) in enumerate([*((p, None) for p in paths), *((b.path, b.text) for b in blocks)]):
                     got = counts.setdefault(token_hash(path, text), [0, k * 1000 // size, int(text is not None)])
                     got[0] += 1
+                of = page if maybe else 0
                 for token, (n, place, is_text) in counts.items():
                     mixed = xxhash.xxh64_intdigest(f"{page}:{n}", 5)
-                    got = sums.setdefault((host, token), [0, 0, 0, 0, is_text])
+                    got = sums.setdefault((host, token, of), [0, 0, 0, 0, is_text])
                     got[0] += mixed & 0x3FFFFFFF
                     got[1] += mixed >> 34
                     got[2] += 1
                     got[3] += place
-            rows = [(h, t, x[4], x[0], x[1], x[2], x[3]) for (h, t), x in sums.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "is_text", "a", "b", "pages", "place"])
+            rows = [(h, t, of, x[4], x[0], x[1], x[2], x[3]) for (h, t, of), x in sums.items()]
+            yield pd.DataFrame(rows, columns=["host", "token", "page", "is_text", "a", "b", "pages", "place"])
 
-    return pages.select("host", "html").mapInPandas(
-        run, "host string, token long, is_text int, a long, b long, pages long, place long"
+    found = keyed.mapInPandas(
+        run, "host string, token long, page long, is_text int, a long, b long, pages long, place long"
     )
+    added = ("a", "b", "pages", "place")
+    # page 0 stands for pages without copies; the rows of another page are copies of each other
+    once = found.groupBy("host", "token", "page").agg(
+        *[F.when(F.col("page") == 0, F.sum(c)).otherwise(F.max(c)).alias(c) for c in added], F.max("is_text").alias("is_text")
+    )
+    return once.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in added], F.max("is_text").alias("is_text"))
 
 
 def deduce_templates(ws: Workspace, pages: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
     """(host, token, is_text, class_a, class_b, depth, place) of each host's template, for ``pages(host, html)``.
 
-    ``depth`` is the number of valid classes that span the token's class.
+    Support and shares are counted in different pages. ``depth`` is the number of valid classes that span the token's
+    class.
     """
-    sizes = pages.select("host", F.xxhash64("html").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    hosts = sizes.groupBy("host").agg(F.sum("n").alias("host_pages"), F.count("*").alias("different"))
-    tokens = (
-        page_tokens(pages).groupBy("host", "token")
-        .agg(*[F.sum(c).alias(c) for c in ("a", "b", "pages", "place")], F.max("is_text").alias("is_text"))
-        .where(F.col("pages") >= params.least_pages)
-    )
+    html = F.xxhash64(F.coalesce("html", F.lit("")))
+    hosts = pages.select("host", html.alias("h")).distinct().groupBy("host").agg(F.count("*").alias("different"))
+    tokens = page_tokens(ws, pages).where(F.col("pages") >= params.least_pages)
     common = ws.table(
         tokens.join(hosts.where(F.col("different") >= params.least_pages), "host")
-        .where(F.col("pages") >= params.share * F.col("host_pages"))
+        .where(F.col("pages") >= params.share * F.col("different"))
         .select("host", "token", "is_text", "a", "b", (F.col("place") / F.col("pages")).alias("place")),
         "common",
     )

@@ -434,3 +434,11 @@ def test_copies_of_a_page_are_no_template(spark):
     pages = [(n, f"https://h.example/{n}", PAGE.format(n=1)) for n in range(30)]
     got = htmltext.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {"Title 1\n\nOne & 1\n\nTwo 1\n\nShare this page"}
+
+
+def test_support_is_counted_in_different_pages(spark):
+    numbers = [1] * 50 + [2, 3, 4, 5, 6]
+    pages = [(n, f"https://h.example/{n}", PAGE.format(n=m)) for n, m in enumerate(numbers)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in htmltext.extract_main_text(df).collect()}
+    assert got == {n: f"Title {m}\n\nOne & {m}\n\nTwo {m}" for n, m in enumerate(numbers)}
