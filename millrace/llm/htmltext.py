@@ -6,7 +6,7 @@ valid when it is large, when nearly all different pages of the host have it, and
 classes are nested by the stretch of the page that they span, and make the host's template. What the template's own
 text says is dropped; what is left are the slots between its tokens. Of these the main text is kept: the blocks in
 article or main elements, or, on pages without any, all blocks; without menus, page headers and footers, sidebars,
-notices, adverts, forms and reader comments, which their element or the words of their class, id or role name.
+notices, adverts, forms and reader comments, which their element or a whole name in their class, id or role names.
 
 Occurrence vectors are never built: a class is named by sums of hashes of (page, count), which are added up where the
 pages are, so a host with a third of all pages is counted like any other.
@@ -18,6 +18,7 @@ import html as htmllib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,19 @@ CHROME_WORDS = frozenset(
     "dialog alert form".split()
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
+# Words that may stand beside those in a name ("sidebar-left", "site-footer") without changing what it means. A name
+# with any other word ("has-sidebar", "no-sidebar", "long-form") names something else.
+NEUTRAL_WORDS = frozenset(
+    "site page global main primary secondary top bottom left right upper lower inner outer fixed sticky mobile desktop "
+    "container wrapper box block list item area section bar panel group row col column slot unit title link button icon "
+    "post entry article blog widgets".split()
+)
+KNOWN_WORDS = CHROME_WORDS | HEADER_WORDS | NEUTRAL_WORDS
+# Words of names whose articles are not the page's own, even where it has no others.
+OTHERS_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion related recommended comment "
+    "comments commentlist disqus respond reply replies".split()
+)
 MAIN_WORDS = frozenset(("main", "article"))
 
 TAG = re.compile(
@@ -69,6 +83,11 @@ class Element:
     chrome: bool
     main: bool
     header: bool
+    parent: Element | None = None
+    always: tuple[bool, bool] = (False, False)  # chrome and header by itself, whatever is in it
+    named: tuple[bool, bool] = (False, False)  # chrome and header by the words of its names
+    others: bool = False  # named as holding articles that are not the page's own
+    holds_main: bool = False  # is or has an article or main element that is in no other
 
 
 @dataclass
@@ -81,14 +100,29 @@ class Block:
     header: bool
 
 
+@lru_cache(maxsize=65_536)
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """(chrome, header, others) by the names in a class, id or role: each counts as a whole."""
+    chrome = header = others = False
+    for name in value.split():
+        words = NAME_WORDS.findall(CAMEL.sub(" ", name).lower())
+        words = {w[:-1] if w not in KNOWN_WORDS and w[:-1] in KNOWN_WORDS and w[-1] == "s" else w for w in words if not w.isdigit()}
+        if words <= KNOWN_WORDS:
+            chrome |= bool(words & CHROME_WORDS)
+            header |= bool(words & HEADER_WORDS)
+            others |= bool(words & OTHERS_WORDS)
+    return chrome, header, others
+
+
 def _roles(tag: str, attributes: str, parent: Element) -> Element:
     words: set[str] = set()
     names = []
+    hidden = False
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = htmllib.unescape(a or b or c)
             if name.lower() == "hidden":
-                words.add("modal")
+                hidden = True
             elif name.lower() == "itemprop":
                 if value.lower() == "articlebody":
                     words.add("article")
@@ -97,18 +131,46 @@ def _roles(tag: str, attributes: str, parent: Element) -> Element:
                 words.update(NAME_WORDS.findall(CAMEL.sub(" ", value).lower()))
     is_main = tag in MAIN_WORDS or "main" in words and tag != "div" or "article" in words and "articlebody" in words
     is_main = is_main or (tag in ("div", "section") and "role" in attributes.lower() and bool(words & MAIN_WORDS))
-    own_chrome = tag in NEVER or (tag not in ("body", "html") and bool(words & CHROME_WORDS))
-    own_header = tag == "header" or (tag not in HEADINGS and tag not in ("body", "html") and bool(words & HEADER_WORDS))
+    by_name = (False, False, False)
+    if names and tag not in ("body", "html"):
+        by_name = tuple(any(x) for x in zip(*map(_named, names)))
+    always = (tag in NEVER or (hidden and tag not in ("body", "html")), tag == "header")
+    named = (by_name[0], by_name[1] and tag not in HEADINGS)
     label = f"{tag}.{'.'.join(sorted(names))}" if names else tag
     return Element(
-        tag, f"{parent.path}/{label}", parent.chrome or own_chrome, parent.main or is_main, parent.header or own_header
-    )
+        tag, f"{parent.path}/{label}", parent.chrome or always[0] or named[0], parent.main or is_main,
+        parent.header or always[1] or named[1], parent, always, named, by_name[2],
+    )
+
+
+def _settle(elements: list[Element]) -> None:
+    """Where all articles of a page are in elements with names of chrome, lift the names off those that hold one.
+
+    Articles named as comments, adverts or pages related to this one stay out.
+    """
+    own = [e for e in elements if e.main and not e.parent.main]
+    if not own or any(not e.chrome and not e.header for e in own):
+        return
+    for e in own:
+        above = e
+        line = []
+        while above.parent is not None:
+            line.append(above)
+            above = above.parent
+        if not any(x.always[0] or x.others for x in line):
+            for x in line:
+                x.holds_main = True
+    for e in elements:  # parents come first
+        by_name = (False, False) if e.holds_main else e.named
+        e.chrome = e.parent.chrome or e.always[0] or by_name[0]
+        e.header = e.parent.header or e.always[1] or by_name[1]
 
 
 def tokenize(source: str) -> tuple[list[Block], list[str]]:
     """Blocks of text in page order, and the paths of all block-level tags."""
     stack = [Element("", "", False, False, False)]
-    blocks: list[Block] = []
+    elements: list[Element] = []
+    blocks: list[tuple[Element, str, bool]] = []
     paths: list[str] = []
     held: list[str] = []
     heading = False
@@ -118,8 +180,7 @@ def tokenize(source: str) -> tuple[list[Block], list[str]]:
             text = SPACE.sub(" ", htmllib.unescape("".join(held))).strip()
             held.clear()
             if text:
-                top = stack[-1]
-                blocks.append(Block(top.path, text, heading, top.main, top.chrome, top.header))
+                blocks.append((stack[-1], text, heading))
 
     at, n = 0, len(source)
     while at < n:
@@ -141,9 +202,12 @@ def tokenize(source: str) -> tuple[list[Block], list[str]]:
         if tag in INLINE:
             if tag == "br":
                 held.append(" ")
-            elif not closing and tag == "span" and attributes and (e := _roles(tag, attributes, stack[-1])).chrome:
-                flush()
-                stack.append(e)
+            elif not closing and tag == "span" and attributes:
+                e = _roles(tag, attributes, stack[-1])
+                if e.always[0] or e.named[0] or stack[-1].tag == "span":
+                    flush()
+                    stack.append(e)
+                    elements.append(e)
             elif closing and tag == "span" and stack[-1].tag == "span":
                 flush()
                 stack.pop()
@@ -165,10 +229,12 @@ def tokenize(source: str) -> tuple[list[Block], list[str]]:
                 stack.pop()
         element = _roles(tag, attributes, stack[-1])
         paths.append(element.path)
+        elements.append(element)
         if tag not in VOID:
             stack.append(element)
     flush()
-    return blocks, paths
+    _settle(elements)
+    return [Block(e.path, text, heading, e.main, e.chrome, e.header) for e, text, heading in blocks], paths
 
 
 def token_hash(path: str, text: str | None) -> int:

@@ -442,3 +442,20 @@ def test_support_is_counted_in_different_pages(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
     got = {r.page_id: r.text for r in htmltext.extract_main_text(df).collect()}
     assert got == {n: f"Title {m}\n\nOne & {m}\n\nTwo {m}" for n, m in enumerate(numbers)}
+
+
+@pytest.mark.parametrize("opened, closed", [
+    ("<div class='content has-sidebar'><article>", "</article></div>"), ("<div class='no-sidebar'><main>", "</main></div>"),
+    ("<div class='elementor-widget-wrap'>", "</div>"), ("<article class='post long-form'>", "</article>"),
+    ("<div class='widget'><article>", "</article></div>"), ("<article class='form'>", "</article>"),
+    ("<div class='with-header page'><article>", "</article></div>"), ("<div class='header'><article>", "</article></div>"),
+])
+def test_names_of_layouts_are_no_chrome(opened, closed):
+    page = f"<body><div class='sidebar-left'>Side</div>{opened}<h1>Title</h1><p>Some <span class=x>main</span> text</p>{closed}<div id='comments'><article class='comment'>First!</article></div><div class=siteFooter>Foot</div></body>"
+    assert htmltext.main_text(page, set()) == "Title\n\nSome main text"
+
+
+def test_comments_and_related_pages_are_no_main_text():
+    rest = "<div class=related><article class=card>Other</article></div><div id=comments><article class=comment>First!</article></div><div class='ad-slot'>Buy</div><div class='widget'><article>Aside</article></div>"
+    assert htmltext.main_text(f"<article><p>Text</p></article>{rest}", set()) == "Text"
+    assert htmltext.main_text(f"<div><p>Text</p></div>{rest[: rest.index('<div class=' + chr(39) + 'ad')]}", set()) == "Text"
