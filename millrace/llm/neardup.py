@@ -1,11 +1,12 @@
 """Near-duplicate documents by word shingles, on the tiled SimHash comparison.
 
-A document's sketch is four SimHash words of its shingles, and its tile is given by the logarithm of its number of
-shingles: documents of a Jaccard similarity ``s`` have sizes within a factor ``s``, so only a tile and the next one are
-compared. There, fingerprints are sorted by population count, blocks beyond the radius are skipped, and the others
-compared in full on the first word, then on all 256 bits. Pairs well under the distance that the similarity stands for
-are links. Documents with a partner around it meet again with their texts, where pairs that are still apart are verified
-on their shingles. Only a spanning forest of links leaves a task, never the pairs of a group.
+A document is its set of different shingles. Documents of equal sets, by a 128-bit hash of the sorted set, are one
+class. A class's sketch is four SimHash words of the set, and its tile is given by the logarithm of the set's size:
+sets of a Jaccard similarity ``s`` have sizes within a factor ``s``, so only a tile and the next one are compared.
+There, fingerprints are sorted by population count, blocks beyond the radius are skipped, and the others compared in
+full on the first word, then on all 256 bits. This finds candidates only: documents with a partner in reach meet again
+with their texts, and every link between classes is verified on the shingles, nearest pairs first, as long as the two
+are still apart. Only a spanning forest of links leaves a task, never the pairs of a group.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import connected_components, union_labels
+from millrace.llm.components import connected_components
 from millrace.llm.linededup import fixed_filter, maybe_in
 from millrace.llm.simhash import BLOCK, majority_bits, shingle_hashes
 from millrace.llm.workspace import Workspace, release
@@ -40,16 +42,16 @@ class NearDupParams:
         return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
-def sketch(text: bytes | None, ngram: int) -> tuple[list[int], int]:
-    """Four SimHash words, and the number of shingles."""
-    hashes = shingle_hashes(text, ngram)
+def sketch(text: bytes | None, ngram: int) -> tuple[list[int], int, tuple[int, int]]:
+    """Four SimHash words of the different shingles, their number, and a hash of their set in two words."""
+    hashes = np.unique(shingle_hashes(text, ngram))
     words = [majority_bits(hashes)]
     for k in range(1, WORDS):
         x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         words.append(majority_bits(x ^ (x >> np.uint64(31))))
-    return words, len(hashes)
+    return words, len(hashes), divmod(xxhash.xxh3_128_intdigest(hashes.astype("<u8").tobytes()), 1 << 64)
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> float:
@@ -68,11 +70,10 @@ def _bits(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words).sum(1, dtype=np.int64)
 
 
-def compare_tiles(words: np.ndarray, n_home: int, inside: bool, radius: int, sure: int, wide: int, ask) -> np.ndarray:
+def compare_tiles(words: np.ndarray, n_home: int, inside: bool, radius: int, wide: int, ask) -> np.ndarray:
     """Labels of a tile's rows after comparing them with themselves or with its guests.
 
-    Pairs within ``sure`` are linked. Those up to ``wide`` that are still apart go to ``ask(labels, i, j, d)`` block by
-    block, which gives the labels back.
+    Pairs up to ``wide`` that are still apart go to ``ask(labels, i, j, d)`` block by block, which gives the labels back.
     """
     labels = np.arange(len(words))
     home = np.argsort(np.bitwise_count(words[:n_home, 0]), kind="stable")
@@ -94,9 +95,7 @@ def compare_tiles(words: np.ndarray, n_home: int, inside: bool, radius: int, sur
             if not len(i):
                 continue
             d = _bits(words[i] ^ words[j])
-            near = d <= sure
-            labels = union_labels(labels, i[near], j[near])
-            maybe = ~near & (d <= wide) & (labels[i] != labels[j])
+            maybe = (d <= wide) & (labels[i] != labels[j])
             if maybe.any():
                 labels = ask(labels, i[maybe], j[maybe], d[maybe])
     return labels
@@ -116,19 +115,20 @@ def near_duplicate_groups(
         for batch in batches:
             found = [sketch(t, p.ngram) for t in batch["text"]]
             words = np.array([f[0] for f in found], np.uint64).reshape(-1, WORDS).view(np.int64)
+            sets = np.array([f[2] for f in found], np.uint64).reshape(-1, 2).view(np.int64)
             yield pd.DataFrame({
                 "id": batch["id"], "place": batch["place"], "n": np.array([f[1] for f in found], np.int64),
-                **{f"w{k}": words[:, k] for k in range(WORDS)},
+                "s0": sets[:, 0], "s1": sets[:, 1], **{f"w{k}": words[:, k] for k in range(WORDS)},
             })
         release()
 
-    names = [f"w{k}" for k in range(WORDS)]
+    names, same = [f"w{k}" for k in range(WORDS)], ["n", "s0", "s1"]
     marked = ws.table(
-        source.mapInPandas(run, f"id {kind}, place long, n long, " + ", ".join(f"{n} long" for n in names)), "sketches"
+        source.mapInPandas(run, f"id {kind}, place long, n long, s0 long, s1 long, " + ", ".join(f"{n} long" for n in names)), "sketches"
     )
     earliest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("first")
     classes = ws.table(
-        marked.groupBy("n", *names).agg(earliest).withColumn("node", F.monotonically_increasing_id()), "classes"
+        marked.groupBy(*same, *names).agg(earliest).withColumn("node", F.monotonically_increasing_id()), "classes"
     )
     tile = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(p.similarity))).cast("long")
     coded = classes.select("node", tile.alias("tile"), *names)
@@ -140,17 +140,15 @@ def near_duplicate_groups(
     met = ws.table(met.where("other <> tile or with_chunk >= chunk"), "met")
     key = ["tile", "chunk", "other", "with_chunk"]
 
-    def pairs_of_tiles(rows: DataFrame, *carry: str) -> DataFrame:
-        dealt = rows.join(F.broadcast(sizes), "tile").withColumn(  # sizes: a row for each logarithm of a size
-            "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-        )
-        home = dealt.join(met, ["tile", "chunk"]).select(*key, F.lit(False).alias("guest"), "node", *names, *carry)
-        guests = dealt.withColumnRenamed("tile", "other").withColumnRenamed("chunk", "with_chunk").join(
-            met.where("other <> tile or with_chunk <> chunk"), ["other", "with_chunk"]
-        )
-        return home.unionByName(guests.select(*key, F.lit(True).alias("guest"), "node", *names, *carry))
-
-    radius, sure, wide = p.distance(64, 2.9), p.distance(64 * WORDS, -2.5), p.distance(64 * WORDS, 3.5)
+    dealt = coded.join(F.broadcast(sizes), "tile").withColumn(  # sizes: a row for each logarithm of a size
+        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    )
+    home = dealt.join(met, ["tile", "chunk"]).select(*key, F.lit(False).alias("guest"), "node", *names)
+    guests = dealt.withColumnRenamed("tile", "other").withColumnRenamed("chunk", "with_chunk").join(
+        met.where("other <> tile or with_chunk <> chunk"), ["other", "with_chunk"]
+    )
+    pairs = home.unionByName(guests.select(*key, F.lit(True).alias("guest"), "node", *names))
+    radius, wide = p.distance(64, 2.9), p.distance(64 * WORDS, 3.5)
 
     def unpacked(group: pd.DataFrame):
         group = group.sort_values(["guest", "node"])
@@ -165,48 +163,52 @@ def near_duplicate_groups(
             asked[i] = asked[j] = True
             return labels
 
-        labels = compare_tiles(words, n_home, n_home == len(nodes), radius, sure, wide, ask)
-        linked = np.nonzero(labels != np.arange(len(labels)))[0]
-        return pd.DataFrame({
-            "a": np.concatenate([nodes[linked], nodes[asked]]), "b": np.concatenate([nodes[labels[linked]], nodes[asked]]),
-            "sure": np.arange(len(linked) + int(asked.sum())) < len(linked),
-        })
+        compare_tiles(words, n_home, n_home == len(nodes), radius, wide, ask)
+        return group.loc[asked, [*key, "guest", "node"]]
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         group, words, n_home, nodes = unpacked(group)
-        texts, known = group["text"].tolist(), {}
+        texts, known = group.pop("text").tolist(), {}
 
         def shingles(k: int) -> np.ndarray:
             if k not in known:
-                known[k] = np.unique(shingle_hashes(texts[k], p.ngram))
+                known[k], texts[k] = np.unique(shingle_hashes(texts[k], p.ngram)), None
             return known[k]
 
         def ask(labels, i, j, d):
-            for k in np.argsort(d, kind="stable").tolist():
-                a, b = int(i[k]), int(j[k])
-                if labels[a] != labels[b] and similar(shingles(a), shingles(b)) >= p.similarity:
-                    labels = union_labels(labels, i[k : k + 1], j[k : k + 1])
+            order = np.argsort(d, kind="stable")
+            for at in range(0, len(order), 512):
+                part = order[at : at + 512]
+                for k in part[labels[i[part]] != labels[j[part]]].tolist():
+                    a, b = labels[i[k]], labels[j[k]]
+                    if a != b and similar(shingles(int(i[k])), shingles(int(j[k]))) >= p.similarity:
+                        labels[labels == max(a, b)] = min(a, b)
             return labels
 
-        labels = compare_tiles(words, n_home, n_home == len(nodes), radius, sure, wide, ask)
+        labels = compare_tiles(words, n_home, n_home == len(nodes), radius, wide, ask)
         linked = np.nonzero(labels != np.arange(len(labels)))[0]
         return pd.DataFrame({"a": nodes[linked], "b": nodes[labels[linked]]})
 
     found = ws.table(
-        pairs_of_tiles(coded).groupBy(*key).applyInPandas(compare, "a long, b long, sure boolean"), "pairs"
+        pairs.groupBy(*key).applyInPandas(
+            compare, "tile long, chunk int, other long, with_chunk int, guest boolean, node long"
+        ),
+        "pairs",
     )
-    # documents with a partner around the distance meet again with their texts, and only links leave the task
-    texts = _texts(ws, placed, text_col, classes, found.where("not sure").select(F.col("a").alias("node")).distinct())
+    # documents with a partner in reach meet it again with their texts, and only links leave the task
+    texts = _texts(ws, placed, text_col, classes, found.select("node").distinct())
     verified = ws.table(
-        pairs_of_tiles(coded.join(texts, "node"), "text").groupBy(*key).applyInPandas(verify, "a long, b long"), "verified"
-    )
-    comps = connected_components(ws, found.where("sure").select("a", "b").unionByName(verified))
+        found.join(classes.select("node", *names), "node").join(texts, "node").groupBy(*key)
+        .applyInPandas(verify, "a long, b long"),
+        "verified",
+    )
+    comps = connected_components(ws, verified)
     grouped = classes.join(comps, "node", "left").select(
-        "n", *names, "first", F.coalesce("component", "node").alias("component")
+        *same, "first", F.coalesce("component", "node").alias("component")
     )
     firsts = grouped.groupBy("component").agg(F.min("first").alias("group_first"))
-    named = grouped.join(firsts, "component").select("n", *names, F.col("group_first.place").alias("first"))
-    place = ws.table(marked.join(named, ["n", *names]).select("place", "first").where("place <> first"), "later")
+    named = grouped.join(firsts, "component").select(*same, F.col("group_first.place").alias("first"))
+    place = ws.table(marked.join(named, same).select("place", "first").where("place <> first"), "later")
     return placed, place
 
 

@@ -459,3 +459,11 @@ def test_comments_and_related_pages_are_no_main_text():
     rest = "<div class=related><article class=card>Other</article></div><div id=comments><article class=comment>First!</article></div><div class='ad-slot'>Buy</div><div class='widget'><article>Aside</article></div>"
     assert htmltext.main_text(f"<article><p>Text</p></article>{rest}", set()) == "Text"
     assert htmltext.main_text(f"<div><p>Text</p></div>{rest[: rest.index('<div class=' + chr(39) + 'ad')]}", set()) == "Text"
+
+
+def test_near_duplicates_are_verified(spark):
+    rule = "0 " * 34
+    texts = [rule + " ".join(f"{name}{k}" for k in range(104)) for name in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert neardup.jaccard(texts[0].encode(), texts[1].encode(), 5) < 0.01
+    assert {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()} == {0, 1}
