@@ -467,3 +467,12 @@ def test_near_duplicates_are_verified(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert neardup.jaccard(texts[0].encode(), texts[1].encode(), 5) < 0.01
     assert {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()} == {0, 1}
+
+
+def test_repeated_shingles_do_not_part_copies(spark):
+    passage = [f"p{k}" for k in range(14)]
+    head, tail = [f"h{k}" for k in range(90)], [f"t{k}" for k in range(90)]
+    texts = [" ".join(head + passage * times + tail) for times in (2, 13)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert neardup.jaccard(texts[0].encode(), texts[1].encode(), 5) == 1
+    assert {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()} == {0}
