@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,11 +36,42 @@ CHUNK_ROWS = 16_384
 class NearDupParams:
     ngram: int = 5
     similarity: float = 0.8
-
-    def distance(self, bits: int, deviations: float) -> int:
-        """Differing bits of sketches at the similarity, so many standard deviations on."""
-        share = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
-        return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+    miss: float = 1e-5  # share of pairs just at the similarity that each of the two comparisons may lose
+
+
+def _at_least(n: int) -> np.ndarray:
+    """For k of 0 to n + 1, the probability that k or more of n even bits are set."""
+    return np.append(np.cumsum([math.comb(n, k) / 2**n for k in range(n, -1, -1)])[::-1], 0.0)
+
+
+def flip_share(size: int, similarity: float) -> float:
+    """The most probable that a majority bit of ``size`` shingles differs from that of as many or more at the similarity."""
+    worst = 0.0
+    for other in range(size, int(size / similarity + 1e-9) + 1):
+        both = math.ceil(similarity * (size + other) / (1 + similarity) - 1e-9)
+        if both > size:
+            continue
+        k, own, theirs = np.arange(both + 1), _at_least(size - both), _at_least(other - both)
+        mine = own[np.clip(size // 2 + 1 - k, 0, len(own) - 1)]
+        others = theirs[np.clip(other // 2 + 1 - k, 0, len(theirs) - 1)]
+        shared = _at_least(both)
+        worst = max(worst, float(((shared[:-1] - shared[1:]) * (mine * (1 - others) + others * (1 - mine))).sum()))
+    return worst
+
+
+@lru_cache(maxsize=4096)
+def reach(tile: int, params: NearDupParams) -> tuple[int, int]:
+    """Differing bits, of the first word and of all, up to which a tile's sets are candidates."""
+    s = params.similarity
+    sizes = [x for x in range(max(1, int(s**-tile) - 1), int(s ** -(tile + 1)) + 2) if int(math.log(x) / -math.log(s)) == tile] if s**-tile < 64 else []
+    if not sizes or sizes[-1] > 64:
+        sizes += range(48, 65)  # the share hardly changes with more shingles
+    share, found = max(flip_share(x, s) for x in sizes), []
+    for bits in (64, 64 * WORDS):
+        chance = np.array([math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(bits + 1)])
+        beyond = np.append(np.cumsum(chance[::-1])[::-1][1:], 0.0)
+        found.append(int(np.argmax(beyond <= params.miss)))
+    return found[0], found[1]
 
 
 def sketch(text: bytes | None, ngram: int) -> tuple[list[int], int, tuple[int, int]]:
@@ -148,13 +180,18 @@ def near_duplicate_groups(
         met.where("other <> tile or with_chunk <> chunk"), ["other", "with_chunk"]
     )
     pairs = home.unionByName(guests.select(*key, F.lit(True).alias("guest"), "node", *names))
-    radius, wide = p.distance(64, 2.9), p.distance(64 * WORDS, 3.5)
 
     def unpacked(group: pd.DataFrame):
         group = group.sort_values(["guest", "node"])
         words = np.ascontiguousarray(group[names].to_numpy(np.int64)).view(np.uint64)
         return group, words, int((~group["guest"]).sum()), group["node"].to_numpy(np.int64)
 
+    def released(kernel, group: pd.DataFrame) -> pd.DataFrame:
+        out, rows = kernel(group), len(group)
+        if rows > 1000:
+            release()
+        return out
+
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group, words, n_home, nodes = unpacked(group)
         asked = np.zeros(len(nodes), bool)
@@ -163,7 +200,7 @@ def near_duplicate_groups(
             asked[i] = asked[j] = True
             return labels
 
-        compare_tiles(words, n_home, n_home == len(nodes), radius, wide, ask)
+        compare_tiles(words, n_home, n_home == len(nodes), *reach(int(group["tile"].iat[0]), p), ask)
         return group.loc[asked, [*key, "guest", "node"]]
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
@@ -185,13 +222,13 @@ def near_duplicate_groups(
                         labels[labels == max(a, b)] = min(a, b)
             return labels
 
-        labels = compare_tiles(words, n_home, n_home == len(nodes), radius, wide, ask)
+        labels = compare_tiles(words, n_home, n_home == len(nodes), *reach(int(group["tile"].iat[0]), p), ask)
         linked = np.nonzero(labels != np.arange(len(labels)))[0]
         return pd.DataFrame({"a": nodes[linked], "b": nodes[labels[linked]]})
 
     found = ws.table(
         pairs.groupBy(*key).applyInPandas(
-            compare, "tile long, chunk int, other long, with_chunk int, guest boolean, node long"
+            lambda g: released(compare, g), "tile long, chunk int, other long, with_chunk int, guest boolean, node long"
         ),
         "pairs",
     )
@@ -199,7 +236,7 @@ def near_duplicate_groups(
     texts = _texts(ws, placed, text_col, classes, found.select("node").distinct())
     verified = ws.table(
         found.join(classes.select("node", *names), "node").join(texts, "node").groupBy(*key)
-        .applyInPandas(verify, "a long, b long"),
+        .applyInPandas(lambda g: released(verify, g), "a long, b long"),
         "verified",
     )
     comps = connected_components(ws, verified)

@@ -476,3 +476,10 @@ def test_repeated_shingles_do_not_part_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert neardup.jaccard(texts[0].encode(), texts[1].encode(), 5) == 1
     assert {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()} == {0}
+
+
+def test_short_near_duplicates_all_meet(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i in range(400) for n in (8, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert neardup.jaccard(texts[0].encode(), texts[1].encode(), 5) == 0.8
+    assert {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()} == set(range(0, 800, 2))
