@@ -2,9 +2,11 @@
 
 Vectors of a label (and dimension) are one root. A node over ``leaf_rows`` vectors is split at the median of a random
 projection, and both sides overlap: vectors between the quantiles ``0.5 - spill`` and ``0.5 + spill``, or within a
-margin of the median, go to both.
+margin of the median, go to both. Where a margin would take in more than ``most_spill`` of the node, as in a large group
+of near copies, a cut would lose links: such a node is not cut but compared whole, in blocks of at most about
+``leaf_rows`` rows by as many, and where it is a whole root its other trees are left out.
 Thresholds come from a sample of bounded size of each node; every vector is routed. Several levels are cut in a
-round, and rounds go on until all leaves are small, so leaves keep their size as the table grows. Vectors are compared
+round, and rounds go on until all leaves that can be cut are small, so tasks keep their size as the table grows. Vectors are compared
 within leaves by cosine in double precision. A pair that meets in several leaves is counted in the one with the
 smallest number, so links are counted exactly once without writing any pair; of the links of a leaf a spanning forest
 is kept for the union.
@@ -30,8 +32,8 @@ class ForestParams:
     threshold: float = 0.93
     trees: int = 4
     leaf_rows: int = 4096  # compared by matrix products of a few hundred rows at a time
-    spill: float = 0.1  # least and most share of a node on either side of the median that goes both ways
-    most_spill: float = 0.25
+    spill: float = 0.1  # least share of a node on either side of the median that goes both ways
+    most_spill: float = 0.25  # a node that calls for a larger share is compared whole
     margin: float = 1.0  # half the overlap, in standard deviations of the projected difference of a linked pair
     levels: int = 5  # levels that are cut in a round
     sample: int = 8192  # vectors that a node's thresholds are taken from
@@ -64,8 +66,9 @@ def cut_node(rows: np.ndarray, tree: int, node: int, count: int, p: ForestParams
         )
         # in a dense stretch the overlap is widened, so that linked vectors seldom fall on either side of it
         width = p.margin * np.sqrt(2 * (1 - p.threshold) / part.shape[1])
-        low = max(outer_low, min(low, middle - width))
-        high = min(outer_high, max(high, middle + width))
+        low, high = min(low, middle - width), max(high, middle + width)
+        if low < outer_low or high > outer_high:
+            continue
         if not x.min() < low or not high < x.max():
             continue
         cuts.append((at, float(low), float(high)))
@@ -115,19 +118,23 @@ def _grow(ws: Workspace, members: DataFrame, p: ForestParams) -> DataFrame:
                 yield out
 
     active, leaves = members, []
-    for _ in range(p.max_depth):
+    for turn in range(p.max_depth):
         sizes = ws.table(active.groupBy(*key).agg(F.count("*").alias("n")), "sizes")
         big = sizes.where((F.col("n") > p.leaf_rows) & (F.col("at") < 1 << p.max_depth))
         if big.isEmpty():
             break
         draw = F.pmod(F.xxhash64("node", "at", F.lit(p.seed)), F.lit(1 << 30)) < F.lit(p.sample) / F.col("n") * (1 << 30)
         sampled = active.join(big, key).where((F.col("n") <= p.sample) | draw)
-        cuts = ws.table(
+        fits = ws.table(
             sampled.groupBy(*key).applyInPandas(
                 fit, "root string, tree int, at long, cut_at array<long>, cuts array<double>"
-            ).where(F.size("cut_at") > 0),
+            ),
             "cuts",
         )
+        cuts = fits.where(F.size("cut_at") > 0)
+        if turn == 0:  # one tree does for a root that is compared whole
+            whole = fits.where(F.size("cut_at") == 0).groupBy("root").agg(F.min("tree").alias("only"))
+            active = active.join(whole, "root", "left").where("only is null or only = tree").drop("only")
         leaves.append(active.join(cuts.select(*key), key, "left_anti"))
         active = ws.table(
             active.join(cuts, key).mapInPandas(send, f"{spec}, tree int, at long").select(*active.columns), "routed"
@@ -140,13 +147,16 @@ def _grow(ws: Workspace, members: DataFrame, p: ForestParams) -> DataFrame:
     return out
 
 
-def leaf_links(vectors: np.ndarray, copies: np.ndarray, others: list[np.ndarray], leaf: int, threshold: float):
+def leaf_links(
+    vectors: np.ndarray, copies: np.ndarray, others: list[np.ndarray], leaf: int, threshold: float, n_home: int | None = None
+):
     """(links counted here, smallest linked position) of each vector of a leaf.
 
-    ``others`` are the numbers of all leaves of each vector: a pair that also meets in a leaf with a smaller number
-    is counted there.
+    The first ``n_home`` vectors are compared with the others only, or all with each other where it is None. ``others``
+    are the numbers of all leaves of each vector: a pair that also meets in a leaf with a smaller number is counted there.
     """
     n = len(vectors)
+    home, shift = (n, 0) if n_home is None else (n_home, n_home)
     links, labels = np.zeros(n, np.int64), np.arange(n)
     smaller = [o[o < leaf] for o in others]
     flat = np.concatenate(smaller) if n else np.empty(0, np.int64)
@@ -156,19 +166,21 @@ def leaf_links(vectors: np.ndarray, copies: np.ndarray, others: list[np.ndarray]
     column = np.cumsum(times > 1)[place] - 1
     meets = np.zeros((n, int((times > 1).sum())), np.float32)
     meets[owner[again], column[again]] = 1
-    for at in range(0, n, 256):
-        near = vectors[at : at + 256] @ vectors.T >= threshold
+    for at in range(0, home, 256):
+        to = min(at + 256, home)
+        near = vectors[at:to] @ vectors[shift:].T >= threshold
+        if n_home is None:
+            near[np.arange(to - at), np.arange(at, to)] = False
         i, j = np.nonzero(near)
-        apart = i + at != j
-        i, j = i[apart], j[apart]
         if not len(i):
             continue
-        labels = union_labels(labels, i + at, j)
+        labels = union_labels(labels, i + at, j + shift)
         new = near
-        new[np.arange(len(near)), np.arange(at, at + len(near))] = False
         if meets.shape[1]:
-            new &= meets[at : at + 256] @ meets.T == 0
-        links[at : at + 256] += new @ copies
+            new &= meets[at:to] @ meets[shift:].T == 0
+        links[at:to] += new @ copies[shift:]
+        if n_home is not None:
+            links[shift:] += copies[at:to] @ new
     return links, labels
 
 
@@ -212,17 +224,27 @@ def embedding_components(
     of_node = leaves.groupBy("node").agg(F.collect_set("leaf").alias("others"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
+        group = group.sort_values(["guest", "node"])
+        n_home = None if group["block"].iat[0] == group["with_block"].iat[0] else int((~group["guest"]).sum())
         others = [np.asarray(o, np.int64) for o in group["others"]]
         copies = group["copies"].to_numpy(np.int64)
-        links, labels = leaf_links(unit(group["vec"]), copies, others, int(group["leaf"].iat[0]), p.threshold)
+        links, labels = leaf_links(unit(group["vec"]), copies, others, int(group["leaf"].iat[0]), p.threshold, n_home)
         nodes = group["node"].to_numpy(np.int64)
         some = (links > 0) | (labels != np.arange(len(labels)))
         return pd.DataFrame({"node": nodes[some], "links": links[some], "root": nodes[labels[some]]})
 
     # the few numbers that a leaf needs of a vector travel with it
-    gathered = leaves.join(of_node, "node").join(classes.select("node", "copies"), "node")
-    found = ws.table(gathered.groupBy("leaf").applyInPandas(compare, "node long, links long, root long"), "links")
+    blocks = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / p.leaf_rows).cast("int").alias("blocks"))
+    own, met = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    gathered = (
+        leaves.join(blocks, "leaf").withColumn("own", own).withColumn("met", F.explode(met))
+        .join(of_node, "node").join(classes.select("node", "copies"), "node")
+        .select(
+            "node", "vec", "leaf", "others", "copies", F.least("own", "met").alias("block"),
+            F.greatest("own", "met").alias("with_block"), (F.col("own") > F.col("met")).alias("guest"),
+        )
+    )
+    found = ws.table(gathered.groupBy("leaf", "block", "with_block").applyInPandas(compare, "node long, links long, root long"), "links")
     comps = connected_components(ws, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = ws.table(

@@ -483,3 +483,15 @@ def test_short_near_duplicates_all_meet(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert neardup.jaccard(texts[0].encode(), texts[1].encode(), 5) == 0.8
     assert {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()} == set(range(0, 800, 2))
+
+
+def test_forest_is_exact_on_one_dense_group(spark):
+    rng = np.random.default_rng(12)
+    center = rng.standard_normal(32)
+    rows = [(i, 1, [float(x) for x in center + 0.26 * rng.standard_normal(32)], "x", "y") for i in range(1500)]
+    rows += [(1500 + i, 1, rows[i][2], "x", "y") for i in range(40)]
+    p = rpforest.ForestParams(leaf_rows=64, levels=2)
+    got = {r.vec_id: r.n_links for r in rpforest.embedding_components(embeddings(spark, rows), params=p).collect()}
+    x = rpforest.unit([r[2] for r in rows])
+    near = (x @ x.T >= 0.93).sum(1) - 1
+    assert near.mean() > 300 and [got[i] for i in range(len(rows))] == near.tolist()
