@@ -1,15 +1,17 @@
-"""Command line: process, embed, verify, query, evaluate."""
+"""Command line: fetch, process, embed, verify, query, evaluate."""
 
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import json
 import logging
 
 from pyspark.sql import functions as F
 
+from millrace.config import ChunkingConfig, TokenizerFile
 from millrace.operators import coverage, search
-from millrace.plans import process
+from millrace.plans import fetch, process
 from millrace.session import get_session
 from millrace.sources import readers
 
@@ -17,12 +19,17 @@ log = logging.getLogger("millrace")
 
 
 def main(argv: list[str] | None = None) -> None:
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s | %(levelname)s | %(message)s")
     parser = argparse.ArgumentParser(prog="millrace")
+    parser.add_argument("--log-file", help="log to this file as well")
     sub = parser.add_subparsers(dest="command", required=True)
     p = sub.add_parser("process")
     p.add_argument("input_folder")
     p.add_argument("output_folder")
+    p.add_argument("--tokenizer", help="a tokenizer.json that counts tokens, in place of words")
+    p = sub.add_parser("fetch")
+    p.add_argument("registry")
+    p.add_argument("output_folder")
+    p.add_argument("--category", action="append", default=[], help="a source whose listed links are fetched, not crawled")
     for name in ("embed", "verify", "evaluate"):
         p = sub.add_parser(name)
         p.add_argument("--chunks", required=True)
@@ -37,9 +44,16 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--model", default="hashing")
     p.add_argument("--top-k", type=int, default=5)
     a = parser.parse_args(argv)
+    handlers = [logging.StreamHandler(), *([logging.FileHandler(a.log_file, encoding="utf-8")] if a.log_file else [])]
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s | %(levelname)s | %(message)s", handlers=handlers)
     spark = get_session()
     if a.command == "process":
-        print(json.dumps(process.process_documents(spark, a.input_folder, a.output_folder), indent=2))
+        config = ChunkingConfig(tokens=TokenizerFile(a.tokenizer)) if a.tokenizer else ChunkingConfig()
+        reader = readers.pypdf_pages if importlib.util.find_spec("pypdf") else None
+        print(json.dumps(process.process_documents(spark, a.input_folder, a.output_folder, config, reader), indent=2))
+    elif a.command == "fetch":
+        counts = fetch.fetch_sources(spark, readers.read_registry(spark, a.registry), readers.http_get, a.output_folder, tuple(a.category))
+        print(json.dumps(counts, indent=2))
     elif a.command == "embed":
         print(json.dumps(process.build_index(spark, a.chunks, a.output_folder, None, a.model, a.batch_size), indent=2))
     elif a.command == "query":

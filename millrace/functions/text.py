@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: All characters that Unicode white space tests accept, for regular expressions of any engine.
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Decimal digits of any script.
+DIGIT = r"\p{Nd}"
 #: Line boundaries of ``str.splitlines``.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A replacement on a line; ``{ws}`` in the pattern stands for white space."""
+    """A replacement on a line; ``{ws}`` in the pattern stands for white space, ``{digit}`` for any decimal digit."""
 
     name: str
     pattern: str
@@ -27,7 +29,12 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        return "(?i)" + self.pattern.replace("{ws}", WS).replace("{ws_inner}", WS[1:-1])
+        """For Java and RE2."""
+        return "(?i)" + self.pattern.replace("{ws}", WS).replace("{ws_inner}", WS[1:-1]).replace("{digit}", DIGIT)
+
+    @property
+    def python_regex(self) -> str:
+        return self.regex.replace(DIGIT, r"\d")
 
 
 @dataclass(frozen=True)
@@ -43,7 +50,7 @@ class Publisher:
 
 def boilerplate_rules(publisher: Publisher = Publisher()) -> tuple[Rule, ...]:
     """The page chrome to remove, in the order in which it is removed."""
-    domain, editor = re.escape(publisher.domain), publisher.editor.replace(" ", r"\x20")
+    domain, editor = re.escape(publisher.domain), publisher.editor
     name, slogan, by = publisher.name, publisher.slogan, publisher.initials
     facts = r"How we verify scheme facts{ws}*\([^)]*\)"
     byline = rf"\b(?:by{{ws}}*)?{editor}{{ws}}*\([^)]*\){{ws}}*·?{{ws}}*Editor,?{{ws}}*{name}"
@@ -59,7 +66,7 @@ def boilerplate_rules(publisher: Publisher = Publisher()) -> tuple[Rule, ...]:
         Rule("help_others", r"\bHelp others find this scheme\b"),
         Rule("tap_to_mark", r"\bTap a document to mark it as ready{ws}*[·.]?{ws}*Progress saved automatically\b"),
         Rule("slogan", rf"\b{domain}{{ws}}*[—-]{{ws}}*{slogan}{{ws}}*"),
-        Rule("documents_ready", r"\b[0-9]+/[0-9]+{ws}+documents ready\b"),
+        Rule("documents_ready", r"\b{digit}+/{digit}+{ws}+documents ready\b"),
         Rule("checked_by", rf"\b{by}{{ws}}+Written{{ws}}+(?:and|&){{ws}}+fact-checked{{ws}}+by.*?{facts}"),
         Rule("byline_and_facts", rf"{byline}{{ws}}*{facts}"),
         Rule("byline", byline),
@@ -67,7 +74,7 @@ def boilerplate_rules(publisher: Publisher = Publisher()) -> tuple[Rule, ...]:
         Rule("editor", rf"\b{editor},?{{ws}}*Editor{{ws}}*\([^)]*\)"),
         Rule("last_verified", r"\bLast verified:{ws}*[^·|\n]+[·|]?"),
         Rule("fact_checked", rf"\b{by}{{ws}}+Written{{ws}}+(?:and|&){{ws}}+fact-?checked\b"),
-        Rule("last_verified_on", r"\bLast{ws}+Verified{ws}*:?{ws}*[0-9]{1,2}{ws}+[A-Za-z]+{ws}+[0-9]{4}"),
+        Rule("last_verified_on", r"\bLast{ws}+Verified{ws}*:?{ws}*{digit}{1,2}{ws}+[A-Za-z]+{ws}+{digit}{4}"),
         Rule("cross", r"{ws}*✕{ws}*", " "),
     )
 
@@ -137,7 +144,7 @@ def clean_text_py(text: str, rules: tuple[Rule, ...] = RULES) -> str:
         line = re.sub("[ \t]+", " ", raw).strip()
         if re.search(MARKERS, line):
             for rule in rules:
-                line = re.sub(rule.regex, rule.replacement, line)
+                line = re.sub(rule.python_regex, rule.replacement, line)
         line = re.sub("[ \t]+", " ", line).strip(" |-")
         if line:
             seen.setdefault(line)
@@ -156,7 +163,7 @@ def sentences(line: Column) -> Column:
 
 
 def is_list_item(line: Column) -> Column:
-    return line.rlike(rf"^(?:[-*•]|\d+[.)]){WS}+")
+    return line.rlike(rf"^(?:[-*•]|{DIGIT}+[.)]){WS}+")
 
 
 def content_hash(text: Column) -> Column:
@@ -198,18 +205,31 @@ def is_heading(line: Column) -> Column:
     return n.between(1, 12) & (F.length(line) <= 120) & (shaped | is_upper(line))
 
 
-def fold(text: Column, exact: bool = False) -> Column:
-    """Case folded: natively for what lower-casing and sharp s cover, in Python for all of Unicode."""
-    if not exact:
-        return F.lower(F.replace(text, F.lit("ß"), F.lit("ss")))
+@lru_cache(maxsize=1)
+def folded_otherwise() -> str:
+    """A character class of the letters that lower-casing alone does not fold, and of those that it folds by context."""
+    odd = [c for c in map(chr, range(128, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c.lower()]
+    return "[Σİ" + "".join(odd) + "]"
+
+
+def fold(text: Column) -> Column:
+    """Case folded over all of Unicode; only texts with letters that lower-casing does not fold reach Python."""
 
     @F.pandas_udf("string")
     def casefold(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else v.casefold())
 
-    return F.when(text.rlike(r"^[\x00-\x7f]*$"), F.lower(text)).otherwise(casefold(text))
+    return F.when(text.rlike(folded_otherwise()), casefold(text)).otherwise(F.lower(text))
+
+
+def contains_all(folded_text: Column, folded_terms: Column) -> Column:
+    """Whether every term occurs, both folded; true for no terms."""
+    return F.forall(F.coalesce(folded_terms, F.array().cast("array<string>")), lambda t: F.contains(folded_text, t))
 
 
-def contains_all(folded_text: Column, terms: Column, folded: Callable[[Column], Column] = fold) -> Column:
-    """Whether every term occurs; true for no terms."""
-    return F.forall(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.contains(folded_text, folded(t)))
+def fold_terms(df: DataFrame, key: str, terms: str) -> DataFrame:
+    """``df``, one row for each ``key``, with its terms folded, which functions over arrays cannot call Python for."""
+    each = df.select(F.col(key).alias("__key"), F.explode(terms).alias("__t")).select("__key", fold(F.col("__t")).alias("__t"))
+    folded = each.groupBy("__key").agg(F.collect_list("__t").alias("__terms"))
+    joined = df.join(folded, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    return joined.withColumn(terms, F.coalesce("__terms", F.array().cast("array<string>"))).drop("__terms")

@@ -6,27 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.plans import computed
 from millrace.session import ship_package
 
+#: Parts that the chunks of a source url are dealt into where they meet cases.
+PARTS = 32
 
-def evidence(folded_text: Column, terms: Column, exact: bool = False) -> Column:
-    """Whether the text holds every term, case folded."""
-    return T.contains_all(F.coalesce(folded_text, F.lit("")), terms, lambda t: T.fold(t) if not exact else t)
 
+def evidence(folded_text: Column, folded_terms: Column) -> Column:
+    """Whether the text holds every term, both case folded."""
+    return T.contains_all(F.coalesce(folded_text, F.lit("")), folded_terms)
 
-def case_coverage(cases: DataFrame, chunks: DataFrame, exact: bool = False) -> DataFrame:
+
+def case_coverage(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, source_url_found, evidence_found, source_chunk_count, evidence_chunk_count) of each case.
 
-    Chunks meet cases by the source url, their text folded once. ``exact`` folds all of Unicode, in Python.
+    Chunks meet cases by the source url, their text folded once. Rows are dealt by url and a part of the chunk's hash,
+    and cases go to all parts of their urls, so the chunks of a url that very many share are many tasks' work.
     """
     ship_package(cases.sparkSession)
-    wanted = cases.select("id", F.explode(F.array_distinct("relevant_source_urls")).alias("source_url"), "relevant_terms")
-    if exact:  # terms are folded before they go into arrays again, since Python functions do not run inside of these
-        each = cases.select("id", F.explode_outer("relevant_terms").alias("t")).withColumn("t", T.fold(F.col("t"), True))
-        wanted = wanted.drop("relevant_terms").join(each.groupBy("id").agg(F.collect_list("t").alias("relevant_terms")), "id")
-    folded = chunks.select("source_url", T.fold(F.col("text"), exact).alias("folded"))
-    met = folded.join(wanted, "source_url").select(
-        "id", evidence(F.col("folded"), F.col("relevant_terms"), exact).alias("has_evidence")
+    each = T.fold_terms(cases.select("id", "relevant_source_urls", "relevant_terms"), "id", "relevant_terms")
+    wanted = each.select("id", F.explode(F.array_distinct("relevant_source_urls")).alias("source_url"), "relevant_terms")
+    wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    folded = chunks.select(
+        "source_url", T.fold(F.col("text")).alias("folded"), F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part")
+    )
+    met = computed(folded, folded=F.col("folded")).join(wanted, ["source_url", "part"]).select(
+        "id", evidence(F.col("folded"), F.col("relevant_terms")).alias("has_evidence")
     )
     counts = met.groupBy("id").agg(F.count("*").alias("s"), F.count_if("has_evidence").alias("e"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")

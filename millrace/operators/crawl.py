@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import urls
+from millrace.plans import kept
 
-#: Pages of a source, and seconds for a request.
-MAX_PAGES, TIMEOUT = 25, 30
+#: Fixed value: pages of a source.
+MAX_PAGES = 25
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -33,25 +33,23 @@ def crawl(
     start_host = urls.netloc(F.lit(start))
     allowed = lambda c: (urls.netloc(c) == start_host) & urls.is_crawlable(c)
     frontier = spark.createDataFrame([(start,)], "url string").select(
-        urls.defragment(F.col("url")).alias("url"), F.lit(1).cast("long").alias("place")
+        urls.defragment(F.col("url")).alias("url"), F.struct(F.lit(0).cast("long").alias("rank"), F.lit(0).alias("pos")).alias("place")
     ).where(allowed(F.col("url")))
     visited = spark.createDataFrame([], "url string")
     found = spark.createDataFrame([], "url string, rank long")
     n_found = 0
     while n_found < max_pages:
-        frontier = frontier.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else frontier.cache()
+        frontier = kept(frontier)
         if frontier.isEmpty():
             break
-        good = expand(frontier).orderBy("place").limit(max_pages - n_found)
-        ranked = good.select("url", (F.row_number().over(Window.orderBy("place")) + n_found).cast("long").alias("rank"))
-        ranked = spark.createDataFrame(ranked.collect(), "url string, rank long")  # at most max_pages rows
+        good = expand(frontier).orderBy("place").limit(max_pages - n_found).select("url").collect()  # at most max_pages rows
+        ranked = spark.createDataFrame([(r["url"], n_found + k + 1) for k, r in enumerate(good)], "url string, rank long")
         found = found.unionByName(ranked)
-        n_found += ranked.count()
+        n_found += len(good)
         visited = visited.unionByName(frontier.select("url"))
         links = edges_of(ranked).join(ranked.withColumnRenamed("url", "src"), "src")
-        first = links.where(allowed(F.col("dst"))).groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("rank", "pos")).alias("o"))
-        fresh = first.join(visited, "url", "left_anti")
-        frontier = fresh.select("url", F.row_number().over(Window.orderBy("o")).cast("long").alias("place"))
+        first = links.where(allowed(F.col("dst"))).groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("rank", "pos")).alias("place"))
+        frontier = first.join(visited, "url", "left_anti")
     return found
 
 

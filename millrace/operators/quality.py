@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from millrace.config import ChunkingConfig
 from millrace.functions import text as T
 from millrace.operators.chunking import token_count
+from millrace.plans import kept
 from millrace.session import ship_package
 
 REQUIRED = ("chunk_id", "source_url", "title", "chunk_index", "text")
@@ -32,13 +33,15 @@ def chunk_issues(chunks: DataFrame, config: ChunkingConfig = ChunkingConfig(), p
     """``chunks`` with ``issue_id`` and ``issues``, the sorted names of what is wrong, and ``short_faq``.
 
     Counts and hashes that are missing or null are computed. All rows of a repeated text are flagged. A short answer
-    to a question heading is kept. A chunk without an id is named by its position.
+    to a question heading is kept. A chunk without an id is named by its position: that of ``position_col``, or else
+    a number of its row in the table, which is different for each.
     """
     ship_package(chunks.sparkSession)
     have = set(chunks.columns)
     col = lambda name, kind: F.col(name) if name in have else F.lit(None).cast(kind)
     text = F.coalesce(col("text", "string"), F.lit(""))
-    full = chunks
+    position = F.monotonically_increasing_id() if position_col is None else F.col(position_col)
+    full = chunks.withColumn("__position", position.cast("string"))
     for name, kind in (("chunk_id", "string"), ("source_url", "string"), ("title", "string"), ("chunk_index", "int")):
         full = full.withColumn(name, col(name, kind))
     full = (
@@ -62,9 +65,9 @@ def chunk_issues(chunks: DataFrame, config: ChunkingConfig = ChunkingConfig(), p
             F.when(short & ~F.col("is_faq"), F.lit("too_short")),
         )
     )
-    position = F.lit("?") if position_col is None else F.col(position_col).cast("string")
+    named_by = F.coalesce(F.nullif("chunk_id", F.lit("")), F.concat(F.lit("position-"), "__position"))
     return full.select(
-        *full.columns, F.coalesce(F.nullif("chunk_id", F.lit("")), F.concat(F.lit("position-"), position)).alias("issue_id"),
+        *[c for c in full.columns if c != "__position"], named_by.alias("issue_id"),
         named.alias("issues"), (short & F.col("is_faq")).alias("short_faq"),
     )
 
@@ -110,7 +113,8 @@ def inspection_sample(chunks: DataFrame, order: list[str], size: int = 25) -> Da
     ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("__id", F.monotonically_increasing_id())
     part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = numbered.withColumn("__part", part).withColumn("__place", place)
+    # written once: a range shuffle that is planned twice may cut its ranges differently
+    placed = kept(numbered.withColumn("__part", part).withColumn("__place", place))
     parts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = parts.withColumn(  # a row for each partition
         "__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators.coverage import evidence
+from millrace.plans import computed
 from millrace.session import ship_package
 
 METRIC = "inner_product_on_normalized_embeddings"
@@ -73,23 +74,77 @@ def embed_chunks(chunks: DataFrame, encoder: Encoder | None = None, batch_size:
     return chunks.withColumn("embedding", run(F.col(text_col)))
 
 
-def manifest(index: DataFrame, source_file: str, embedding_model: str, index_file: str) -> DataFrame:
+def manifest(index: DataFrame, source_file: str, embedding_model: str, index_file: str, metadata_file: str | None = None) -> DataFrame:
     """One row on a vector table."""
     return index.agg(F.max(F.size("embedding")).alias("dimension"), F.count("*").alias("chunk_count")).select(
         F.lit(source_file).alias("source_file"), F.regexp_extract(F.lit(source_file), r"([^/]*)$", 1).alias("source_file_name"),
         F.lit(embedding_model).alias("embedding_model"), F.lit(METRIC).alias("metric"), "dimension", "chunk_count",
-        F.lit(index_file).alias("index_file"), F.lit(index_file).alias("metadata_file"),
+        F.lit(index_file).alias("index_file"), F.lit(metadata_file or index_file).alias("metadata_file"),
     )
 
 
-def scored(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, digits: int | None = None) -> DataFrame:
-    """(query id, vector id, score) of every stated query with every vector.
+#: Queries and vectors of a block: a pair of blocks is one matrix product of 1024 by 4096 doubles.
+QUERY_ROWS, VECTOR_ROWS = 1024, 4096
 
-    ``queries`` is a stated set; Spark broadcasts it while it is small, and else compares it in blocks.
+
+def _blocks(rows: DataFrame, id_col: str, names: tuple[str, str, str], size: int) -> DataFrame:
+    """A row for each block of at most about ``size`` rows of one dimension: ids and components, one after the other."""
+    n_blocks = F.lit(max(1, -(-rows.count() // size)))
+    dealt = rows.select(
+        F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias(names[2])
+    ).where(F.col(names[2]) > 0)
+    one = F.collect_list(F.struct("id", "v"))
+    grouped = dealt.groupBy(names[2], F.pmod(F.xxhash64("id"), n_blocks).alias("block")).agg(F.array_sort(one).alias("rows"))
+    return grouped.select(
+        names[2], F.transform("rows", lambda r: r["id"]).alias(names[0]),
+        F.flatten(F.transform("rows", lambda r: r["v"])).alias(names[1]),
+    )
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, k: int, same: bool = True) -> DataFrame:
+    """(query id, vector id, score, rank) of the ``k`` vectors of the greatest inner product with each query.
+
+    ``queries`` is a stated set, compared with all vectors in blocks: a pair of blocks is a matrix product, of which
+    the best ``k`` of each query leave, so what is shuffled are ``k`` rows for a query and block, and no scores of all
+    pairs. Equal scores are ordered by the smaller vector id. ``same`` is false where a query is not to find its own id.
     """
-    q = queries.select(F.col(query_id), F.col("embedding").alias("__q"))
-    score = V.dot(F.col("__q"), F.col("embedding"))
-    return q.crossJoin(vectors).withColumn("score", F.round(score, digits) if digits is not None else score).drop("__q", "embedding")
+    ship_package(vectors.sparkSession)
+    q = _blocks(queries, query_id, ("qs", "qv", "qd"), QUERY_ROWS)
+    v = _blocks(vectors, vector_id, ("vs", "vv", "vd"), VECTOR_ROWS)
+    kinds = (dict(queries.dtypes)[query_id], dict(vectors.dtypes)[vector_id])
+
+    def best_of(scores: np.ndarray) -> np.ndarray:
+        """Places of the best, and of all that are as good as the last of them."""
+        if len(scores) <= k:
+            return np.arange(len(scores))
+        return np.nonzero(scores >= np.partition(scores, -k)[-k])[0]
+
+    @F.pandas_udf(f"array<struct<q:{kinds[0]},v:{kinds[1]},score:double>>")
+    def compare(qs: pd.Series, qv: pd.Series, vs: pd.Series, vv: pd.Series) -> pd.Series:
+        out = []
+        for a, x, b, y in zip(qs, qv, vs, vv):
+            a, b = list(a), list(b)
+            left, right = (np.asarray(m, np.float64).reshape(len(ids), -1) for ids, m in ((a, x), (b, y)))
+            if left.shape[1] != right.shape[1]:
+                out.append([])
+                continue
+            scores = np.round(left @ right.T, 12)  # so that equal vectors have equal scores in every block
+            place = {name: i for i, name in enumerate(b)} if not same else {}
+            rows = []
+            for i, name in enumerate(a):
+                if name in place:
+                    scores[i, place[name]] = -np.inf
+                rows += [
+                    {"q": name, "v": b[j], "score": float(scores[i, j])}
+                    for j in best_of(scores[i]).tolist() if scores[i, j] > -np.inf
+                ]
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    # every block of queries meets every block of vectors, which is what a stated query set against all rows is
+    pairs = v.crossJoin(q).select(F.explode(compare("qs", "qv", "vs", "vv")).alias("r"))
+    found = pairs.select(F.col("r.q").alias(query_id), F.col("r.v").alias(vector_id), "r.score")
+    return top_k(found, query_id, vector_id, k)
 
 
 def top_k(scores: DataFrame, query_id: str, vector_id: str, k: int) -> DataFrame:
@@ -196,14 +251,14 @@ def verify_index(
 
 
 def case_hits(cases: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(id, source_hit, evidence_hit, top_score) of each case over its ``k`` best chunks."""
-    both = cases.select("id", "relevant_source_urls", "relevant_terms", F.col("embedding").alias("__q")).crossJoin(
-        index.select("position", "source_url", "text", "embedding")
-    )
-    best = top_k(both.withColumn("score", V.dot(F.col("__q"), F.col("embedding"))).drop("__q", "embedding"), "id", "position", k)
+    """(id, source_hit, evidence_hit, top_score) of each case over its ``k`` best chunks, whose texts are fetched last."""
+    best = nearest(cases, index, "id", "position", k).select("id", "position", "score")
+    told = T.fold_terms(cases.select("id", "relevant_source_urls", "relevant_terms"), "id", "relevant_terms")
+    met = best.join(told, "id").join(index.select("position", "source_url", "text"), "position")
+    met = computed(met, folded=T.fold(F.col("text")))
     source = F.array_contains("relevant_source_urls", F.col("source_url"))
-    return best.groupBy("id").agg(
+    return met.groupBy("id").agg(
         F.bool_or(F.coalesce(source, F.lit(False))).alias("source_hit"),
-        F.bool_or(F.coalesce(source & evidence(T.fold(F.col("text")), F.col("relevant_terms")), F.lit(False))).alias("evidence_hit"),
+        F.bool_or(F.coalesce(source & evidence(F.col("folded"), F.col("relevant_terms")), F.lit(False))).alias("evidence_hit"),
         F.max("score").alias("top_score"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +23,14 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files give fewer partitions than that; larger inputs are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once for several uses: in the shared folder of checkpoints, or on disk where none is named."""
+    sc = df.sparkSession.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named)
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist(StorageLevel.DISK_ONLY)

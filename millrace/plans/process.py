@@ -12,6 +12,9 @@ from millrace.operators.search import Encoder, embed_chunks, manifest
 from millrace.sources import readers as R
 from millrace.sources import writers as W
 
+#: Ids of invalid chunks that a report lists itself, like a page of them; its file of ids has all.
+LISTED = 10_000
+
 
 def process_documents(
     spark: SparkSession, input_folder: str, output_folder: str, config: ChunkingConfig = ChunkingConfig(),
@@ -23,16 +26,20 @@ def process_documents(
     chunk_documents(docs, config, keys=("ord",)).write.mode("overwrite").parquet(chunks_path)
     chunks = spark.read.parquet(chunks_path)
     order = ["ord", "chunk_index"]
-    issues = Q.chunk_issues(chunks, config)
+    issues = Q.chunk_issues(chunks, config)  # chunks of this plan have ids, so none is named by its position
     ready = Q.ready_chunks(chunks, issues)
     sample = Q.inspection_sample(chunks, order)
     for df, name in ((chunks, R.CHUNKS), (ready, R.READY)):
         W.write_jsonl(df.orderBy(*order).drop("ord"), f"{output_folder}/{name}")
     W.write_jsonl(sample.orderBy("sample_position").drop("ord", "sample_position"), f"{output_folder}/{R.INSPECTION}", single=True)
-    bad = [r[0] for r in Q.invalid_ids(issues).orderBy("chunk_id").collect()]  # the report lists them
+    invalid = Q.invalid_ids(issues)
+    W.write_jsonl(invalid.orderBy("chunk_id"), f"{output_folder}/{R.INVALID}")  # all of them
     report = Q.quality_report(issues, config, embedding_model)
+    totals = report.first()
+    bad = [r[0] for r in invalid.orderBy("chunk_id").limit(LISTED).collect()]
     return W.write_report(
-        report, f"{output_folder}/{R.EVALUATION}", invalid_chunk_ids=bad, ready_chunks=report.first()["valid_chunks"],
+        report, f"{output_folder}/{R.EVALUATION}", invalid_chunk_ids=bad, invalid_ids_file=f"{output_folder}/{R.INVALID}",
+        invalid_chunk_ids_are_all=totals["invalid_chunks"] <= LISTED, ready_chunks=totals["valid_chunks"],
         chunks_file=f"{output_folder}/{R.CHUNKS}", ready_chunks_file=f"{output_folder}/{R.READY}",
         inspection_file=f"{output_folder}/{R.INSPECTION}", inspection_sample_size=min(25, chunks.count()),
     )
@@ -50,7 +57,9 @@ def build_index(
         raise ValueError("there are no chunks to embed")
     target = f"{output_folder}/chunks_index"
     embed_chunks(chunks, encoder, batch_size).sortWithinPartitions("position").write.mode("overwrite").parquet(target)
-    facts = manifest(spark.read.parquet(target), chunks_path, embedding_model, target)
+    index = spark.read.parquet(target)
+    W.write_jsonl(index.select(*R.METADATA_FIELDS, "position").orderBy("position"), f"{output_folder}/{R.METADATA}")
+    facts = manifest(index, chunks_path, embedding_model, target, f"{output_folder}/{R.METADATA}")
     return W.write_report(facts, f"{output_folder}/manifest.json")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +16,7 @@ from millrace.functions import vectors as V
 from millrace.operators import coverage, crawl, html, quality, search, sections
 from millrace.operators.chunking import chunk_documents
 from millrace.operators.windows import word_windows
-from millrace.plans import computed, spread
+from millrace.plans import computed, kept, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,8 +110,9 @@ def clean_conversations(spark, sf_dir):
 
 @query
 def casefold_terms(spark, sf_dir):
-    terms = F.array(F.lit("STRASSE"), F.lit("The"))
-    return documents(spark, sf_dir).select("doc_id", T.contains_all(T.fold(F.col("text")), terms).alias("has_all"))
+    terms = F.array(*[F.lit(t.casefold()) for t in ("STRASSE", "The")])
+    folded = computed(documents(spark, sf_dir).select("doc_id", "text"), folded=T.fold(F.col("text")))
+    return folded.select("doc_id", T.contains_all(F.col("folded"), terms).alias("has_all"))
 
 
 # --- sections and chunks ---
@@ -158,7 +158,12 @@ def doc_chunks(spark, sf_dir):
 
 @query
 def ready_chunks(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # used three times
+    # used three times, without the texts: whether one is empty is all that the checks need of it
+    narrow = _chunks(spark, sf_dir).select(
+        "doc_id", "chunk_id", "source_url", "title", "chunk_index", "is_faq", "word_count", "token_count", "content_hash",
+        F.substring("text", 1, 1).alias("text"),
+    )
+    chunks = kept(narrow)
     return quality.ready_chunks(chunks, quality.chunk_issues(chunks, CONFIG)).select(
         "doc_id", "chunk_id", "chunk_index", "word_count", "content_hash"
     )
@@ -167,7 +172,24 @@ def ready_chunks(spark, sf_dir):
 @query
 def page_chunks(spark, sf_dir):
     pages = spread(table(spark, sf_dir, "pages")).select("page_id", "url", "html")
-    return chunk_documents(pages, CONFIG, keys=("page_id",))
+    return chunk_documents(pages, CONFIG, keys=("page_id",)).drop("page_number")  # web pages have none
+
+
+@query
+def faq_chunk_issues(spark, sf_dir):
+    """Short sections under question and other headings, through chunking and the checks."""
+    heading = F.concat(F.when(F.col("doc_id") % 2 == 0, "Who may apply under rule ").otherwise("Benefits of rule "), "doc_id")
+    heading = F.concat(heading, F.when(F.col("doc_id") % 3 == 0, "?").otherwise(""))
+    first = F.array_join(F.slice(T.words(F.col("text")), 1, 12), " ")
+    section = F.struct(
+        heading.alias("heading"), first.alias("text"), F.lit(None).cast("int").alias("page_number"), F.lit(0).alias("section_index")
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("https://faq.example/"), "doc_id").alias("url"), F.col("source").alias("title"),
+        F.array(section).alias("sections"),
+    )
+    issues = quality.chunk_issues(chunk_documents(docs, CONFIG, keys=("doc_id",)), CONFIG)
+    return issues.select("doc_id", "section", "is_faq", "word_count", F.array_join("issues", ",").alias("issues"), "short_faq")
 
 
 @query
@@ -208,7 +230,11 @@ def issue_counts(spark, sf_dir):
 @query
 def quality_report(spark, sf_dir):
     report = quality.quality_report(quality.chunk_issues(_document_chunks(spark, sf_dir), CONFIG), CONFIG)
-    return report.select("total_chunks", "valid_chunks", "invalid_chunks", "min_words", "max_tokens", "short_faq_policy", "passed")
+    counts = F.array_join(F.transform(F.map_entries("issue_counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return report.select(
+        "total_chunks", "valid_chunks", "invalid_chunks", counts.alias("issue_counts"), "min_words", "max_tokens", "short_faq_policy",
+        "embedding_model", "passed",
+    )
 
 
 @query
@@ -269,13 +295,18 @@ def category_links(spark, sf_dir):
 
 @query
 def crawl_bfs(spark, sf_dir):
-    """Pages as a binary tree of links under one host, crawled to the limit of pages of a source."""
+    """Pages as a tree of links under one host, the later child first, crawled to the limit of pages of a source.
+
+    Every seventh page cannot be fetched, every fifth is a file that is not crawled, and all link back to the start.
+    """
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"))
-    url = lambda n: F.concat(F.lit("https://site.example/"), n)
-    edges = pages.select(
-        url(F.col("n")).alias("src"), F.posexplode(F.array(F.col("n") * 2 + 1, F.col("n") * 2 + 2)).alias("pos", "m")
-    ).select("src", "pos", url(F.col("m")).alias("dst"))
-    return crawl.crawl_table(edges, pages.select(url(F.col("n")).alias("url")), "https://site.example/0#top")
+    url = lambda n: F.concat(F.lit("https://site.example/"), n, F.when(n % 5 == 4, ".pdf").otherwise(""))
+    children = F.array(F.col("n") * 2 + 2, F.lit(0).cast("long"), F.col("n") * 2 + 1)
+    edges = pages.select(url(F.col("n")).alias("src"), F.posexplode(children).alias("pos", "m")).select(
+        "src", "pos", url(F.col("m")).alias("dst")
+    )
+    known = pages.where("n % 7 <> 6").select(url(F.col("n")).alias("url"))
+    return crawl.crawl_table(edges, known, "https://site.example/0#top")
 
 
 # --- vectors ---
@@ -290,7 +321,11 @@ def vector_norms(spark, sf_dir):
 @query
 def vector_normalize(spark, sf_dir):
     e = spread(table(spark, sf_dir, "embeddings"))
-    return e.select("vec_id", F.round(V.norm(V.normalize(F.transform("embedding", lambda x: x * 3))), 6).alias("norm"))
+    unit = computed(e.select("vec_id", "embedding"), unit=V.normalize(F.transform("embedding", lambda x: x * 3)))
+    return unit.select(
+        "vec_id", F.round(V.norm(F.col("unit")), 6).alias("norm"), F.round(F.col("unit")[0], 6).alias("first"),
+        F.round(F.element_at("unit", -1), 6).alias("last"),
+    )
 
 
 @query
@@ -302,8 +337,8 @@ def _neighbours(spark, sf_dir, k=5):
     """The best vectors of each query vector, itself left out; queries are the ids divisible by 50."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
-    scores = search.scored(q.select("query_id", "embedding"), spread(e), "query_id", "vec_id").where("query_id <> vec_id")
-    return search.top_k(scores, "query_id", "vec_id", k).join(q.select("query_id", "query_label"), "query_id")
+    best = search.nearest(q.select("query_id", "embedding"), e.select("vec_id", "embedding"), "query_id", "vec_id", k, same=False)
+    return best.join(q.select("query_id", "query_label"), "query_id").join(e.select("vec_id", "label"), "vec_id")
 
 
 @query
@@ -349,6 +384,51 @@ def index_search(spark, sf_dir):
     return hits.select("rank", "chunk_id", F.round("score", 5).alias("score"), F.col("citation.source_url").alias("cited"))
 
 
+class AlternatingEncoder:
+    """Any text as the same vector of unit length, its components of alternating sign; so SQL can make it too."""
+
+    def encode(self, texts, **_):
+        import numpy as np
+
+        return np.tile(np.array([1, -1] * 32, np.float32) / 8, (len(texts), 1))
+
+
+def _cited_vectors(spark, sf_dir):
+    """Vectors as an index of chunks, those of some documents with nothing to cite."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(
+        F.col("doc_id").alias("position"), F.col("lang").alias("title"), F.col("source").alias("source_url"), "text"
+    )
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("position"), "embedding")
+    section = F.when(F.col("position") % 2 == 0, "").otherwise(F.concat(F.lit("part "), "position"))
+    return vectors.join(docs, "position", "left").select(
+        "*", F.concat(F.lit("v"), "position").alias("chunk_id"), section.alias("section")
+    )
+
+
+@query
+def search_citations(spark, sf_dir):
+    hits = search.search_chunks(_cited_vectors(spark, sf_dir), "a question", 20, AlternatingEncoder())
+    return hits.select("rank", F.round("score", 6).alias("score"), "citation.title", "citation.source_url", "citation.section", "citation.chunk_id")
+
+
+@query
+def rendered_hits(spark, sf_dir):
+    return search.render_hits(search.search_chunks(_cited_vectors(spark, sf_dir), "a question", 20, AlternatingEncoder()))
+
+
+@query
+def case_hit_rate(spark, sf_dir):
+    """Cases whose query vectors are those of the ids divisible by 50, against all vectors with their documents."""
+    index = _cited_vectors(spark, sf_dir)
+    word = lambda n: F.get(F.split("text", " "), F.lit(n))
+    cases = index.where("position % 50 = 0").select(
+        F.col("position").cast("string").alias("id"), "embedding",
+        F.array(F.concat(F.lit("src"), F.col("position") % 20), F.coalesce("source_url", F.lit("none"))).alias("relevant_source_urls"),
+        F.array_compact(F.array(F.upper(word(0)), word(1))).alias("relevant_terms"),
+    )
+    return search.case_hits(cases, index, 5).withColumn("top_score", F.round("top_score", 6))
+
+
 @query
 def index_manifest(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -387,6 +467,7 @@ def corpus_coverage(spark, sf_dir):
 
 @query
 def metadata_lookup_join(spark, sf_dir):
+    # a list of metadata is a lookup by name, in which a later entry counts
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.struct("quality", "toxic")).alias("m"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return docs.join(labels, "doc_id", "left").select(
@@ -408,13 +489,14 @@ def source_union(spark, sf_dir):
 @query
 def tpch_join_agg(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    exact = lambda c: F.col(c).cast("decimal(12,2)")  # noqa: E731  sums of doubles depend on the order of rows
+    revenue = F.sum(exact("l_extendedprice") * (1 - exact("l_discount")))
     return (
         t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy("n_name", "c_mktsegment")
-        .agg(F.round(revenue, 2).alias("revenue"), F.countDistinct("o_orderkey").alias("orders"))
+        .agg(F.round(revenue, 2).cast("double").alias("revenue"), F.countDistinct("o_orderkey").alias("orders"))
     )
 
 

@@ -12,15 +12,19 @@ from pyspark.sql import SparkSession
 _ROOT = Path(__file__).resolve().parent
 
 
-def get_session(app: str = "millrace", master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
-    """A session with the settings the operators expect; an existing session is reused."""
+def get_session(app: str = "millrace", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+    """A session with the settings the operators expect; an existing session is reused.
+
+    The number of shuffle partitions is the cluster's own unless one is named; adaptive execution joins small ones.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return (builder.master(master) if master else builder).getOrCreate()
 
 

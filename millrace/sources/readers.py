@@ -18,7 +18,11 @@ from millrace.session import ship_package
 
 #: Names of the files that the plans write.
 CHUNKS, READY, EVALUATION, INSPECTION = "chunks.jsonl", "chunks_ready.jsonl", "chunk_evaluation.json", "chunk_inspection.jsonl"
+METADATA, INVALID = "metadata.jsonl", "chunk_invalid.jsonl"
+METADATA_FIELDS = ("chunk_id", "title", "section", "source_url", "text")
 
+#: Fixed value: seconds for a request.
+TIMEOUT = 30
 #: A fetched response: (status, content type, body), or None for a failure.
 Fetcher = Callable[[str], "tuple[int, str | None, bytes] | None"]
 
@@ -37,6 +41,14 @@ def dispatch(registry: DataFrame, category_urls: tuple[str, ...] = ()) -> DataFr
     return registry.withColumn("strategy", F.when(F.col("url").isin(list(category_urls)), "category").otherwise("site"))
 
 
+def http_get(url: str) -> tuple[int, str | None, bytes]:
+    """A GET request within the time of a request."""
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=TIMEOUT) as response:
+        return response.status, response.headers.get("content-type"), response.read()
+
+
 def fetch_pages(frontier: DataFrame, fetcher: Fetcher) -> DataFrame:
     """(url, html) of the urls whose response is a page; failures of any kind are left out."""
     ship_package(frontier.sparkSession)
@@ -77,9 +89,42 @@ def download_pdfs(links: DataFrame, fetcher: Fetcher) -> DataFrame:
     )
 
 
+def render_pdfs(links: DataFrame, renderer: Callable[[str], "tuple[str, bytes] | None"]) -> DataFrame:
+    """(url, title, pdf, file_id, body) of pages printed by ``renderer``, which gives (title, PDF) of a url.
+
+    A browser is not part of this package. Files are named by the last part of the url's path.
+    """
+    ship_package(links.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [(url, renderer(url)) for url in batch["url"]]
+            rows = [(url, *made) for url, made in got if made]
+            yield pd.DataFrame(rows, columns=["url", "title", "body"])
+
+    name = urls.last_segment(F.col("url"))
+    made = links.select("url").mapInPandas(run, "url string, title string, body binary")
+    return made.select("url", "title", F.concat(name, F.lit(".pdf")).alias("pdf"), name.alias("file_id"), "body")
+
+
 PdfReader = Callable[[bytes], "list[str]"]
 
 
+def pypdf_pages(body: bytes) -> list[str]:
+    """Text of each page, by the ``pypdf`` package where it is installed."""
+    from io import BytesIO
+
+    from pypdf import PdfReader as Library
+
+    return [page.extract_text() or "" for page in Library(BytesIO(body)).pages]
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata of an index, a JSON line for each vector, with its ``position`` in the file."""
+    kind = T.StructType([f for f in S.CHUNK.fields if f.name in METADATA_FIELDS] + [T.StructField("position", T.LongType())])
+    return spark.read.schema(kind).json(path)
+
+
 def pdf_sections(files: DataFrame, reader: PdfReader) -> DataFrame:
     """(path, sections) of ``files(path, content)``: pages by the injected reader, sections by line windows."""
     ship_package(files.sparkSession)
@@ -147,17 +192,21 @@ def read_ready_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of a file or folder named chunks_ready.jsonl, with ``position``; faults raise ValueError."""
     if posixpath.basename(path.rstrip("/")) != READY:
         raise ValueError(f"expected a file named {READY}")
-    lines = spark.read.text(path).withColumn("position", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    every = spark.read.text(path).select(
+        "value", F.monotonically_increasing_id().alias("position"), F.col("_metadata.file_path").alias("file")
+    )
+    lines = every.where(F.trim("value") != "")
     kind = T.StructType([*S.CHUNK.fields, T.StructField("__bad", T.StringType())])
     rows = lines.select(
-        "position", F.from_json("value", kind, {"columnNameOfCorruptRecord": "__bad"}).alias("c"), "value"
+        "position", "file", F.from_json("value", kind, {"columnNameOfCorruptRecord": "__bad"}).alias("c"), "value"
     )
     bad = rows.where(
         F.col("c").isNull() | F.col("c.__bad").isNotNull() | ~F.ltrim("value").startswith("{")
         | (F.trim(F.coalesce("c.text", F.lit(""))) == "")
-    ).select("position").limit(1).collect()
-    if bad:
-        raise ValueError(f"{path}: line {bad[0]['position'] + 1} is no chunk with text")
+    ).agg(F.min(F.struct("file", "position")).alias("first")).first()["first"]
+    if bad is not None:
+        before = every.where((F.col("file") == bad["file"]) & (F.col("position") < bad["position"])).count()
+        raise ValueError(f"{bad['file']}: line {before + 1} is no chunk with text")
     return rows.select("position", *[f"c.{f.name}" for f in S.CHUNK.fields])
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +36,27 @@ def write_report(report: DataFrame, path: str, **more) -> dict:
 
 
 def write_fetched(documents: DataFrame, path: str) -> None:
-    """Fetched documents by file id, the last of equal ids."""
-    named = documents.withColumn("file_id", file_id(F.col("url")))
-    named.dropDuplicates(["file_id"]).write.mode("overwrite").parquet(path)
+    """Fetched documents by file id, of equal ids the one that comes last in the table."""
+    named = documents.select(file_id(F.col("url")).alias("file_id"), F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row"))
+    last = named.groupBy("file_id").agg(F.max_by("d", "row").alias("d"))
+    last.select("d.*", "file_id").write.mode("overwrite").parquet(path)
+
+
+def write_pdfs(pdfs: DataFrame, folder: str) -> None:
+    """``pdfs(file_id, body, ...)`` as files of that name under ``folder``, which all executors reach."""
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in rows:
+            for name, body in zip(batch["file_id"], batch["body"]):
+                store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+                store.create_dir(inner, recursive=True)
+                with store.open_output_stream(f"{inner}/{name}.pdf") as out:
+                    out.write(bytes(body))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    pdfs.select("file_id", "body").mapInPandas(run, "n long").agg(F.sum("n")).collect()  # one number
 
 
 def write_index(embedded: DataFrame, manifest: DataFrame, folder: str) -> None:

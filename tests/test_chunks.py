@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.config import ChunkingConfig
+from millrace.config import ChunkingConfig, TokenizerFile, count_tokens
 from millrace.operators import quality, sections
 from millrace.operators.chunking import chunk_documents, pack_units, pack_widths
 from millrace.operators.html import SECTION_TYPE, html_sections_py
@@ -80,6 +80,19 @@ def test_merge_is_the_repeated_merge(spark, shape):
     assert [[s.heading, s.text] for s in got] == expected
 
 
+def test_tokenizer_file(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"word": 0, "[UNK]": 1}, unk_token="[UNK]"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.enable_truncation(3)
+    own.save(str(tmp_path / "t.json"))
+    tokens = TokenizerFile(str(tmp_path / "t.json"))
+    assert count_tokens(tokens, "word, word word") == 4  # truncation of the file does not count
+    got = chunks(spark, [("u", "word, " * 30)], "url string, text string", ChunkingConfig(100, 10, 1, 12, tokens))
+    assert [r.token_count for r in got[:2]] == [12, 12] and got[0].word_count == 6
+
+
 def test_config():
     for bad in (dict(chunk_size=0), dict(chunk_overlap=400), dict(chunk_overlap=-1), dict(min_words=-1), dict(max_tokens=0)):
         with pytest.raises(ValueError):
@@ -95,9 +108,13 @@ def test_quality(spark):
     ]
     issues = quality.chunk_issues(spark.createDataFrame(rows, schema))
     got = {r.issue_id: list(r.issues) for r in issues.collect()}
+    named = next(k for k in got if k.startswith("position-"))
+    nameless = spark.createDataFrame([(i, "x") for i in range(7)], "at int, text string")
+    assert {r.issue_id for r in quality.chunk_issues(nameless, position_col="at").collect()} == {f"position-{i}" for i in range(7)}
+    assert quality.quality_report(quality.chunk_issues(nameless)).first().invalid_chunks == 7
     assert got == {
         "a": ["duplicate_text"], "b": ["duplicate_text", "too_short"], "c": [], "d": ["missing_metadata", "too_long"],
-        "position-?": ["empty_text", "missing_metadata", "too_short"],
+        named: ["empty_text", "missing_metadata", "too_short"],
     }
     report = quality.quality_report(issues).first()
     assert (report.total_chunks, report.valid_chunks, report.passed) == (5, 1, False)

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from millrace.config import ChunkingConfig
 from millrace.operators.html import category_links, fetched_documents
-from millrace.plans import process
-from millrace.sources import readers
+from millrace.plans import fetch, process
+from millrace.sources import readers, writers
 from millrace.streaming import chunks as stream
 
 
@@ -31,12 +31,35 @@ def test_folder_to_index_and_search(spark, tmp_path):
     assert index.count() == row["chunk_count"] and row["dimension"] == 64
 
 
+def test_fetch_sources(spark, tmp_path):
+    site = {"https://b.example/": "<a href='/one'>1</a><a href='/two#x'>2</a><a href='https://z.example/'>z</a><p>start</p>", "https://b.example/one": "<a href='/'>up</a><p>one</p>", "https://c.example/list": "<a href='/central/s'>Agriculture s</a>", "https://c.example/central/s": "<p>scheme</p><a href='/d.pdf'>pdf</a>"}
+
+    def fetcher(url):
+        if url.endswith(".pdf"):
+            return 200, "application/pdf", b"%PDF"
+        return (200, "text/html", site[url].encode()) if url in site else None
+
+    registry = spark.createDataFrame([("b", "https://b.example/", "x"), ("c", "https://c.example/list", "x")], "name string, url string, publisher_type string")
+    counts = fetch.fetch_sources(spark, registry, fetcher, str(tmp_path), ("https://c.example/list",))
+    assert counts == {"b": {"documents": 2, "pdfs": 0}, "c": {"documents": 1, "pdfs": 1}}
+    assert {r.url for r in spark.read.parquet(str(tmp_path / "documents")).collect()} == {"https://b.example/", "https://b.example/one", "https://c.example/central/s"}
+    assert [p.read_bytes() for p in (tmp_path / "pdfs").glob("*.pdf")] == [b"%PDF"]
+    made = readers.render_pdfs(registry, lambda u: ("T", b"x") if "list" in u else None).collect()
+    assert [(r.title, r.pdf) for r in made] == [("T", "list.pdf")]
+
+
+def test_last_of_equal_documents_is_written(spark, tmp_path):
+    rows = [("u", str(k)) for k in range(5)]
+    writers.write_fetched(spark.createDataFrame(rows, "url string, text string").coalesce(1), str(tmp_path / "d"))
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "d")).collect()] == ["4"]
+
+
 def test_ready_chunks_are_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="chunks_ready.jsonl"):
         readers.read_ready_chunks(spark, str(tmp_path / "chunks.jsonl"))
     for line in ('{"chunk_id": "a", "text": " "}', "[1]", "{broken"):
         (tmp_path / "chunks_ready.jsonl").write_text('{"chunk_id": "a", "text": "x"}\n\n' + line + "\n")
-        with pytest.raises(ValueError):
+        with pytest.raises(ValueError, match="line 3 "):
             readers.read_ready_chunks(spark, str(tmp_path / "chunks_ready.jsonl"))
 
 

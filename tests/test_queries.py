@@ -1,4 +1,4 @@
-"""Every registered core query against its SQL in DuckDB, at the smallest scale."""
+"""Every registered core query against its SQL in DuckDB, at a scale that has over-long units and many ties."""
 
 from pathlib import Path
 
@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from millrace.queries import ORACLE_SQL, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the test tables are not here")
 
 

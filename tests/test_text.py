@@ -34,7 +34,7 @@ def test_both_cleaners_agree(spark):
 def test_sentences_and_list_items(spark):
     got = column(spark, ["Hi there. v1.5 e.g. ok? Yes!! no", "one", ". x"], T.sentences)
     assert got == [["Hi there.", "v1.5 e.g.", "ok?", "Yes!!", "no"], ["one"], [". x"]]
-    assert column(spark, ["- a", "1. a", "12) a", "a - b", "-a"], T.is_list_item) == [True, True, True, False, False]
+    assert column(spark, ["- a", "1. a", "12) a", "a - b", "-a", "१. item"], T.is_list_item) == [True, True, True, False, False, True]
 
 
 def test_headings(spark):
@@ -44,8 +44,11 @@ def test_headings(spark):
 
 
 def test_fold(spark):
-    assert column(spark, ["Straße"], lambda t: T.contains_all(T.fold(t), F.array(F.lit("STRASSE")))) == [True]
-    assert column(spark, ["ΑΣ ﬃ"], lambda t: T.fold(t, exact=True)) == ["ΑΣ ﬃ".casefold()]
+    values = ["Straße", "ΑΣ ﬃ", "İstanbul", "Ǆ ŉ Ᏸ ꭰ", "plain TEXT é É", None, "ΟΔΟΣ ς ſ K"]
+    assert column(spark, values, T.fold) == [None if v is None else v.casefold() for v in values]
+    terms = spark.createDataFrame([("a", ["STRASSE", "Ein"]), ("b", []), (None, ["ß"]), ("c", None)], "k string, t array<string>")
+    got = {r.k: sorted(r.t) for r in T.fold_terms(terms, "k", "t").collect()}
+    assert got == {"a": ["ein", "strasse"], "b": [], None: ["ss"], "c": []}
     assert column(spark, ["x"], lambda t: T.contains_all(t, F.array().cast("array<string>"))) == [True]
 
 
