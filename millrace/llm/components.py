@@ -61,7 +61,7 @@ def connected_components(ws: Workspace, links: DataFrame) -> DataFrame:
         if mark == seen or mark["n"] == 0:
             break
         seen = mark
-        edges = ws.table(_small_star(_large_star(edges)), "stars")
+        edges = ws.table(_small_star(_large_star(edges)), "stars", instead_of=edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

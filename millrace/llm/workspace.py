@@ -1,7 +1,7 @@
 """Tables in the shared folder that cut lineage and survive lost executors.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in tests, is a
-temporary folder of this machine set instead.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the executors are
+threads of this process, as in tests, is a temporary folder of this machine set instead.
 """
 
 from __future__ import annotations
@@ -25,17 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             named = current.get()
+        elif not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             named = "file://" + tempfile.mkdtemp(prefix="millrace-shared-")
             sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def narrow_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
-    """Ship the package, and let Python get at most ``rows`` texts at once, where the session has Spark's default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+#: Settings that the operators need, and Spark's defaults that they replace; a setting of the caller's own stays.
+#: Python gets at most about 4 MB of texts at once. Files are cut into the same partitions however many executors there
+#: are just now, so that numbers of rows, which follow the partitions, are the same in every scan.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+    "spark.sql.files.minPartitionNum": (None, None),
+}
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Ship the package, and see to SETTINGS."""
+    for key, (default, value) in SETTINGS.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, value or str(spark.sparkContext.defaultParallelism))
     return ship_package(spark)
 
 
@@ -54,7 +65,7 @@ class Workspace:
     """A folder of intermediate Parquet tables of one operator call, removed when the driver exits."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = narrow_batches(spark)
+        self.spark = prepared(spark)
         self.root = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self.drop)
@@ -63,11 +74,27 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str = "table") -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def table(self, df: DataFrame, name: str = "table", instead_of: DataFrame | None = None) -> DataFrame:
+        """Write ``df`` and return the written table; a table that it takes the place of is deleted."""
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if instead_of is not None:
+            self.drop(instead_of._millrace_path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._millrace_path = path
+        return out
+
+    def settled(self, df: DataFrame, name: str = "input") -> DataFrame:
+        """``df`` if it is files as they lie, whose rows come in the same partitions and order in every scan; else a
+        table of its rows. Needed where rows are numbered and the numbers are used in several scans."""
+        todo = [df._jdf.queryExecution().optimizedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() not in ("Project", "Filter", "LogicalRelation") and not node.nodeName().startswith("Relation"):
+                return self.table(df, name)
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+        return df
 
     def drop(self, path: str | None = None) -> None:
         """Delete one table, or the whole folder."""
