@@ -17,12 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.workspace import narrow_batches, release
+from millrace.llm.workspace import prepared, release
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MAX_WORDS = 150_000
-#: All n-grams that begin and end with the same word share a slot, whatever the word.
-REPEATED = 0x7265706561740000
 
 
 @dataclass(frozen=True)
@@ -30,10 +28,10 @@ class QualityParams:
     ngram: int = 2
     slot_bits: int = 20
     train_rows: int = 12_000  # bound of the sample of labelled rows that the model is fitted on
-    epochs: int = 4
-    alpha: float = 0.6
+    epochs: int = 10
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 0.02
+    l1: float = 0.005
     l2: float = 0.02
     threshold: float = 0.3
 
@@ -61,8 +59,7 @@ def features(text: str | None, params: QualityParams) -> tuple[np.ndarray, np.nd
             if len(single) <= k:
                 break
             gram = gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + single[k:]
-            same = single[k:] == single[:-k]
-            grams.append(np.where(same, np.uint64(REPEATED + k), gram ^ (gram >> np.uint64(29))))
+            grams.append(gram ^ (gram >> np.uint64(29)))
         mixed = np.concatenate(grams) * np.uint64(0xD6E8FEB86659FD93)
         found, counts = np.unique((mixed >> np.uint64(64 - params.slot_bits)).astype(np.int64), return_counts=True)
         damped = np.log1p(counts)
@@ -98,11 +95,13 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], params: QualityPar
 def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> np.ndarray:
     """Weights from ``labels(doc_id, quality)`` and the texts of ``docs``.
 
-    At most about ``train_rows`` labelled rows are used, chosen by the hash of their id, so the broadcast table of
-    ids, the training task and the weights that the driver gets are all of bounded size.
+    At most about ``train_rows`` labelled ids are used, chosen by the hash of the id, and of the rows of an id one
+    text, that of the greatest hash, with the id's greatest label. So the broadcast table of ids, the training task and
+    the weights that the driver gets are all of bounded size, also where an id is repeated very often.
     """
-    narrow_batches(docs.sparkSession)
-    labelled = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    prepared(docs.sparkSession)
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    labelled = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, params.train_rows / max(1, labelled.count()))
     picked = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
@@ -126,11 +125,12 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
         del examples, rows
         release()
 
-    source = joined.select(
-        F.xxhash64("doc_id", F.lit(5)).alias("order"), F.col("quality").cast("int").alias("label"), "text"
+    one = F.max(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    source = joined.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"), one.alias("text")).select(
+        F.xxhash64("doc_id", F.lit(5)).alias("order"), "label", "text"
     )
-    prepared = source.mapInPandas(prepare, "order long, label int, slots binary, values binary")
-    learnt = prepared.repartition(1).mapInPandas(learn, "weights binary").collect()
+    found = source.mapInPandas(prepare, "order long, label int, slots binary, values binary")
+    learnt = found.repartition(1).mapInPandas(learn, "weights binary").collect()
     if not learnt:  # no labelled row has a document
         return np.zeros(1 << params.slot_bits, np.float32)
     return np.frombuffer(learnt[0]["weights"], np.float32)
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
 
 def score_column(docs: DataFrame, weights: np.ndarray, params: QualityParams, text_col: str = "text"):
     """The score of a text as a column; the weights, of fixed size, are broadcast."""
-    shared = narrow_batches(docs.sparkSession).sparkContext.broadcast(weights)
+    shared = prepared(docs.sparkSession).sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
