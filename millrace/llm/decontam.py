@@ -1,17 +1,18 @@
 """Benchmark decontamination with a generalised suffix automaton of the items' words.
 
-The automaton of the normalised items is built once for every ``part_words`` words of the benchmark and kept as a
-file in the shared folder, so neither the driver nor a worker holds more than one part, however large the benchmark
-is. Document words are streamed through each part: the automaton's state gives the longest suffix that occurs in an
+Items are dealt into parts of about ``part_words`` words. Each part's automaton is built in a task of its own and kept
+as a file in the shared folder, so neither the driver nor a worker holds more than one part, however large the
+benchmark is. With several parts, a worker gathers texts up to ``HELD_BYTES`` before it goes through the parts, so a
+part is loaded once for so many bytes of text. Document words are streamed through each part: the automaton's state gives the longest suffix that occurs in an
 item, and with it the windows that end at the word. Stretches whose neighbouring word pairs do not all occur in the
 benchmark cannot hold a window of two words or more and are skipped before that.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ WORD_BYTES = bytes(
 )
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 PAIR_SLOTS = 1 << 22
+#: Bytes of texts that a worker gathers before it goes through several parts.
+HELD_BYTES = 32 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -181,27 +185,36 @@ class Parts:
 def build_automata(
     ws: Workspace, benchmark: DataFrame, id_col: str, text_col: str, window: int, part_words: int
 ) -> Parts:
-    """One automaton for each ``part_words`` words of the benchmark, which the driver reads partition by partition."""
-    paths: list[str] = []
+    """One automaton for about every ``part_words`` words of the benchmark, each built and written by a task.
 
-    def save(automaton: SuffixAutomaton) -> None:
-        paths.append(f"{ws.root}/automaton-{len(paths):04d}.bin")
-        fs, inner = open_fs(paths[-1])
+    Only the number of words and the paths of the files, one for each part, reach the driver.
+    """
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).distinct()
+
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+
+    counted = rows.select("id", "text", F.pandas_udf(count, "long")("text").alias("words"))
+    total = counted.agg(F.sum("words")).first()[0] or 0
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-total // part_words)))).alias("part")
+
+    root = ws.root
+
+    def build(group: pa.Table) -> pa.Table:
+        automaton = SuffixAutomaton(window)
+        pairs = zip(group.column("id").to_pylist(), group.column("text").to_pylist())
+        for item_id, text in sorted(pairs, key=lambda p: (str(p[0]), p[1] or b"")):
+            automaton.add(item_id, words_of(text))
+        path = f"{root}/automaton-{uuid.uuid4().hex}.bin"  # a name for each attempt
+        fs, inner = open_fs(path)
         fs.create_dir(inner.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(inner) as out:
             out.write(pickle.dumps(automaton.finish()))
+        release()
+        return pa.table({"path": [path]})
 
-    automaton, held = SuffixAutomaton(window), 0
-    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).distinct()
-    for row in rows.toLocalIterator():
-        words = words_of(bytes(row["text"]) if row["text"] is not None else None)
-        automaton.add(row["id"], words)
-        held += len(words)
-        if held >= part_words:
-            save(automaton)
-            automaton, held = SuffixAutomaton(window), 0
-    save(automaton)
-    return Parts(tuple(paths))
+    built = rows.select("id", "text", part).groupBy("part").applyInArrow(build, "path string").collect()
+    return Parts(tuple(sorted(r["path"] for r in built)))
 
 
 def _load(path: str) -> SuffixAutomaton:
@@ -256,6 +269,27 @@ def _without_spans(text: str, runs: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
+def all_findings(parts: Parts, batches: Iterator[pd.Series]) -> Iterator[tuple[pd.Series, dict[str, list]]]:
+    """Each batch of binary texts with its findings; with several parts, batches are gathered up to HELD_BYTES."""
+
+    def done(held: list[pd.Series]) -> Iterator[tuple[pd.Series, dict[str, list]]]:
+        found, at = findings(parts, pd.concat(held, ignore_index=True)), 0
+        for texts in held:
+            yield texts, {k: v[at : at + len(texts)] for k, v in found.items()}
+            at += len(texts)
+
+    held, size = [], 0
+    for texts in batches:
+        held.append(texts)
+        size += sum(len(t) for t in texts if t is not None)
+        if len(parts.paths) < 2 or size >= HELD_BYTES:
+            yield from done(held)
+            held, size = [], 0
+    if held:
+        yield from done(held)
+    release()
+
+
 def scan_documents(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id_col: str = "item_id",
     item_text_col: str = "text", part_words: int = 200_000, as_col: str = "found",
@@ -264,36 +298,21 @@ def scan_documents(
 
     Null and empty texts have no words; equal and repeated rows are scanned each; a benchmark without words, or an
     empty table, gives no findings; an item whose id is null marks words but is not listed; whole texts are scanned.
+    Columns of ``docs`` stay; one named as ``as_col`` is refused.
     """
     ws = Workspace(docs.sparkSession, "decontam")
     parts = build_automata(ws, benchmark, item_id_col, item_text_col, window, part_words)
 
     @F.pandas_udf(FINDINGS)
-    def find(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(findings(parts, texts))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for _, found in all_findings(parts, batches):
+            yield pd.DataFrame(found)
 
+    if as_col in docs.columns:
+        raise ValueError(f"there is a column {as_col} already; name another one")
     return docs.withColumn(as_col, find(F.col(text_col).cast("binary")))
 
 
-def _without_spans(text: str, runs: list[tuple[int, int]]) -> str:
-    places = [m.span() for m in WORD.finditer(text)]
-    kept, at = [], 0
-    for begin, end in runs:
-        kept.append(text[at : places[begin][0]])
-        at = places[end - 1][1]
-    return "".join([*kept, text[at:]])
-
-
-def _cut_column(text: Column, begins: Column, ends: Column) -> Column:
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_without_spans(t, list(zip(b, e))) if len(b) else t for t, b, e in zip(texts, begins, ends)], dtype=object
-        )
-
-    return cut(text, begins, ends)
-
-
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text",
     item_id_col: str = "item_id", item_text_col: str = "text", part_words: int = 200_000,
@@ -306,14 +325,12 @@ def decontaminate(
 
     @F.pandas_udf("n_words long, n_hit long, text string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = findings(parts, texts)
+        for texts, found in all_findings(parts, batches):
             cut = [
                 _without_spans(t.decode("utf-8", "replace"), list(zip(b, e))) if b else None
                 for t, b, e in zip(texts, found["begins"], found["ends"])
             ]
             yield pd.DataFrame({"n_words": found["n_words"], "n_hit": found["n_hit"], "text": cut})
-        release()
 
     own = {c: F.col("doc").getField(c) for c in docs.columns}
     rows = docs.select(F.struct("*").alias("doc"), clean(F.col(text_col).cast("binary")).alias("found"))
