@@ -66,6 +66,23 @@ def maybe_in(df: DataFrame, filter_: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("__bucket", "__bit", "bits")
 
 
+def hot_join(
+    ws: Workspace, many: DataFrame, counted: DataFrame, key: str, row: list[str], hot_rows: int = 512, salts: int = 64
+) -> DataFrame:
+    """Inner join of ``many`` with ``counted``, which has each key once, with the number ``n`` of its rows in ``many``.
+
+    ``row`` names the columns that tell rows of a key apart. Rows of keys with over ``hot_rows`` rows are dealt over ``salts`` tasks, and these keys go to all of them. Which
+    keys those are is told by a filter of fixed size, on both sides alike, so no row is lost if it says too many.
+    """
+    filter_ = ws.table(fixed_filter(counted.where(F.col("n") > hot_rows), key), "hot")
+    left, right = maybe_in(many, filter_, key), maybe_in(counted.drop("n"), filter_, key)
+    salt = F.when(F.col("maybe"), F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    every = F.when(F.col("maybe"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = left.withColumn("__salt", salt).drop("maybe")
+    right = right.withColumn("__salt", F.explode(every)).drop("maybe")
+    return left.join(right.hint("merge"), [key, "__salt"]).drop("__salt")
+
+
 def _lines(placed: DataFrame, min_words: int) -> DataFrame:
     """(id, place, pos, line, h) of the lines that take part: those of ``min_words`` words, without outer white space."""
     each = placed.select("id", "place", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
@@ -153,6 +170,7 @@ def dedup_lines(
     if edit_bound not in (0, 1):
         raise ValueError("edit_bound is 0 or 1")
     ws = Workspace(docs.sparkSession, "linededup")
+    docs = ws.settled(docs)
     # the documents' own columns are kept in a struct, so that no name of theirs can clash
     rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place"))
     own = {c: F.col("doc").getField(c) for c in docs.columns}
@@ -163,16 +181,17 @@ def dedup_lines(
     distinct = lines.groupBy("h").agg(
         F.min(F.struct("id", "place", "pos")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")
     )
-    repeated = distinct.where("n > 1").select("h", "first")
+    distinct = ws.table(distinct, "distinct")
+    repeated = distinct.where("n > 1").select("h", "first", "n")
     if edit_bound:
-        repeated = repeated.join(
-            _near(ws, placed, distinct.select("h", "keys"), min_words).withColumn("near", F.lit(True)), "h", "full"
-        )
+        near = _near(ws, placed, distinct.select("h", "keys"), min_words).distinct()
+        repeated = repeated.join(near.withColumn("near", F.lit(True)), "h", "full")
     else:
         repeated = repeated.withColumn("near", F.lit(False))
+    repeated = ws.table(repeated.withColumn("n", F.coalesce("n", F.lit(1).cast("long"))), "repeated")
     later = F.coalesce(F.col("near"), F.lit(False)) | (F.struct("id", "place", "pos") > F.col("first"))
     # these tables grow with the documents, so they are joined by shuffles at every size
-    gone = lines.select("id", "place", "pos", "h").join(repeated.hint("merge"), "h").where(later)
+    gone = hot_join(ws, lines.select("id", "place", "pos", "h"), repeated, "h", ["place", "pos"]).where(later)
     removed = ws.table(gone.groupBy("place").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "removed")
 
     filter_ = ws.table(fixed_filter(removed, "place"), "filter")
@@ -180,7 +199,8 @@ def dedup_lines(
     hit = marked.where("maybe").join(removed.hint("merge"), "place", "left")
     out = hit.unionByName(marked.where("not maybe").withColumn("gone", F.lit(None).cast("array<int>")))
     parts = F.split(own[text_col].cast("string"), "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))  # by a hash set of the places
+    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     out = out.withColumn("new", F.when(F.col("gone").isNotNull(), kept).otherwise(own[text_col]))
     if drop_emptied:
         out = out.where(F.col("gone").isNull() | F.col("new").rlike(r"\S"))
