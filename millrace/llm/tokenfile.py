@@ -11,19 +11,22 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import default_tokenizer, text_encoder
-from millrace.llm.workspace import Workspace
+from millrace.llm.workspace import Workspace, release
 
 MAGIC, BLOCK_IDS = b"MRFB0001", 1 << 16
+FILE_ROW = pa.schema([("part", pa.int32()), ("path", pa.string()), ("ids", pa.int64()), ("docs", pa.int64())])
 TRAILER = struct.Struct("<8sIIQQQQ")  # magic, bits, ids of a block, ids, documents, blocks, start of the index
 
 
@@ -60,10 +63,12 @@ class TokenFileWriter:
 
     def __init__(self, out, bits: int, block_ids: int = BLOCK_IDS):
         self.out, self.bits, self.block_ids = out, bits, block_ids
-        self.offsets, self.docs, self.held, self.n_held, self.n_ids, self.at = [], [], [], 0, 0, 0
+        self.offsets, self.held, self.n_held, self.n_ids, self.at = array("Q"), [], 0, 0, 0
+        self.docs = (array("q"), array("B"), array("Q"), array("Q"))  # id, whether it is null, first id, count of ids
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, self.n_ids, len(ids)))
+        for column, value in zip(self.docs, (0 if doc_id is None else doc_id, doc_id is None, self.n_ids, len(ids))):
+            column.append(value)
         self.n_ids += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -74,6 +79,10 @@ class TokenFileWriter:
                 self._block(ready[k : k + self.block_ids])
             self.held, self.n_held = [ready[whole:]], len(ready) - whole
 
+    @property
+    def n_docs(self) -> int:
+        return len(self.docs[0])
+
     def _block(self, ids: np.ndarray) -> None:
         data = pack(ids, self.bits)
         self.offsets.append(self.at)
@@ -83,11 +92,10 @@ class TokenFileWriter:
     def close(self) -> None:
         if self.n_held:
             self._block(np.concatenate(self.held))
-        columns = list(zip(*self.docs)) or [(), (), (), ()]
-        for values, kind in zip((self.offsets, *columns), ("<u8", "<i8", "u1", "<u8", "<u8")):
+        for values, kind in zip((self.offsets, *self.docs), ("<u8", "<i8", "u1", "<u8", "<u8")):
             self.out.write(np.array(values, kind).tobytes())
         self.out.write(
-            TRAILER.pack(MAGIC, self.bits, self.block_ids, self.n_ids, len(self.docs), len(self.offsets), self.at)
+            TRAILER.pack(MAGIC, self.bits, self.block_ids, self.n_ids, self.n_docs, len(self.offsets), self.at)
         )
 
 
@@ -160,36 +168,41 @@ def write_token_files(
 
     Rows are dealt by ranges of the id, with the place in the input to part equal ids, so no task holds more than
     its range. Each attempt of a task writes a file of its own name; only those of attempts that Spark accepted are
-    listed, and the others are removed. Null ids come first; null texts are empty; an empty table gives no files.
+    listed, and the others are removed. Ids are 64-bit integers, and ids of another kind are taken as null; null ids
+    come first; null texts are empty; an empty table gives no files.
     """
     path = tokenizer or default_tokenizer()
     bits = id_bits(max(text_encoder(path).vocabulary, end_id + 1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # batches of Arrow, since pandas turns integers beside a null into floats, which cannot hold every id
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = text_encoder(path), np.array([end_id], np.uint32)
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.mrfb"
         writer = out = None
         for batch in batches:
-            for doc_id, text in zip(batch["id"].astype("object"), batch["text"]):
+            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 if writer is None:
                     fs, inner = open_fs(name)
                     fs.create_dir(inner.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(inner)
                     writer = TokenFileWriter(out, bits)
                 ids = np.frombuffer(encoder.encode(text), "<u4")
-                writer.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate((ids, end)))
+                writer.add(doc_id, np.concatenate((ids, end)))
         if writer is not None:
             writer.close()
             out.close()
-            yield pd.DataFrame({"part": [part], "path": [name], "ids": [writer.n_ids], "docs": [len(writer.docs)]})
+            row = {"part": part, "path": name, "ids": writer.n_ids, "docs": writer.n_docs}
+            yield pa.RecordBatch.from_pylist([row], FILE_ROW)
+        encoder.words.clear()  # idle workers keep nothing
+        release()
 
     placed = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         F.monotonically_increasing_id().alias("place"),
     )
     ordered = placed.repartitionByRange("id", "place").sortWithinPartitions("id", "place").select("id", "text")
-    found = ordered.mapInPandas(run, "part int, path string, ids long, docs long").collect()  # a row for each file
+    found = ordered.mapInArrow(run, "part int, path string, ids long, docs long").collect()  # a row for each file
     files, before = [], 0
     for row in sorted(found, key=lambda r: r["part"]):
         files.append((row["path"], before, row["ids"], row["docs"]))
