@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.workspace import Workspace
+from millrace.plans import computed
 
 # Fixed values of the contract: the patterns, with letters of the keywords in either case, and the least lengths.
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -25,6 +26,8 @@ ASSIGN = f"({_EITHER})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+#: Numbers that are summed up in one stretch, and tasks that the rows of a hash are dealt over.
+STRETCH, SALTS = 256, 16
 KINDS = ("assign", "access", "hex", "token")
 LEAST_ASSIGNED = 6
 #: Private-use characters: around a match, before its value, and what replaces them in texts that have them.
@@ -36,17 +39,34 @@ class SecretParams:
     example_owners: int = 3  # a value of so many owners or repositories is a copied example
 
 
-def _matches(text: Column, pattern: str, value_group: int, kind: int) -> Column:
-    """array<struct<begin, end, kind, value>> of the leftmost non-overlapping matches, in code points."""
+def _pieces(text: Column, pattern: str, value_group: int) -> Column:
+    """The text parted before and after the leftmost non-overlapping matches, each with its value; null without any."""
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{AROUND}$0{VALUE}${value_group}{AROUND}"))
-    pieces = F.split(marked, AROUND)
-    lengths = F.transform(pieces, lambda p: F.length(F.substring_index(p, VALUE, 1)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    ends = F.aggregate(
-        lengths,
-        start,
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends")),
-    )["ends"]
+    return F.when(text.rlike(pattern), F.split(marked, AROUND))
+
+
+def _sums(numbers: Column, start: Column) -> Column:
+    """``start`` plus the sum of all numbers up to each. Takes time in proportion to the square of their number."""
+    zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("sums"))
+    return F.aggregate(
+        numbers,
+        zero,
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["sums"], F.array(acc["at"] + n)).alias("sums")),
+    )["sums"]
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sums of all numbers up to each, by stretches of STRETCH numbers, so very many take time in proportion."""
+    n_stretches = F.ceil(F.size(numbers) / STRETCH).cast("int")
+    stretches = F.transform(F.sequence(F.lit(1), n_stretches), lambda k: F.slice(numbers, (k - 1) * STRETCH + 1, F.lit(STRETCH)))
+    add = lambda s: F.aggregate(s, F.lit(0), lambda a, n: a + n)
+    ends = _sums(F.transform(stretches, add), F.lit(0))
+    each = F.arrays_zip(stretches.alias("s"), ends.alias("e"))
+    return F.flatten(F.transform(each, lambda x: _sums(x["s"], x["e"] - add(x["s"]))))
+
+
+def _matches(pieces: Column, ends: Column, kind: int) -> Column:
+    """array<struct<begin, end, kind, value>> of the matches that parted a text, in code points."""
     both = F.arrays_zip(pieces.alias("piece"), ends.alias("end"))
     placed = F.transform(
         both,
@@ -58,25 +78,30 @@ def _matches(text: Column, pattern: str, value_group: int, kind: int) -> Column:
     odd = F.filter(placed, lambda x: x["i"] % 2 == 1)
     found = F.transform(odd, lambda x: F.struct(x["begin"], x["end"], x["kind"], x["value"]))
     none = F.array().cast("array<struct<begin:int,end:int,kind:int,value:string>>")
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(pieces.isNotNull(), found).otherwise(none)
 
 
 def candidates(docs: DataFrame, text_col: str, carry: list[Column]) -> DataFrame:
     """``carry`` with ``base`` and ``bare``: the spans of the base kinds, and tokens that no base span covers."""
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), AROUND + VALUE, OTHER + OTHER)
-    assigned = F.filter(_matches(F.col("__t"), ASSIGN, 2, 0), lambda x: F.length(x["value"]) >= LEAST_ASSIGNED)
-    base = F.array_sort(
-        F.concat(assigned, _matches(F.col("__t"), ACCESS, 0, 1), _matches(F.col("__t"), HEX, 0, 2))
-    )
-    mixed = F.filter(
-        _matches(F.col("__t"), TOKEN, 0, 3), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
-    )
-    found = docs.select(*carry, text.alias("__t")).withColumn("base", base).withColumn("mixed", mixed)
+    # each step is computed once: the optimizer would write the patterns into every use of their matches
+    found = docs.select(*carry, text.alias("__t"))
+    names = found.columns[:-1]
+    found = computed(found, __t=F.col("__t"))
+    parted = {f"__p{k}": _pieces(F.col("__t"), p, g) for k, (p, g) in enumerate(((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (TOKEN, 0)))}
+    found = computed(found, **parted).drop("__t")
+    lengths = lambda c: F.transform(c, lambda p: F.length(F.substring_index(p, VALUE, 1)))
+    found = computed(found, **{f"__n{k}": lengths(F.col(f"__p{k}")) for k in range(4)})
+    found = computed(found, **{f"__e{k}": F.when(F.col(f"__n{k}").isNotNull(), running_sums(F.col(f"__n{k}"))) for k in range(4)})
+    matches = [_matches(F.col(f"__p{k}"), F.col(f"__e{k}"), k) for k in range(4)]
+    assigned = F.filter(matches[0], lambda x: F.length(x["value"]) >= LEAST_ASSIGNED)
+    mixed = F.filter(matches[3], lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
+    found = computed(found, base=F.array_sort(F.concat(assigned, matches[1], matches[2])), __mixed=mixed)
     bare = F.filter(
-        F.col("mixed"),
+        F.col("__mixed"),
         lambda x: ~F.exists(F.col("base"), lambda b: (b["begin"] < x["end"]) & (x["begin"] < b["end"])),
     )
-    return found.withColumn("bare", bare).drop("__t", "mixed")
+    return found.select(*names, "base", bare.alias("bare"))
 
 
 def _count(spans: Column, kind: int) -> Column:
@@ -115,7 +140,10 @@ def scan_secrets(
         F.greatest(F.countDistinct("repo"), F.countDistinct("owner")).alias("holders")
     )
     live = F.col("holders") < params.example_owners
-    judged = each.join(spread, "hash").withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
+    # a copied example that very many rows hold is judged in SALTS tasks, each of which has the count of its holders
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("row", "begin"), F.lit(SALTS)).cast("int"))
+    every = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = salted.join(every, ["hash", "salt"]).withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
     gathered = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "kind", "live"))).alias("all"))
     full = found.where((F.size("base") > 0) | (F.size("bare") > 0)).select("id", "row").join(gathered, "row", "left")
     none = F.array().cast("array<struct<begin:int,end:int,kind:int,live:boolean>>")
