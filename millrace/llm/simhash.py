@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,14 +65,15 @@ def fingerprint(text: bytes | None, ngram: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
     """(id, fp long) of each row, over whole texts; a null text counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # ids stay in Arrow: pandas turns integers beside a null into floats, which cannot hold every id
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, ngram) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})
+            fps = np.array([fingerprint(t, ngram) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInPandas(run, f"id {kind}, fp long")
+    return source.mapInArrow(run, f"id {kind}, fp long")
 
 
 def _offsets(parts: int, radius: int) -> list[int]:
