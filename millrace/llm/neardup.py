@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,26 +138,29 @@ def near_duplicate_groups(
     ws: Workspace, docs: DataFrame, id_col: str, text_col: str, params: NearDupParams
 ) -> tuple[DataFrame, DataFrame]:
     """((doc, place) of each document, (place, first) of each document that is not the first of its group)."""
-    p, kind = params, docs.schema[id_col].dataType.simpleString()
+    p, kind, docs = params, docs.schema[id_col].dataType.simpleString(), ws.settled(docs)
     # the documents' own columns are kept in a struct, so that no name of theirs can clash
     placed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place"))
     own = {c: F.col("doc").getField(c) for c in docs.columns}
     source = placed.select(own[id_col].alias("id"), "place", own[text_col].cast("binary").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, same = [f"w{k}" for k in range(WORDS)], ["n", "s0", "s1"]
+
+    # ids stay in Arrow: pandas turns integers beside a null into floats, which cannot hold every id
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t, p.ngram) for t in batch["text"]]
+            found = [sketch(t, p.ngram) for t in batch.column("text").to_pylist()]
             words = np.array([f[0] for f in found], np.uint64).reshape(-1, WORDS).view(np.int64)
             sets = np.array([f[2] for f in found], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({
-                "id": batch["id"], "place": batch["place"], "n": np.array([f[1] for f in found], np.int64),
-                "s0": sets[:, 0], "s1": sets[:, 1], **{f"w{k}": words[:, k] for k in range(WORDS)},
-            })
+            columns = [np.array([f[1] for f in found], np.int64), sets[:, 0], sets[:, 1], *words.T]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("place"), *(pa.array(np.ascontiguousarray(c)) for c in columns)],
+                ["id", "place", *same, *names],
+            )
         release()
 
-    names, same = [f"w{k}" for k in range(WORDS)], ["n", "s0", "s1"]
     marked = ws.table(
-        source.mapInPandas(run, f"id {kind}, place long, n long, s0 long, s1 long, " + ", ".join(f"{n} long" for n in names)), "sketches"
+        source.mapInArrow(run, f"id {kind}, place long, n long, s0 long, s1 long, " + ", ".join(f"{n} long" for n in names)), "sketches"
     )
     earliest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("first")
     classes = ws.table(
