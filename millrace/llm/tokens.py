@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words whose ids a worker remembers before it starts again; about 150 bytes each.
-MAX_WORDS = 300_000
+MAX_WORDS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -20,18 +20,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: White space of the C0 controls, at which ``str.split`` parts a text but the tokenizer does not.
+CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: itself where it is printable, else the next free one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class _Words(dict):
     """Ids of a run without white space, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer, letters_are_pieces: bool):
         super().__init__()
         self.tokenizer, self.letters_are_pieces = tokenizer, letters_are_pieces
+        self.letters = byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         if self.letters_are_pieces and word[-1:] in (".", ",") and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
-        elif self.letters_are_pieces and word.isascii() and word.isalpha() and word.islower():
-            found = [t.id for t in self.tokenizer.model.tokenize(word)]
+        elif self.letters_are_pieces and word.isalpha() and word == word.lower() and _as_it_is(word):
+            bytes_ = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.tokenizer.model.tokenize(bytes_)]
             ids = struct.pack(f"<{len(found)}I", *found)
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -40,6 +53,11 @@ class _Words(dict):
         return ids
 
 
+def _as_it_is(text: str) -> bool:
+    """Whether normal form C keeps the text, and lower-casing does the same to it letter by letter and as a whole."""
+    return text.isascii() or ("Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text))
+
+
 class TextEncoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -61,7 +79,8 @@ class TextEncoder:
             and kinds == ["NFC", "Replace", "Lowercase"] and "[^\\s\\p{L}\\p{N}]+" in pattern
             and spec.get("post_processor") is None
         )
-        self.words = _Words(self.tokenizer, self.by_word and "[\\p{L}]+" in pattern)
+        byte_level = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1].get("type") == "ByteLevel"
+        self.words = _Words(self.tokenizer, self.by_word and "[\\p{L}]+" in pattern and byte_level)
 
     @property
     def vocabulary(self) -> int:
@@ -75,11 +94,12 @@ class TextEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        if "<|" not in text and (
-            text.isascii() or ("Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text))
-        ):
+        if "<|" not in text and _as_it_is(text):
             text = text.lower()  # fewer different words; not where it could differ from lower-casing each character
-        runs = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if any(c in text for c in CONTROLS):
+            runs = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        else:
+            runs = text.split()
         return b"".join(map(self.words.__getitem__, runs))
 
 
