@@ -46,7 +46,7 @@ def test_forest_is_exact_on_clusters(spark):
     centers = rng.standard_normal((40, 24))
     rows = [(i, int(i % 2), [float(x) for x in centers[i % 40] + 0.07 * rng.standard_normal(24)], "x", "y") for i in range(900)]
     rows += [(900 + i, 1, rows[1][2], "x", "y") for i in range(30)]
-    p = rpforest.ForestParams(leaf_rows=64, levels=2, trees=4)
+    p = rpforest.ForestParams(leaf_rows=64, sample=512)
     got = {r.vec_id: r for r in rpforest.embedding_components(embeddings(spark, rows), params=p).collect()}
     x = rpforest.unit([r[2] for r in rows])
     near = (x @ x.T >= 0.93) & (np.array([r[1] for r in rows])[:, None] == np.array([r[1] for r in rows])[None, :])
@@ -490,7 +490,7 @@ def test_forest_is_exact_on_one_dense_group(spark):
     center = rng.standard_normal(32)
     rows = [(i, 1, [float(x) for x in center + 0.26 * rng.standard_normal(32)], "x", "y") for i in range(1500)]
     rows += [(1500 + i, 1, rows[i][2], "x", "y") for i in range(40)]
-    p = rpforest.ForestParams(leaf_rows=64, levels=2)
+    p = rpforest.ForestParams(leaf_rows=64, core_rows=10**6)
     got = {r.vec_id: r.n_links for r in rpforest.embedding_components(embeddings(spark, rows), params=p).collect()}
     x = rpforest.unit([r[2] for r in rows])
     near = (x @ x.T >= 0.93).sum(1) - 1
