@@ -1,12 +1,17 @@
 """Main-text extraction by template deduction over the pages of a host.
 
-A page is a sequence of tokens: its tags and its blocks of text, each with its path of open elements. Tokens that
+A page is a sequence of tokens: its tags and its blocks of text, each under its path of open elements. Tokens that
 occur on the same pages, as often on each, have the same occurrence vector and form an equivalence class. A class is
 valid when it is large, when nearly all different pages of the host have it, and when enough of them support it; valid
-classes are nested by the stretch of the page that they span, and make the host's template. What the template's own
-text says is dropped; what is left are the slots between its tokens. Of these the main text is kept: the blocks in
-article or main elements, or, on pages without any, all blocks; without menus, page headers and footers, sidebars,
-notices, adverts, forms and reader comments, which their element or a whole name in their class, id or role names.
+classes are nested by the stretch of the page that they span, and make the host's template. The template's own text is
+no page's. Between its tokens are the slots, whose text differs from page to page: each belongs to the innermost
+template element around it. The main text of a host is what fills the slots of one of these: of those that occur once
+on a page, in classes that no repeated class spans, and hold most of the host's slot text, it is the outermost article
+or main element, or else the innermost of all. On a host with too few pages for a template, and on pages without that
+element, the main text is the blocks in article or main elements, or all blocks where there are none.
+
+Of either, what is left out by the contract goes: elements that are no text (menus, footers, forms, scripts), page
+headers but for headings, and elements whose class, id or role name adverts, notices, comments and the like.
 
 Occurrence vectors are never built: a class is named by sums of hashes of (page, count), which are added up where the
 pages are, so a host with a third of all pages is counted like any other.
@@ -65,39 +70,45 @@ OTHERS_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset(("main", "article"))
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
+#: Blocks that are pieces of a text, not places that hold one.
+PIECES = frozenset(
+    "p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr td th thead tbody tfoot caption pre blockquote figure figcaption hr address "
+    "summary header hgroup".split()
 )
+COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+TAG = re.compile(COMMENT + r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: For the rest of a page in which a quotation mark is never closed.
+LENIENT_TAG = re.compile(COMMENT + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_WORDS = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
-    path: str
+    path: int  # a hash of the labels of all open elements
     chrome: bool
     main: bool
     header: bool
     parent: Element | None = None
     always: tuple[bool, bool] = (False, False)  # chrome and header by itself, whatever is in it
     named: tuple[bool, bool] = (False, False)  # chrome and header by the words of its names
-    others: bool = False  # named as holding articles that are not the page's own
+    others: bool = False  # it or one around it holds articles that are not the page's own
     holds_main: bool = False  # is or has an article or main element that is in no other
+    place: bool = False  # can hold a main text
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: str
+    path: int
     text: str
     heading: bool
     main: bool
     chrome: bool
     header: bool
+    element: Element
 
 
 @lru_cache(maxsize=65_536)
@@ -138,8 +149,9 @@ def _roles(tag: str, attributes: str, parent: Element) -> Element:
     named = (by_name[0], by_name[1] and tag not in HEADINGS)
     label = f"{tag}.{'.'.join(sorted(names))}" if names else tag
     return Element(
-        tag, f"{parent.path}/{label}", parent.chrome or always[0] or named[0], parent.main or is_main,
-        parent.header or always[1] or named[1], parent, always, named, by_name[2],
+        tag, xxhash.xxh64_intdigest(f"{parent.path}/{label}", 1), parent.chrome or always[0] or named[0],
+        parent.main or is_main, parent.header or always[1] or named[1], parent, always, named,
+        parent.others or always[0] or by_name[2], False, tag not in PIECES and tag not in INLINE,
     )
 
 
@@ -153,27 +165,25 @@ def _settle(elements: list[Element]) -> None:
         return
     for e in own:
         above = e
-        line = []
-        while above.parent is not None:
-            line.append(above)
+        while not e.others and above.parent is not None and not above.holds_main:
+            above.holds_main = True
             above = above.parent
-        if not any(x.always[0] or x.others for x in line):
-            for x in line:
-                x.holds_main = True
     for e in elements:  # parents come first
         by_name = (False, False) if e.holds_main else e.named
         e.chrome = e.parent.chrome or e.always[0] or by_name[0]
         e.header = e.parent.header or e.always[1] or by_name[1]
 
 
-def tokenize(source: str) -> tuple[list[Block], list[str]]:
-    """Blocks of text in page order, and the paths of all block-level tags."""
-    stack = [Element("", "", False, False, False)]
+def tokenize(source: str) -> tuple[list[Block], list[Element]]:
+    """Blocks of text in page order, and all block-level elements; in time linear in the page."""
+    stack = [Element("", 0, False, False, False)]
     elements: list[Element] = []
     blocks: list[tuple[Element, str, bool]] = []
-    paths: list[str] = []
+    tags: list[Element] = []
     held: list[str] = []
+    is_open: dict[str, int] = {}
     heading = False
+    pattern = TAG
 
     def flush() -> None:
         if held:
@@ -182,19 +192,31 @@ def tokenize(source: str) -> tuple[list[Block], list[str]]:
             if text:
                 blocks.append((stack[-1], text, heading))
 
-    at, n = 0, len(source)
+    def push(e: Element) -> None:
+        stack.append(e)
+        is_open[e.tag] = is_open.get(e.tag, 0) + 1
+
+    def pop() -> str:
+        tag = stack.pop().tag
+        is_open[tag] -= 1
+        return tag
+
+    at, n, last = 0, len(source), source.rfind(">")
     while at < n:
-        m = TAG.search(source, at)
+        m = pattern.search(source, at) if at <= last or source.find("<!", at) >= 0 or source.find("<?", at) >= 0 else None
+        if m is None and pattern is TAG and at <= last:  # a quotation mark that is not closed before the end
+            pattern = LENIENT_TAG
+            continue
         if m is None:
             held.append(source[at:])
             break
         if m.start() > at:
             held.append(source[at : m.start()])
         at = m.end()
-        tag = (m.group(2) or m.group(5) or "").lower()
+        tag = (m.group(2) or "").lower()
         if not tag:
             continue
-        closing, attributes = bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""
+        closing, attributes = bool(m.group(1)), m.group(3) or ""
         if tag in RAW and not closing:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = end.end() if end else n
@@ -206,56 +228,70 @@ def tokenize(source: str) -> tuple[list[Block], list[str]]:
                 e = _roles(tag, attributes, stack[-1])
                 if e.always[0] or e.named[0] or stack[-1].tag == "span":
                     flush()
-                    stack.append(e)
+                    push(e)
                     elements.append(e)
             elif closing and tag == "span" and stack[-1].tag == "span":
                 flush()
-                stack.pop()
+                pop()
             continue
         flush()
         if closing:
-            if any(e.tag == tag for e in stack[1:]):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+            if is_open.get(tag):
+                while pop() != tag:
+                    pass
             heading = heading and tag not in HEADINGS
             continue
         if tag in HEADINGS:
             heading = True
         if tag not in NEVER and stack[-1].tag == "p":
-            stack.pop()
+            pop()
         for item in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)):
             if tag in item and stack[-1].tag in item:
-                stack.pop()
+                pop()
         element = _roles(tag, attributes, stack[-1])
-        paths.append(element.path)
+        tags.append(element)
         elements.append(element)
         if tag not in VOID:
-            stack.append(element)
+            push(element)
     flush()
     _settle(elements)
-    return [Block(e.path, text, heading, e.main, e.chrome, e.header) for e, text, heading in blocks], paths
+    return [Block(e.path, text, heading, e.main, e.chrome, e.header, e) for e, text, heading in blocks], tags
 
 
-def token_hash(path: str, text: str | None) -> int:
+def token_hash(path: int, text: str | None = None) -> int:
     """Of a tag, or of a block of text, as a signed 64-bit number."""
-    digest = xxhash.xxh64_intdigest(f"{path}\x00{'' if text is None else chr(1) + text}", 1)
+    digest = path if text is None else xxhash.xxh64_intdigest(f"{path}\x01{text}", 1)
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def main_text(source: str | None, template: set[int]) -> str:
-    """Blocks of the main text, joined by two line ends."""
-    blocks, _ = tokenize(source or "")
-    any_main = any(b.main and not b.chrome for b in blocks)
+def main_text(source: str | None, template: set[int], place: int | None = None) -> tuple[str, bool]:
+    """(blocks of the main text, joined by two line ends; whether the template decided on them).
+
+    ``template`` has the tokens of the template's text, and ``place`` is the token of the element whose slots have the
+    main text.
+    """
+    blocks, tags = tokenize(source or "")
+    inside: set[int] = set()
+    for e in tags:  # parents come first
+        if token_hash(e.path) == place or id(e.parent) in inside:
+            inside.add(id(e))
+    if inside:
+        chosen = [b for b in blocks if id(b.element) in inside or (b.element.tag == "span" and _in_span(b.element, inside))]
+    else:
+        any_main = any(b.main and not b.chrome for b in blocks)
+        chosen = [b for b in blocks if b.main or not any_main]
     kept = [
         b.text
-        for b in blocks
-        if not b.chrome
-        and (b.main or not any_main)
-        and (not b.header or (b.main and b.heading))
-        and token_hash(b.path, b.text) not in template
+        for b in chosen
+        if not b.chrome and (not b.header or ((b.main or inside) and b.heading)) and token_hash(b.path, b.text) not in template
     ]
-    return "\n\n".join(kept)
+    return "\n\n".join(kept), bool(inside)
+
+
+def _in_span(element: Element, inside: set[int]) -> bool:
+    while element.tag == "span" and element.parent is not None:
+        element = element.parent
+    return id(element) in inside
 
 
 @dataclass(frozen=True)
@@ -263,14 +299,61 @@ class TemplateParams:
     least_pages: int = 5  # different pages that must support a class
     share: float = 0.9  # of the host's different pages that must have the class
     least_tokens: int = 2  # of a class
+    place_share: float = 0.5  # of the slot text of a host that the element with the main text holds at least
 
 
 def _host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+#: Kinds of tokens: text, elements that are pieces of a text, that can hold a main text, and article or main elements.
+TEXT, PIECE, PLACE, MAIN = 0, 1, 2, 3
+#: Sums over pages of a token's numbers, and what is the same wherever it occurs.
+ADDED = ("a", "b", "pages", "times", "place", "chars")
+OWN = ("kind", "level", "parent")
+
+
+def tokens_of(source: str | None) -> dict[int, list[int]]:
+    """(occurrences, place in thousandths of the page, characters, kind, level, parent) of each token of a page.
+
+    The characters of an element are those of the text in it that could be main text; of a text, its own.
+    """
+    blocks, tags = tokenize(source or "")
+    order: dict[int, int] = {}
+    level, below = {0: 0}, {}
+    for e in tags:
+        level[e.path] = level.get(e.parent.path, 0) + 1
+        below[id(e)] = 0
+    for blk in blocks:
+        if not blk.chrome:
+            e = blk.element
+            while e.parent is not None and id(e) not in below:
+                e = e.parent
+            if id(e) in below:
+                below[id(e)] += len(blk.text)
+    for e in reversed(tags):  # children before parents
+        if id(e.parent) in below:
+            below[id(e.parent)] += below[id(e)]
+    found: dict[int, list[int]] = {}
+    size = max(1, len(blocks) + len(tags))
+    for e in tags:
+        token = token_hash(e.path)
+        kind = PIECE if not e.place or e.chrome else MAIN if e.main and not e.parent.main else PLACE
+        got = found.setdefault(token, [0, len(order) * 1000 // size, 0, kind, level[e.path], token_hash(e.parent.path)])
+        order[token] = 1
+        got[0] += 1
+        got[2] += below[id(e)]
+    for k, blk in enumerate(blocks):
+        token = token_hash(blk.path, blk.text)
+        got = found.setdefault(token, [0, (len(tags) + k) * 1000 // size, 0, TEXT, 0, token_hash(blk.path)])
+        got[0] += 1
+        got[2] += 0 if blk.chrome else len(blk.text)
+    return found
+
+
 def page_tokens(ws: Workspace, pages: DataFrame) -> DataFrame:
-    """(host, token, is_text, a, b, pages, place) over the different pages of each host of ``pages(host, html)``.
+    """(host, token, kind, level, parent, a, b, pages, times, place, chars) over the different pages of each host of
+    ``pages(host, html)``.
 
     ``a`` and ``b`` are sums over pages of a hash of (page, occurrences): equal sums, equal vectors. ``place`` is the
     sum of the token's first places, in thousandths of the page. A page is its html, and copies on a host count once:
@@ -279,6 +362,7 @@ def page_tokens(ws: Workspace, pages: DataFrame) -> DataFrame:
     keyed = pages.select("host", "html", F.xxhash64("host", F.coalesce("html", F.lit(""))).alias("page"))
     copied = keyed.groupBy("page").agg(F.count("*").alias("n")).where("n > 1")
     keyed = maybe_in(keyed, ws.table(fixed_filter(copied, "page"), "copied"), "page").select("host", "html", "page", "maybe")
+    names = ["host", "token", "page", *OWN, *ADDED]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -289,65 +373,83 @@ def page_tokens(ws: Workspace, pages: DataFrame) -> DataFrame:
                     if page in met:
                         continue
                     met.add(page)
-                blocks, paths = tokenize(source or "")
-                counts: dict[int, list[int]] = {}
-                size = max(1, len(blocks) + len(paths))
-                for k, (path, text) in enumerate([*((p, None) for p in paths), *((b.path, b.text) for b in blocks)]):
-                    got = counts.setdefault(token_hash(path, text), [0, k * 1000 // size, int(text is not None)])
-                    got[0] += 1
                 of = page if maybe else 0
-                for token, (n, place, is_text) in counts.items():
-                    mixed = xxhash.xxh64_intdigest(f"{page}:{n}", 5)
-                    got = sums.setdefault((host, token, of), [0, 0, 0, 0, is_text])
-                    got[0] += mixed & 0x3FFFFFFF
-                    got[1] += mixed >> 34
-                    got[2] += 1
-                    got[3] += place
-            rows = [(h, t, of, x[4], x[0], x[1], x[2], x[3]) for (h, t, of), x in sums.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "page", "is_text", "a", "b", "pages", "place"])
-
-    found = keyed.mapInPandas(
-        run, "host string, token long, page long, is_text int, a long, b long, pages long, place long"
-    )
-    added = ("a", "b", "pages", "place")
+                for token, (times, place, chars, kind, level, parent) in tokens_of(source).items():
+                    mixed = xxhash.xxh64_intdigest(f"{page}:{times}", 5)
+                    got = sums.setdefault((host, token, of), [kind, level, parent, 0, 0, 0, 0, 0, 0])
+                    for k, x in enumerate((mixed & 0x3FFFFFFF, mixed >> 34, 1, times, place, chars), 3):
+                        got[k] += x
+            yield pd.DataFrame([(*key, *x) for key, x in sums.items()], columns=names)
+
+    kinds = "host string, token long, page long, kind int, level int, parent long, " + ", ".join(f"{c} long" for c in ADDED)
+    found = keyed.mapInPandas(run, kinds)
     # page 0 stands for pages without copies; the rows of another page are copies of each other
     once = found.groupBy("host", "token", "page").agg(
-        *[F.when(F.col("page") == 0, F.sum(c)).otherwise(F.max(c)).alias(c) for c in added], F.max("is_text").alias("is_text")
+        *[F.when(F.col("page") == 0, F.sum(c)).otherwise(F.max(c)).alias(c) for c in ADDED], *[F.max(c).alias(c) for c in OWN]
     )
-    return once.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in added], F.max("is_text").alias("is_text"))
+    return once.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ADDED], *[F.max(c).alias(c) for c in OWN])
+
+
+def choose_place(tokens: pd.DataFrame, params: TemplateParams) -> int | None:
+    """The token of the element whose slots have the main text, of a host's frequent tokens; ``valid`` marks the
+    template's, ``pages``, ``times`` and ``chars`` are sums over pages, and ``outer`` tells that no repeated class spans
+    the token's."""
+    by = {t: (k, p, c, v) for t, k, p, c, v in zip(tokens["token"], tokens["kind"], tokens["parent"], tokens["chars"], tokens["valid"])}
+    slot = {t: c for t, (k, _, c, _) in by.items() if k != TEXT}
+    for kind, parent, chars, valid in by.values():
+        if kind == TEXT and valid:  # what the template says itself fills no slot
+            at, seen = parent, set()
+            while at in by and at not in seen:
+                seen.add(at)
+                slot[at] -= chars
+                at = by[at][1]
+    whole = max(slot.values(), default=0)
+    places = [
+        (t, k, level)
+        for t, k, level, valid, outer, times, pages in zip(*(tokens[c] for c in ("token", "kind", "level", "valid", "outer", "times", "pages")))
+        if valid and outer and k in (PLACE, MAIN) and times == pages and slot[t] > 0 and slot[t] >= params.place_share * whole
+    ]
+    mains = [(level, t) for t, k, level in places if k == MAIN]
+    if mains:
+        return int(min(mains)[1])
+    return int(max((level, t) for t, _, level in places)[1]) if places else None
 
 
 def deduce_templates(ws: Workspace, pages: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:
-    """(host, token, is_text, class_a, class_b, depth, place) of each host's template, for ``pages(host, html)``.
+    """(host, template, place) of each host with a template, for ``pages(host, html)``: the tokens of its text, and the
+    token of the element whose slots have the main text.
 
-    Support and shares are counted in different pages. ``depth`` is the number of valid classes that span the token's
-    class.
+    Support and shares are counted in different pages. A host has as few frequent tokens as its pages have, whatever
+    their number, so each host's template is made in one task.
     """
     html = F.xxhash64(F.coalesce("html", F.lit("")))
     hosts = pages.select("host", html.alias("h")).distinct().groupBy("host").agg(F.count("*").alias("different"))
     tokens = page_tokens(ws, pages).where(F.col("pages") >= params.least_pages)
-    common = ws.table(
+    common = (
         tokens.join(hosts.where(F.col("different") >= params.least_pages), "host")
-        .where(F.col("pages") >= params.share * F.col("different"))
-        .select("host", "token", "is_text", "a", "b", (F.col("place") / F.col("pages")).alias("place")),
-        "common",
-    )
-    classes = (
-        common.groupBy("host", "a", "b")
-        .agg(F.count("*").alias("tokens"), F.min("place").alias("begin"), F.max("place").alias("end"))
-        .where(F.col("tokens") >= params.least_tokens)
-    )
-    outer = classes.select("host", F.col("begin").alias("ob"), F.col("end").alias("oe"))
-    # a host has as few valid classes as a page has tokens, whatever the number of its pages
-    nested = classes.join(outer, "host").groupBy("host", "a", "b").agg(
-        F.sum(F.when((F.col("ob") <= F.col("begin")) & (F.col("end") <= F.col("oe")), 1).otherwise(0)).alias("depth")
-    )
-    return ws.table(
-        common.join(nested, ["host", "a", "b"]).select(
-            "host", "token", "is_text", F.col("a").alias("class_a"), F.col("b").alias("class_b"), "depth", "place"
-        ),
-        "templates",
-    )
+        .where(F.col("pages") >= params.share * F.col("different")).drop("different")
+    )
+
+    def template(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("token").reset_index(drop=True)
+        group["at"] = group["place"] / group["pages"]
+        key = [group["a"], group["b"]]
+        of_class = group.groupby(key)["at"]
+        group["valid"] = of_class.transform("size") >= params.least_tokens
+        group["begin"], group["end"] = of_class.transform("min"), of_class.transform("max")
+        valid = group[group["valid"]]
+        repeated = valid[valid["times"] > valid["pages"]].drop_duplicates(["a", "b"])[["begin", "end"]].to_numpy()
+        # a class is nested in another that spans it; what repeats spans entries of lists, not a page's text
+        spans = (repeated[:, 0][None] < group["begin"].to_numpy()[:, None]) & (group["end"].to_numpy()[:, None] < repeated[:, 1][None])
+        group["outer"] = ~spans.any(1)
+        texts = group["token"][group["valid"] & (group["kind"] == TEXT)]
+        return pd.DataFrame({
+            "host": [group["host"].iat[0]], "template": [texts.tolist()],
+            "place": pd.array([choose_place(group, params)], "Int64"),
+        })
+
+    found = common.groupBy("host").applyInPandas(template, "host string, template array<long>, place long")
+    return ws.table(found, "templates")
 
 
 def extract_main_text(
@@ -359,22 +461,51 @@ def extract_main_text(
     Null and empty html give an empty text; a null or odd url belongs to the host without a name; rows with repeated
     or null ids give a row each; a host with too few different pages has no template; an empty table gives no rows.
     """
+    return extracted(pages, id_col, url_col, html_col, params).select(id_col, url_col, "text", "n_chars")
+
+
+#: Tasks that the pages of a host are dealt over where templates are too many to be sent to all tasks.
+SALTS = 32
+
+
+def extracted(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+    params: TemplateParams = TemplateParams(),
+) -> DataFrame:
+    """The rows of ``extract_main_text`` with ``by_template``: whether the host's template decided on the text."""
     ws = Workspace(pages.sparkSession, "htmltext")
     source = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"),
         _host(F.col(url_col).cast("string")).alias("host"),
     )
-    templates = deduce_templates(ws, source, params).where("is_text = 1")
-    texts = ws.table(templates.groupBy("host").agg(F.collect_list("token").alias("template")), "texts")
-
-    @F.pandas_udf("string")
-    def extract(sources: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series(
-            [main_text(s, set() if t is None else set(np.asarray(t).tolist())) for s, t in zip(sources, templates)],
-            dtype=object,
-        )
-
-    done = source.join(texts, "host", "left").select("id", "url", extract("html", "template").alias("text"))
+    templates = deduce_templates(ws, source, params)
+
+    @F.pandas_udf("text string, by_template boolean")
+    def extract(sources: pd.Series, templates: pd.Series, places: pd.Series) -> pd.DataFrame:
+        rows = [
+            main_text(s, set() if t is None else set(np.asarray(t).tolist()), int(p) if has else None)
+            for s, t, p, has in zip(sources, templates, places, places.notna())
+        ]
+        return pd.DataFrame(rows, columns=["text", "by_template"])
+
+    salted = source.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    every = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # the token of a place is a full 64-bit number: as text, since pandas would make it a float beside a null
+    joined = salted.join(every, ["host", "salt"], "left").withColumn("place", F.col("place").cast("string"))
+    done = joined.select("id", "url", extract("html", "template", "place").alias("x")).select("id", "url", "x.*")
     return done.select(
-        F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars")
+        F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "by_template"
     )
+
+
+_ARTICLE = "regexp_extract(html, '<article>(.*?)</article>', 1, 's')"
+_BLOCKS = f"regexp_split_to_array(regexp_replace(replace({_ARTICLE}, '<br>', ' '), '</?b>', '', 'g'), '</?(?:h1|p)>')"
+_TEXT = "replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+#: For pages of the shape that the test tables have: one article of a heading and paragraphs, some left open.
+ORACLE_SQL = rf"""
+WITH t AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform({_BLOCKS}, lambda x: trim(regexp_replace({_TEXT}, '\s+', ' ', 'g'))),
+    lambda x: x <> ''), chr(10) || chr(10)) AS text FROM pages
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""

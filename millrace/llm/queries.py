@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, linededup, rpforest, secrets
+from millrace.llm import decontam, htmltext, linededup, rpforest, secrets
 from millrace.llm.htmltext import extract_main_text
 from millrace.llm.linededup import dedup_lines
 from millrace.llm.packing import PackingParams, pack_documents
@@ -89,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontam.ORACLE_SQL,
     "op4_line_dedup": linededup.ORACLE_SQL,
     "op6_secrets": secrets.ORACLE_SQL,
+    "op10_html_text": htmltext.ORACLE_SQL,
 }
