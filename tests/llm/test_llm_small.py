@@ -452,13 +452,13 @@ def test_support_is_counted_in_different_pages(spark):
 ])
 def test_names_of_layouts_are_no_chrome(opened, closed):
     page = f"<body><div class='sidebar-left'>Side</div>{opened}<h1>Title</h1><p>Some <span class=x>main</span> text</p>{closed}<div id='comments'><article class='comment'>First!</article></div><div class=siteFooter>Foot</div></body>"
-    assert htmltext.main_text(page, set()) == "Title\n\nSome main text"
+    assert htmltext.main_text(page, set())[0] == "Title\n\nSome main text"
 
 
 def test_comments_and_related_pages_are_no_main_text():
     rest = "<div class=related><article class=card>Other</article></div><div id=comments><article class=comment>First!</article></div><div class='ad-slot'>Buy</div><div class='widget'><article>Aside</article></div>"
-    assert htmltext.main_text(f"<article><p>Text</p></article>{rest}", set()) == "Text"
-    assert htmltext.main_text(f"<div><p>Text</p></div>{rest[: rest.index('<div class=' + chr(39) + 'ad')]}", set()) == "Text"
+    assert htmltext.main_text(f"<article><p>Text</p></article>{rest}", set())[0] == "Text"
+    assert htmltext.main_text(f"<div><p>Text</p></div>{rest[: rest.index('<div class=' + chr(39) + 'ad')]}", set())[0] == "Text"
 
 
 def test_near_duplicates_are_verified(spark):
