@@ -4,7 +4,9 @@ Rows are in old shards and, by the hash of their place, in a bounded number of b
 old shards and the capacities of the new ones a minimum-cost flow gives the bytes to send from each old to each new
 shard; bytes that stay cost nothing. Whole blocks are then dealt so that they follow the flow, and the last
 differences are evened out with single blocks. Only sizes and counts of blocks reach the driver, whose number is a
-parameter; rows are joined with the block table, and ranked within their block, so no shard is ever one task.
+parameter. The files of the shards that change are then written anew: rows are joined with the block table, which is
+of fixed size, and go through one shuffle to parts of their new shard, where they are ranked, so no shard is ever one
+task. Files of shards that keep their rows stay where they are.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.llm.workspace import Workspace
 
+#: Parts of a shard that are written by a task each.
+PARTS = 16
+
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
     """Units from each source to each sink at the least total cost, by successive shortest paths with potentials.
@@ -132,53 +138,74 @@ def with_blocks(df: DataFrame, place: Column, blocks_per_shard: int) -> DataFram
     return df.withColumn("block", F.pmod(F.xxhash64(place, F.lit("block")), F.lit(blocks_per_shard)).cast("int"))
 
 
-def apply_plan(rows: DataFrame, plan: ReshardPlan, order: list[str]) -> DataFrame:
-    """``rows(old, block, ...)`` with ``shard`` and ``slot``, gapless from 0 in each shard.
+def apply_plan(rows: DataFrame, plan: ReshardPlan, order: list[str], parts: int = PARTS) -> DataFrame:
+    """``rows(old, block, ...)`` with ``shard`` and ``slot``, gapless from 0 in each shard; blocks stay together.
 
-    The block table has as many rows as the plan's parameters allow, so it is broadcast.
+    The block table has as many rows as the plan's parameters allow, so it is broadcast. Rows are shuffled once, by
+    their new shard and a part of it, which is also how they are ranked and can be written.
     """
     schema = "old int, block int, shard int, first_slot long"
     table = F.broadcast(rows.sparkSession.createDataFrame(list(plan.blocks), schema))
-    rank = F.row_number().over(Window.partitionBy("old", "block").orderBy(*order))
-    ranked = rows.withColumn("rank", rank.cast("long"))
-    return ranked.join(table, ["old", "block"]).withColumn("slot", F.col("first_slot") + F.col("rank") - 1).drop(
-        "rank", "first_slot"
-    )
+    sent = rows.join(table, ["old", "block"]).withColumn("part", F.pmod("block", F.lit(parts)))
+    sent = sent.repartition("shard", "part")
+    rank = F.row_number().over(Window.partitionBy("shard", "part", "old", "block").orderBy(*order))
+    return sent.withColumn("slot", F.col("first_slot") + rank.cast("long") - 1).drop("first_slot", "part")
 
 
-def rewrite_shards(rows: DataFrame, plan: ReshardPlan, folder: str) -> list[int]:
-    """Write the affected shards of ``rows(shard, slot, ...)`` under ``folder``; returns their numbers.
+def rewrite_shards(rows: DataFrame, plan: ReshardPlan, folder: str, order: list[str]) -> list[int]:
+    """Write the affected shards of ``rows(old, block, ...)`` under ``folder``; returns their numbers.
 
     Files of other shards hold the rows they held before and are not written.
     """
     affected = sorted(plan.affected)
-    rows.where(F.col("shard").isin(affected)).drop("old", "block").repartition("shard", F.pmod("slot", F.lit(64))).write.mode(
-        "overwrite"
-    ).partitionBy("shard").parquet(folder)
+    changed = {(o, b) for o, b, s, _ in plan.blocks if s in plan.affected}
+    moved = ReshardPlan(tuple(x for x in plan.blocks if (x[0], x[1]) in changed), plan.flow, plan.moved_bytes, plan.affected)
+    apply_plan(rows, moved, order).drop("old", "block").write.mode("overwrite").partitionBy("shard").parquet(folder)
     return affected
 
 
 def reshard_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_old: int = 16, n_new: int = 24,
-    blocks_per_shard: int = 512,
+    blocks_per_shard: int = 512, report: list | None = None,
 ) -> DataFrame:
-    """(id, size, text_crc32, law, shard, slot, grown_shard) of each row, sizes of shards near equal.
-
-    The old layout is ``n_old`` shards by the hash of a row's place in the table. A row's size is the UTF-8 bytes of
-    its text, none for null, and 8. Equal and repeated rows are rows of their own, so a text or id that a third of
-    the rows share spreads evenly; a single row larger than a shard's share makes that shard larger. An empty
-    table gives no rows. Only ids, sizes and checksums leave the scan.
+    """(id, size, text_crc32, law, shard, slot, grown_shard) of each row, sizes of shards near equal, read back from
+    the files of the new shards.
+
+    The old layout is ``n_old`` shards by the hash of a row's place in the table, which are written first, with all
+    columns of ``docs``; the shards that change are then written anew. A row's size is the UTF-8 bytes of its text,
+    none for null, and 8. Equal and repeated rows are rows of their own, so a text or id that a third of the rows share
+    spreads evenly; a single row larger than a shard's share makes that shard larger. An empty table gives no rows.
+    ``report`` gets the bytes that move, and the numbers of the shards that are written.
     """
     ws = Workspace(docs.sparkSession, "sharding")
-    data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    narrow = docs.select(
-        F.col(id_col).alias("id"), (F.octet_length(data) + 8).cast("long").alias("size"),
-        F.crc32(data).alias("text_crc32"), F.monotonically_increasing_id().alias("place"),
-    )
+    # the documents' own columns are kept in a struct, so that no name of theirs can clash
+    placed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place"))
     old = F.pmod(F.xxhash64("place", F.lit("old")), F.lit(n_old)).cast("int")
-    rows = with_blocks(ws.table(narrow, "rows").withColumn("old", old), F.col("place"), blocks_per_shard)
-    plan = plan_reshard(rows, n_old, n_new)
-    return apply_plan(rows, plan, ["id", "place"]).select(
-        F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+    before = ws.path("old")
+    placed.withColumn("old", old).repartition("old", F.pmod(F.xxhash64("place"), F.lit(PARTS))).write.partitionBy("old").parquet(before)
+    schema = placed.withColumn("old", old).schema
+    stored = with_blocks(docs.sparkSession.read.schema(schema).parquet(before), F.col("place"), blocks_per_shard)
+    size = lambda doc: (F.octet_length(_bytes(doc[text_col])) + 8).cast("long")
+    plan = plan_reshard(stored.select("old", "block", size(F.col("doc")).alias("size")), n_old, n_new)
+    after = ws.path("new")
+    order = [F.col("doc").getField(id_col), F.col("place")]
+    written = rewrite_shards(stored, plan, after, order) if plan.affected else []
+    if report is not None:
+        report += [plan.moved_bytes, written]
+    fields = [f for f in schema.fields if f.name != "old"]
+    kind = T.StructType([*fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    rows = docs.sparkSession.read.schema(kind).parquet(after) if written else docs.sparkSession.createDataFrame([], kind)
+    rows = rows.select("doc", "shard", "slot")
+    same = sorted(set(range(n_new)) - set(written))
+    if same:  # shards whose files stay: their rows are ranked where they lie
+        stay = ReshardPlan(tuple(x for x in plan.blocks if x[2] in same), plan.flow, 0, frozenset(same))
+        rows = rows.unionByName(apply_plan(stored, stay, order).select("doc", "shard", "slot"))
+    return rows.select(
+        F.col("doc").getField(id_col).alias(id_col), size(F.col("doc")).alias("size"),
+        F.crc32(_bytes(F.col("doc")[text_col])).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _bytes(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
