@@ -403,8 +403,18 @@ def test_sharding(spark, odd_documents, tmp_path):
     plan = sharding.plan_reshard(placed, 4, [3, 5, 4, 4])
     out = sharding.apply_plan(placed, plan, ["doc_id"])
     assert plan.moved_bytes <= 150 and {0, 1} <= plan.affected
-    written = sharding.rewrite_shards(out, plan, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == out.where(F.col("shard").isin(written)).count()
+    written = sharding.rewrite_shards(placed, plan, str(tmp_path / "s"), ["doc_id"])
+    files = {(r.doc_id, r.shard, r.slot) for r in spark.read.parquet(str(tmp_path / "s")).collect()}
+    assert files == {(r.doc_id, r.shard, r.slot) for r in out.where(F.col("shard").isin(written)).collect()}
+
+
+def test_resharding_without_moves_writes_nothing(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(3000)], "doc_id long, text string")
+    report = []
+    rows = sharding.reshard_documents(docs, n_old=3, n_new=4, report=report).collect()
+    assert len(rows) == 3000 and 5000 < report[0] < 9000 and report[1] == [0, 1, 2, 3]  # a quarter of 27,000 bytes moves
+    plan = sharding.plan_reshard(sharding.with_blocks(docs.selectExpr("doc_id", "9L as size", "cast(doc_id % 3 as int) as old"), F.col("doc_id"), 8), 3, [1, 1, 1])
+    assert plan.moved_bytes == 0 and not plan.affected
 
 
 # --- 10
