@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from millrace.llm.workspace import Workspace
 
-#: Parts of a shard that are written by a task each.
-PARTS = 16
+#: Bytes of a part of a shard, which one task ranks and writes.
+PART_BYTES = 64 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -138,7 +138,7 @@ def with_blocks(df: DataFrame, place: Column, blocks_per_shard: int) -> DataFram
     return df.withColumn("block", F.pmod(F.xxhash64(place, F.lit("block")), F.lit(blocks_per_shard)).cast("int"))
 
 
-def apply_plan(rows: DataFrame, plan: ReshardPlan, order: list[str], parts: int = PARTS) -> DataFrame:
+def apply_plan(rows: DataFrame, plan: ReshardPlan, order: list[str]) -> DataFrame:
     """``rows(old, block, ...)`` with ``shard`` and ``slot``, gapless from 0 in each shard; blocks stay together.
 
     The block table has as many rows as the plan's parameters allow, so it is broadcast. Rows are shuffled once, by
@@ -146,8 +146,10 @@ def apply_plan(rows: DataFrame, plan: ReshardPlan, order: list[str], parts: int
     """
     schema = "old int, block int, shard int, first_slot long"
     table = F.broadcast(rows.sparkSession.createDataFrame(list(plan.blocks), schema))
+    n_new = len(plan.flow[0]) if plan.flow else 1
+    parts = max(1, -(-sum(map(sum, plan.flow)) // (n_new * PART_BYTES)))
     sent = rows.join(table, ["old", "block"]).withColumn("part", F.pmod("block", F.lit(parts)))
-    sent = sent.repartition("shard", "part")
+    sent = sent.repartition(n_new * parts, "shard", "part")
     rank = F.row_number().over(Window.partitionBy("shard", "part", "old", "block").orderBy(*order))
     return sent.withColumn("slot", F.col("first_slot") + rank.cast("long") - 1).drop("first_slot", "part")
 
@@ -182,7 +184,7 @@ def reshard_documents(
     placed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place"))
     old = F.pmod(F.xxhash64("place", F.lit("old")), F.lit(n_old)).cast("int")
     before = ws.path("old")
-    placed.withColumn("old", old).repartition("old", F.pmod(F.xxhash64("place"), F.lit(PARTS))).write.partitionBy("old").parquet(before)
+    placed.withColumn("old", old).write.partitionBy("old").parquet(before)
     schema = placed.withColumn("old", old).schema
     stored = with_blocks(docs.sparkSession.read.schema(schema).parquet(before), F.col("place"), blocks_per_shard)
     size = lambda doc: (F.octet_length(_bytes(doc[text_col])) + 8).cast("long")
