@@ -39,10 +39,19 @@ class SecretParams:
     example_owners: int = 3  # a value of so many owners or repositories is a copied example
 
 
-def _pieces(text: Column, pattern: str, value_group: int) -> Column:
+def _may_match(text: Column) -> list[Column]:
+    """Of each kind a quick test that no text with a match fails: searches for words, and runs that begin a token."""
+    lower, begins = F.lower(text), "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20}"
+    named = F.contains(lower, F.lit("apikey"))
+    for word in ("password", "passwd", "secret", "token", "api_key"):
+        named = named | F.contains(lower, F.lit(word))
+    return [named & text.rlike(ASSIGN), F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS), text.rlike(HEX), text.rlike(begins)]
+
+
+def _pieces(text: Column, pattern: str, value_group: int, found: Column) -> Column:
     """The text parted before and after the leftmost non-overlapping matches, each with its value; null without any."""
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{AROUND}$0{VALUE}${value_group}{AROUND}"))
-    return F.when(text.rlike(pattern), F.split(marked, AROUND))
+    return F.when(found, F.split(marked, AROUND))
 
 
 def _sums(numbers: Column, start: Column) -> Column:
@@ -83,12 +92,15 @@ def _matches(pieces: Column, ends: Column, kind: int) -> Column:
 
 def candidates(docs: DataFrame, text_col: str, carry: list[Column]) -> DataFrame:
     """``carry`` with ``base`` and ``bare``: the spans of the base kinds, and tokens that no base span covers."""
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), AROUND + VALUE, OTHER + OTHER)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    has_marks = F.contains(text, F.lit(AROUND)) | F.contains(text, F.lit(VALUE))
+    text = F.when(has_marks, F.translate(text, AROUND + VALUE, OTHER + OTHER)).otherwise(text)
     # each step is computed once: the optimizer would write the patterns into every use of their matches
     found = docs.select(*carry, text.alias("__t"))
     names = found.columns[:-1]
     found = computed(found, __t=F.col("__t"))
-    parted = {f"__p{k}": _pieces(F.col("__t"), p, g) for k, (p, g) in enumerate(((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (TOKEN, 0)))}
+    may, kinds = _may_match(F.col("__t")), ((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (TOKEN, 0))
+    parted = {f"__p{k}": _pieces(F.col("__t"), p, g, may[k]) for k, (p, g) in enumerate(kinds)}
     found = computed(found, **parted).drop("__t")
     lengths = lambda c: F.transform(c, lambda p: F.length(F.substring_index(p, VALUE, 1)))
     found = computed(found, **{f"__n{k}": lengths(F.col(f"__p{k}")) for k in range(4)})
