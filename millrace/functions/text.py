@@ -207,19 +207,26 @@ def is_heading(line: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def folded_otherwise() -> str:
-    """A character class of the letters that lower-casing alone does not fold, and of those that it folds by context."""
-    odd = [c for c in map(chr, range(128, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c.lower()]
-    return "[Σİ" + "".join(odd) + "]"
+    """A class of characters in which are all letters that lower-casing alone does not fold, or folds by context.
+
+    It is what lies outside long ranges without such letters, so that it has few ranges and is quickly tested. Sharp s
+    is not among these letters, since ``fold`` replaces it.
+    """
+    letters = (chr(k) for k in range(0x10000) if not 0xD800 <= k < 0xE000)
+    odd = [ord(c) for c in letters if c in "ΣİΣ" or (c != "ß" and c.casefold() != c.lower())]
+    gaps = [(a + 1, b - 1) for a, b in zip([-1, *odd], [*odd, 0xD800]) if b - a > (2 if a < 0x180 else 200)]
+    return "[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in gaps if b < 0xD800 and a <= b) + "]"
 
 
 def fold(text: Column) -> Column:
-    """Case folded over all of Unicode; only texts with letters that lower-casing does not fold reach Python."""
+    """Case folded over all of Unicode; only texts with letters that lower-casing may not fold reach Python."""
 
     @F.pandas_udf("string")
     def casefold(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else v.casefold())
 
-    return F.when(text.rlike(folded_otherwise()), casefold(text)).otherwise(F.lower(text))
+    plain = F.replace(text, F.lit("ß"), F.lit("ss"))
+    return F.when(plain.rlike(folded_otherwise()), casefold(text)).otherwise(F.lower(plain))
 
 
 def contains_all(folded_text: Column, folded_terms: Column) -> Column:
