@@ -162,7 +162,9 @@ def rewrite_shards(rows: DataFrame, plan: ReshardPlan, folder: str, order: list[
     affected = sorted(plan.affected)
     changed = {(o, b) for o, b, s, _ in plan.blocks if s in plan.affected}
     moved = ReshardPlan(tuple(x for x in plan.blocks if (x[0], x[1]) in changed), plan.flow, plan.moved_bytes, plan.affected)
-    apply_plan(rows, moved, order).drop("old", "block").write.mode("overwrite").partitionBy("shard").parquet(folder)
+    apply_plan(rows, moved, order).drop("old", "block").write.mode("overwrite").option(
+        "compression", "zstd"
+    ).partitionBy("shard").parquet(folder)
     return affected
 
 
@@ -184,7 +186,7 @@ def reshard_documents(
     placed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place"))
     old = F.pmod(F.xxhash64("place", F.lit("old")), F.lit(n_old)).cast("int")
     before = ws.path("old")
-    placed.withColumn("old", old).write.partitionBy("old").parquet(before)
+    placed.withColumn("old", old).write.option("compression", "zstd").partitionBy("old").parquet(before)
     schema = placed.withColumn("old", old).schema
     stored = with_blocks(docs.sparkSession.read.schema(schema).parquet(before), F.col("place"), blocks_per_shard)
     size = lambda doc: (F.octet_length(_bytes(doc[text_col])) + 8).cast("long")
