@@ -333,6 +333,8 @@ def decontaminate(
             yield pd.DataFrame({"n_words": found["n_words"], "n_hit": found["n_hit"], "text": cut})
 
     own = {c: F.col("doc").getField(c) for c in docs.columns}
+    # called not deterministic, so that the filter on its result does not run it a second time
+    clean = clean.asNondeterministic()
     rows = docs.select(F.struct("*").alias("doc"), clean(F.col(text_col).cast("binary")).alias("found"))
     stay = rows.where(F.col("found.n_hit") <= max_coverage * F.col("found.n_words"))
     text = F.when(F.col("found.n_hit") > 0, F.col("found.text")).otherwise(own[text_col])

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words whose ids a worker remembers before it starts again; about 150 bytes each.
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 
 
 def default_tokenizer() -> str:
