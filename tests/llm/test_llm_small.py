@@ -505,3 +505,150 @@ def test_forest_is_exact_on_one_dense_group(spark):
     x = rpforest.unit([r[2] for r in rows])
     near = (x @ x.T >= 0.93).sum(1) - 1
     assert near.mean() > 300 and [got[i] for i in range(len(rows))] == near.tolist()
+
+
+# --- ids, names and sizes
+
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_nulls_stay_whole(spark):
+    docs = spark.createDataFrame([(BIG, "some text of it"), (None, "other words"), (BIG + 2, None)], "doc_id long, text string").coalesce(1)
+    ids = {BIG, None, BIG + 2}
+    assert {r.doc_id for r in tokenfile.encode_and_read_back(docs).collect()} == ids
+    assert {r.doc_id for r in packing.pack_documents(docs).collect()} == ids
+    assert {r.doc_id for r in simhash.simhash_components(docs).collect()} == ids
+    assert {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()} == ids
+    named = docs.selectExpr("concat('id', doc_id) as doc_id", "text")
+    names = {f"id{BIG}", None, f"id{BIG + 2}"}
+    assert {r.doc_id for r in packing.pack_documents(named).collect()} == names
+    assert {r.doc_id for r in simhash.simhash_components(named).collect()} == names
+
+
+def test_evolution_needs_fewer_bins_than_best_fit():
+    """Of twelve pieces that fill four bins exactly, by construction, best fit needs five; the islands often four."""
+    rng, best, evolved, crossovers = np.random.default_rng(3), 0, 0, 0
+    p = packing.PackingParams(capacity=100, population=6, generations=40)
+    for _ in range(25):
+        pieces = []
+        for _ in range(4):
+            a = int(rng.integers(20, 50))
+            b = int(rng.integers(20, min(50, 90 - a)))
+            pieces += [a, b, 100 - a - b]
+        lengths = np.array(pieces)[rng.permutation(12)]
+        bins, loads = [], []
+        packing.best_fit(lengths, np.arange(12), bins, loads, 100)
+        found = []
+        for island in range(3):
+            own = np.random.default_rng([island, 1])
+            population, n, _ = packing.evolve(lengths, packing.first_population(lengths, p, own, island), p, own)
+            assert (np.bincount(population[0], lengths) <= 100).all()
+            found.append(int(population[0].max()) + 1)
+            crossovers += n
+        best, evolved = best + len(bins), evolved + min(found)
+    assert 100 <= evolved < best - 10 and crossovers > 100
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=700))
+def test_running_sums(spark, numbers):
+    df = spark.createDataFrame([(numbers,)], "n array<int>")
+    assert df.select(secrets.running_sums(F.col("n"))).first()[0] == np.cumsum(numbers).tolist()
+
+
+def test_very_many_secrets(spark):
+    text = " ".join(f"password=abcdef{k}" for k in range(20_000))
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()
+    assert got.n_assign == 20_000 and got.spans.startswith("assign:0:16,assign:17:33,")
+
+
+def test_a_line_of_very_many_documents(spark):
+    docs = spark.createDataFrame([(i, f"this line stands in all of them\nown line number {i} {'x' * (i % 50)} of it") for i in range(1500)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(docs, edit_bound=0, count_cols=True).collect()}
+    assert got == {i: int(i > 0) for i in range(1500)}
+
+
+def test_decontamination_refuses_a_name_in_use(spark, odd_documents):
+    bench = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    with pytest.raises(ValueError):
+        decontam.scan_documents(odd_documents, bench)
+    assert decontam.scan_documents(odd_documents, bench, as_col="seen").where("found <> 'own found'").count() == 0
+
+
+# --- the template of a host
+
+PLAIN = (
+    "<body><div class=q1><div class=z1>Home</div><div class=z2>All topics</div></div><div class=q2><div class=k1>{title}</div>"
+    "<div class=k2><p>{body}</p></div></div><div class=q3><div class=z3>Read next {other}</div></div><div class=q4>Imprint of the site</div></body>"
+)
+
+
+def test_template_decides_where_no_name_tells(spark):
+    pages = [(n, f"https://h.example/{n}", PLAIN.format(title=f"Title {n}", body=f"Text {n} " + "of a page " * 9, other=n * 7)) for n in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'own' as host", "'own' as template", "'own' as salt")
+    got = {r.page_id: (r.text, r.by_template) for r in htmltext.extracted(df).collect()}
+    assert got == {n: (f"Text {n} " + "of a page " * 8 + "of a page", True) for n in range(9)}
+    alone = {r.page_id: r.by_template for r in htmltext.extracted(df.limit(3)).collect()}
+    assert set(alone.values()) == {False}
+
+
+def test_occurrence_vectors_against_brute_force(spark):
+    pages = [PAGE.format(n=n) for n in range(6)] + [PAGE.format(n=2)]
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string").repartition(3)
+    got = {r.token: r for r in htmltext.page_tokens(Workspace(spark, "t"), df).collect()}
+    different = sorted(set(pages))
+    vectors = {}
+    for k, p in enumerate(different):
+        for token, (times, *_) in htmltext.tokens_of(p).items():
+            vectors.setdefault(token, [0] * len(different))[k] = times
+    assert set(got) == set(vectors)
+    assert all((got[t].pages, got[t].times) == (sum(x > 0 for x in v), sum(v)) for t, v in vectors.items())
+    classes = lambda key: sorted(sorted(t for t in vectors if key(t) == x) for x in {key(t) for t in vectors})
+    assert classes(lambda t: (got[t].a, got[t].b)) == classes(lambda t: tuple(vectors[t]))
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_000, "<div>" * 100_000, "<div>" * 50_000 + "</b>" * 50_000, '<p x="' + "<p>a</p>" * 50_000, "<div><article></article>" * 20_000])
+def test_long_and_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(page, set())
+    assert time.process_time() - began < 15
+
+
+# --- the forest
+
+
+def test_trees_and_cores_reach_the_recall(spark):
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.standard_normal((2, 900, 48)))
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    pairs = np.concatenate([a, 0.94 * a + np.sqrt(1 - 0.94**2) * b])
+    center = unit(rng.standard_normal((1, 48)))
+    cloud = unit(center + 0.12 * unit(rng.standard_normal((500, 48))))
+    shell = unit(center + 0.33 * unit(rng.standard_normal((60, 48))))
+    x = np.concatenate([pairs, cloud, shell])
+    rows = [(i, 1, v.tolist(), "x", "y") for i, v in enumerate(x)]
+    p = rpforest.ForestParams(leaf_rows=64)
+    centres, cuts, trees = rpforest.make_plan(rpforest.unit(x), len(x), p)
+    assert len(centres) == 1 and trees > 1 and cuts
+    got = {r.vec_id: r.n_links for r in rpforest.embedding_components(embeddings(spark, rows), params=p).collect()}
+    y = rpforest.unit(np.array([r[2] for r in rows], np.float32))
+    near = (y @ y.T >= 0.93).sum(1) - 1
+    links = np.array([got[i] for i in range(len(x))])
+    assert (links <= near).all() and links.sum() >= 0.99 * near.sum() and links[:1800].sum() >= 0.95 * near[:1800].sum()
+
+
+def test_stages_on_odd_documents(spark, odd_documents, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(0, 1, 0), (4, 0, 0), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no id here but some words in the text of it"), (2, None)], "item_id long, text string")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (odd_documents, odd_documents.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.where("place <> 'own place'").count() == 0
+        assert corpus_pipeline.packing(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
