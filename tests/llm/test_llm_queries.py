@@ -1,5 +1,7 @@
 """The registered operator queries and the pipeline on the smallest tables."""
 
+import re
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -35,3 +37,31 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").count() == 0
+
+
+def test_near_duplicates_of_whole_table(spark):
+    """The near-duplicate stage on all documents, against all pairs that share a shingle."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    root, holders, sets = {}, {}, {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for doc, text in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+        sets[doc] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+        root[doc] = doc
+        shared = Counter(other for s in sets[doc] for other in holders.get(s, ()))
+        for other, both in shared.items():
+            if both >= 0.8 * (len(sets[doc]) + len(sets[other]) - both):
+                a, b = sorted((find(doc), find(other)))
+                root[b] = a
+        for s in sets[doc]:
+            holders.setdefault(s, []).append(doc)
+    kept = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [d for d, _ in rows if find(d) == d]
