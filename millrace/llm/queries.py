@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, htmltext, linededup, rpforest, secrets
+from millrace.llm import decontam, filteraudit, htmltext, linededup, rpforest, secrets
 from millrace.llm.htmltext import extract_main_text
 from millrace.llm.linededup import dedup_lines
 from millrace.llm.packing import PackingParams, pack_documents
@@ -72,6 +72,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters on all documents, in all their orders, by language."""
+    return filteraudit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_forest": op1_embedding_forest,
     "op2_quality": op2_quality,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_html_text": op10_html_text,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_forest": rpforest.ORACLE_SQL,
@@ -90,4 +96,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE_SQL,
     "op6_secrets": secrets.ORACLE_SQL,
     "op10_html_text": htmltext.ORACLE_SQL,
+    "op13_filter_audit": filteraudit.ORACLE_SQL,
 }
