@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, filteraudit, htmltext, linededup, rpforest, secrets
+from millrace.llm import changepoints, decontam, filteraudit, htmltext, linededup, rpforest, secrets
+from millrace.llm.fingerprints import fingerprint_documents
 from millrace.llm.htmltext import extract_main_text
 from millrace.llm.linededup import dedup_lines
 from millrace.llm.packing import PackingParams, pack_documents
@@ -72,6 +73,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the daily quantities of all vendors."""
+    return changepoints.vendor_segments(_table(spark, sf_dir, "sale_lines"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters on all documents, in all their orders, by language."""
     return filteraudit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -88,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_html_text": op10_html_text,
+    "op11_change_points": op11_change_points,
+    "op12_fingerprints": op12_fingerprints,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -96,5 +109,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE_SQL,
     "op6_secrets": secrets.ORACLE_SQL,
     "op10_html_text": htmltext.ORACLE_SQL,
+    "op11_change_points": changepoints.ORACLE_SQL,
     "op13_filter_audit": filteraudit.ORACLE_SQL,
 }
