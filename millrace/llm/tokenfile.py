@@ -168,7 +168,7 @@ def write_token_files(
 
     Rows are dealt by ranges of the id, with the place in the input to part equal ids, so no task holds more than
     its range. Each attempt of a task writes a file of its own name; only those of attempts that Spark accepted are
-    listed, and the others are removed. Ids are 64-bit integers, and ids of another kind are taken as null; null ids
+    listed, and the others are removed. Ids are 64-bit integers; an id that cannot be read as one is taken as null; null ids
     come first; null texts are empty; an empty table gives no files.
     """
     path = tokenizer or default_tokenizer()
@@ -198,7 +198,7 @@ def write_token_files(
         release()
 
     placed = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+        F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         F.monotonically_increasing_id().alias("place"),
     )
     ordered = placed.repartitionByRange("id", "place").sortWithinPartitions("id", "place").select("id", "text")

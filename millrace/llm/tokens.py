@@ -40,7 +40,8 @@ class _Words(dict):
         self.letters = byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        if self.letters_are_pieces and word[-1:] in (".", ",") and word[-2:-1].isalpha():
+        # a letter that the normaliser parts into letter and mark leaves a mark before the sign, which then joins it
+        if self.letters_are_pieces and word[-1:] in (".", ",") and word[-2:-1].isalpha() and _as_it_is(word):
             ids = self[word[:-1]] + self[word[-1]]
         elif self.letters_are_pieces and word.isalpha() and word == word.lower() and _as_it_is(word):
             bytes_ = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
@@ -54,8 +55,14 @@ class _Words(dict):
 
 
 def _as_it_is(text: str) -> bool:
-    """Whether normal form C keeps the text, and lower-casing does the same to it letter by letter and as a whole."""
-    return text.isascii() or ("Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text))
+    """Whether normal form C keeps the text, also when it is lower-cased (small letters have composed forms that capital
+    ones lack), and lower-casing does the same to it letter by letter and as a whole."""
+    if text.isascii():
+        return True
+    if "Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text):
+        return False
+    low = text.lower()
+    return low == text or unicodedata.is_normalized("NFC", low)
 
 
 class TextEncoder:
