@@ -234,7 +234,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The next text is that of the next greater id, and after the last the first; null ids come first, rows of equal ids
     follow each other as they stand in the input. Null texts are empty. An empty table gives no rows; other columns are
-    not looked at. Beside the likenesses come the numbers of paragraphs that only the old and only the edited text has,
+    not looked at, and an id that is no whole number is taken as null. Beside the likenesses come the numbers of paragraphs that only the old and only the edited text has,
     and the cells at which the two could be told apart.
 
     Texts are dealt once, by ranges of the id, and each task goes through its range a batch at a time. The last text of a
@@ -274,7 +274,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_pylist([{"part": part} | values], arrow)
 
     placed = ws.settled(docs).select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+        F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         F.monotonically_increasing_id().alias("place"),
     )
     ordered = placed.repartitionByRange("id", "place").sortWithinPartitions("id", "place").select("id", "text")
