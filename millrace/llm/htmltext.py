@@ -42,7 +42,7 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes noembed".split())
 NEVER = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea iframe svg canvas object "
+    "head script style noscript template nav footer aside button select option textarea iframe svg canvas object "
     "dialog menu audio video map datalist".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -79,7 +79,8 @@ COMMENT = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
 TAG = re.compile(COMMENT + r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 #: For the rest of a page in which a quotation mark is never closed.
 LENIENT_TAG = re.compile(COMMENT + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, so that what stands in a value is never taken for a name.
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 NAME_WORDS = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
@@ -98,6 +99,8 @@ class Element:
     others: bool = False  # it or one around it holds articles that are not the page's own
     holds_main: bool = False  # is or has an article or main element that is in no other
     place: bool = False  # can hold a main text
+    form: Element | None = None  # the innermost form around it, or itself
+    bare: bool = False  # chrome for another reason than forms
 
 
 @dataclass(slots=True)
@@ -126,41 +129,75 @@ def _named(value: str) -> tuple[bool, bool, bool]:
 
 
 def _roles(tag: str, attributes: str, parent: Element) -> Element:
-    words: set[str] = set()
-    names = []
-    hidden = False
-    if attributes and ("=" in attributes or "hidden" in attributes):
+    names: list[str] = []
+    read: dict[str, str] = {}
+    if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
-            value = htmllib.unescape(a or b or c)
-            if name.lower() == "hidden":
-                hidden = True
-            elif name.lower() == "itemprop":
-                if value.lower() == "articlebody":
-                    words.add("article")
-            else:
-                names.append(value)
-                words.update(NAME_WORDS.findall(CAMEL.sub(" ", value).lower()))
+            name = name.lower()
+            if name in ("class", "id", "role", "hidden", "itemprop") and name not in read:
+                read[name] = htmllib.unescape(a or b or c)
+                if name in ("class", "id", "role"):
+                    names.append(read[name])
+    hidden = "hidden" in read
+    words = {w for n in names for w in NAME_WORDS.findall(CAMEL.sub(" ", n).lower())}
+    if read.get("itemprop", "").lower() == "articlebody":
+        words.add("article")
     is_main = tag in MAIN_WORDS or "main" in words and tag != "div" or "article" in words and "articlebody" in words
-    is_main = is_main or (tag in ("div", "section") and "role" in attributes.lower() and bool(words & MAIN_WORDS))
+    is_main = is_main or (tag in ("div", "section") and bool(MAIN_WORDS & set(NAME_WORDS.findall(read.get("role", "").lower()))))
     by_name = (False, False, False)
     if names and tag not in ("body", "html"):
-        by_name = tuple(any(x) for x in zip(*map(_named, names)))
+        by_id, by_class = _named(read.get("id", "")), _named(f"{read.get('class', '')} {read.get('role', '')}")
+        if parent.main:
+            # in an article ids are often made of its text, and pieces of it are text; only adverts and comments go
+            if tag in HEADINGS:
+                by_id = by_class = (False, False, False)
+            elif tag in PIECES:
+                by_class = (by_class[2], False, by_class[2])
+            by_id = (by_id[2], False, by_id[2])
+        by_name = tuple(x or y for x, y in zip(by_id, by_class))
     always = (tag in NEVER or (hidden and tag not in ("body", "html")), tag == "header")
     named = (by_name[0], by_name[1] and tag not in HEADINGS)
     label = f"{tag}.{'.'.join(sorted(names))}" if names else tag
-    return Element(
-        tag, xxhash.xxh64_intdigest(f"{parent.path}/{label}", 1), parent.chrome or always[0] or named[0],
+    bare = parent.bare or always[0] or named[0]
+    e = Element(
+        tag, xxhash.xxh64_intdigest(f"{parent.path}/{label}", 1), parent.chrome or bare or tag == "form",
         parent.main or is_main, parent.header or always[1] or named[1], parent, always, named,
-        parent.others or always[0] or by_name[2], False, tag not in PIECES and tag not in INLINE,
+        parent.others or always[0] or by_name[2], False, tag not in PIECES and tag not in INLINE, parent.form, bare,
     )
+    if tag == "form":
+        e.form = e
+    return e
 
 
-def _settle(elements: list[Element]) -> None:
-    """Where all articles of a page are in elements with names of chrome, lift the names off those that hold one.
+def _settle(elements: list[Element], blocks: list[tuple[Element, str, bool]]) -> None:
+    """What takes the whole page to know: which forms are no chrome, and which names of chrome mean nothing.
 
-    Articles named as comments, adverts or pages related to this one stay out.
+    A form is chrome unless it holds an article of the page's own, or at least half of the text that is left without
+    forms. Where all articles of a page are in elements with names of chrome, the names are lifted off those that hold
+    one. Articles named as comments, adverts or pages related to this one stay out.
     """
+    forms = [e for e in elements if e.tag == "form"]
     own = [e for e in elements if e.main and not e.parent.main]
+    lifted: set[int] = set()
+    if forms:
+        inside = {id(f): 0 for f in forms}
+        whole = 0
+        for e, text, _ in blocks:
+            if not e.bare:
+                whole += len(text)
+                if e.form is not None:
+                    inside[id(e.form)] += len(text)
+        for f in reversed(forms):  # inner forms before those around them
+            if inside[id(f)] and 2 * inside[id(f)] >= whole:
+                lifted.add(id(f))
+            if f.parent.form is not None:
+                inside[id(f.parent.form)] += inside[id(f)]
+        for e in own:
+            f = e.form if not e.others else None
+            while f is not None and id(f) not in lifted:
+                lifted.add(id(f))
+                f = f.parent.form
+    _inherit(elements, lifted)
     if not own or any(not e.chrome and not e.header for e in own):
         return
     for e in own:
@@ -168,9 +205,14 @@ def _settle(elements: list[Element]) -> None:
         while not e.others and above.parent is not None and not above.holds_main:
             above.holds_main = True
             above = above.parent
+    _inherit(elements, lifted)
+
+
+def _inherit(elements: list[Element], lifted: set[int]) -> None:
     for e in elements:  # parents come first
         by_name = (False, False) if e.holds_main else e.named
-        e.chrome = e.parent.chrome or e.always[0] or by_name[0]
+        form = e.tag == "form" and id(e) not in lifted
+        e.chrome = e.parent.chrome or e.always[0] or by_name[0] or form
         e.header = e.parent.header or e.always[1] or by_name[1]
 
 
@@ -254,7 +296,7 @@ def tokenize(source: str) -> tuple[list[Block], list[Element]]:
         if tag not in VOID:
             push(element)
     flush()
-    _settle(elements)
+    _settle(elements, blocks)
     return [Block(e.path, text, heading, e.main, e.chrome, e.header, e) for e, text, heading in blocks], tags
 
 

@@ -652,3 +652,34 @@ def test_stages_on_odd_documents(spark, odd_documents, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == docs.columns and out.where("place <> 'own place'").count() == 0
         assert corpus_pipeline.packing(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+ARTICLE = "<article><h1>A title</h1><p>First of it.<p>Second of it.</article>"
+
+
+@pytest.mark.parametrize("page", [
+    ARTICLE.replace("<article", '<article style="overflow:hidden"'), f'<div style="overflow: hidden" data-note="hidden gems">{ARTICLE}</div>',
+    f"<div title='not hidden' data-x=hidden>{ARTICLE}</div>", f'<form id="aspnetForm">{ARTICLE}</form>',
+    f'<form id="f" class="search"><nav>Menu</nav>{ARTICLE}<select><option>one</select></form><form>Sign in</form>',
+    f"<form><div id=c>{ARTICLE.replace('article', 'div')}</div></form>", f"{ARTICLE}<form><p>Subscribe to us</form><div hidden>Not seen</div>",
+    f'{ARTICLE}<div class="x" HIDDEN><p>Not seen</div><article class="comment">A reader</article>',
+])
+def test_forms_and_hidden_by_what_they_hold(page):
+    assert htmltext.main_text(f"<html><body>{page}</body></html>", set())[0] == "A title\n\nFirst of it.\n\nSecond of it."
+
+
+def test_names_made_of_an_articles_text():
+    page = '<article><h2 id="search">Search</h2><p>a<h2 id="comments">Comments</h2><p class="dialog">b<p class="notice">c<section id="menu"><p>d</section>'
+    page += '<div class="ad"><p>Buy</div><section id="comments"><p>A reader</section><div class="sidebar">Side</div><p class="advert">Buy</article>'
+    assert htmltext.main_text(page, set())[0] == "Search\n\na\n\nComments\n\nb\n\nc\n\nd"
+
+
+def test_wrapped_pages_keep_their_texts(spark):
+    """Whole ``pages`` with each article in wrappers that a careless reader takes for chrome."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    opened = F.when(F.col("page_id") % 3 == 0, '<form id="aspnetForm"><article>').when(F.col("page_id") % 3 == 1, '<div style="overflow:hidden"><article>').otherwise('<article data-note="hidden gems">')
+    closed = F.when(F.col("page_id") % 3 == 0, "</article></form>").when(F.col("page_id") % 3 == 1, "</article></div>").otherwise("</article>")
+    wrapped = pages.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), opened), F.lit("</article>"), closed))
+    assert wrapped.join(pages.select("page_id", F.col("html").alias("old")), "page_id").where("html = old").count() == 0
+    text = lambda df: {r.page_id: r.text for r in htmltext.extract_main_text(df).collect()}
+    assert text(wrapped) == text(pages)
