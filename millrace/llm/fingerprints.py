@@ -3,8 +3,9 @@
 A text is a set of digests: each paragraph's hash, with the number of equal paragraphs before it. A sketch adds every
 digest to three of its cells. The sketches of two versions subtract cell by cell, so what they share is gone, and peeling
 (a cell with a single digest names it; taking it out of its other cells bares more) recovers the digests of which side
-only. Where cells are too few for the difference, peeling comes to a stop, and that pair is tried again at twice the
-cells, with other hashes; so every difference is recovered in the end, and likeness is exact but for collisions of 64 bits.
+only. Where cells are too few for the difference, peeling comes to a stop, and that pair is tried again with more cells
+and other hashes, as many as the squares of the counts let expect; so every difference is recovered in the end, and
+likeness is exact but for collisions of 64 bits.
 
 Paragraphs are lines, cut after ends of sentences and after ``max_words`` words, so that texts of one line differ by
 degrees too. Sketches of many texts are one array of numpy, so a whole batch is hashed, subtracted and peeled at once.
@@ -27,8 +28,8 @@ from pyspark.sql.window import Window
 
 from millrace.llm.workspace import Workspace, release
 
-#: Cells of a fingerprint, a multiple of ``HASHES``; enough for a difference of about 18 digests.
-CELLS = 24
+#: Cells of a fingerprint, a multiple of ``HASHES``; enough for most differences of up to about 8 digests.
+CELLS = 18
 HASHES = 3
 MAX_ROUNDS = 200
 MAX_WORDS = 8
@@ -141,56 +142,81 @@ class Sketches:
         joined = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((owners, np.int64), (values, np.uint64), (sides, np.int64))]
         return (*joined, empty)
 
-    def text(self, i: int, n: int) -> str:
-        """A sketch as text: the number of digests, and the cells in base 64."""
-        own = slice(i * self.cells, (i + 1) * self.cells)
-        raw = self.count[own].astype("<i4").tobytes() + self.key[own].astype("<u8").tobytes() + self.check[own].astype("<u4").tobytes()
-        return f"{n:x}." + base64.b64encode(raw).decode()
+    def likely(self) -> np.ndarray:
+        """About how many digests each difference has: every one adds a 1 or -1 to three cells, so the squares of the
+        counts of a third add up to them, and to what one side has more of, evenly spread."""
+        counts = self.count.reshape(self.n, HASHES, -1).astype(np.float64)
+        more = counts.sum(axis=(1, 2)) / HASHES
+        return np.maximum((counts**2).sum(axis=(1, 2)) / HASHES - more**2 / counts.shape[2], np.abs(more))
+
+    def bytes(self) -> list[bytes]:
+        """The cells of each sketch; counts modulo 2^16, which is enough to subtract them."""
+        parts = (self.count.astype("<i2"), self.key.astype("<u8"), self.check.astype("<u4"))
+        rows = np.concatenate([x.reshape(self.n, self.cells).view(np.uint8) for x in parts], axis=1)
+        return [row.tobytes() for row in rows]
 
 
 def checks(values: np.ndarray) -> np.ndarray:
     return (_mixed(values, 5) >> np.uint64(32)).astype(np.uint32)
 
 
+def as_text(n: int, cells: bytes) -> str:
+    """A fingerprint: the number of digests, and the cells in base 64."""
+    return f"{n:x}." + base64.b64encode(cells).decode()
+
+
 def parse(fingerprint: str) -> tuple[int, Sketches]:
     """The number of digests of a fingerprint, and its sketch."""
     n, _, cells = fingerprint.partition(".")
     raw = base64.b64decode(cells)
-    m = len(raw) // 16
+    m = len(raw) // 14
     out = Sketches(1, m)
-    out.count = np.frombuffer(raw, "<i4", m).astype(np.int32)
-    out.key = np.frombuffer(raw, "<u8", m, 4 * m).astype(np.uint64)
-    out.check = np.frombuffer(raw, "<u4", m, 12 * m).astype(np.uint32)
+    out.count = np.frombuffer(raw, "<i2", m).astype(np.int32)
+    out.key = np.frombuffer(raw, "<u8", m, 2 * m).astype(np.uint64)
+    out.check = np.frombuffer(raw, "<u4", m, 10 * m).astype(np.uint32)
     return int(n, 16), out
 
 
 def difference(left: str, right: str) -> tuple[list[int], list[int]] | None:
     """The digests of one fingerprint only, and of the other; None if the two differ in more than their cells can tell."""
     (_, a), (_, b) = parse(left), parse(right)
-    _, values, sides, empty = a.minus(b).peel()
+    rest = a.minus(b)
+    rest.count = rest.count.astype(np.int16).astype(np.int32)
+    _, values, sides, empty = rest.peel()
     return (sorted(values[sides > 0].tolist()), sorted(values[sides < 0].tolist())) if empty[0] else None
 
 
-def compare(a: Digests, left: np.ndarray, b: Digests, right: np.ndarray, cells: int = CELLS) -> dict[str, np.ndarray]:
+def compare(
+    a: Digests, left: np.ndarray, b: Digests, right: np.ndarray, cells: int = CELLS,
+    made: tuple[Sketches, Sketches] | None = None,
+) -> dict[str, np.ndarray]:
     """For each pair of texts: digests of the left only, of the right only, the cells that told them, and the likeness,
     the share of all digests that both have (1 for two texts without any).
 
-    All pairs are peeled at ``cells``; those whose peeling stops, again at twice as many, and so on. Pairs of many
-    digests are taken in groups of at most about ``GROUP_CELLS`` cells.
+    All pairs are peeled at ``cells``, from the sketches in ``made`` if they are there; those whose peeling stops, again
+    at twice as many or more. Pairs of many digests are taken in groups of at most about ``GROUP_CELLS`` cells.
     """
     n = len(left)
-    out = {k: np.zeros(n, np.int64) for k in ("only_left", "only_right", "cells")}
+    out = {k: np.zeros(n, np.int64) for k in ("only_left", "only_right")} | {"cells": np.full(n, cells)}
     todo = np.arange(n)
     while len(todo):
-        failed, step = [], max(1, GROUP_CELLS // cells)
-        for group in (todo[k : k + step] for k in range(0, len(todo), step)):
-            rest = Sketches.of(a, left[group], cells).minus(Sketches.of(b, right[group], cells))
+        size = int(out["cells"][todo].min())
+        now = todo[out["cells"][todo] == size]
+        failed, step = [todo[out["cells"][todo] > size]], max(1, GROUP_CELLS // size)
+        for group in (now[k : k + step] for k in range(0, len(now), step)):
+            if made is not None and size == cells and len(group) == n:
+                rest = made[0].minus(made[1])
+            else:
+                rest = Sketches.of(a, left[group], size).minus(Sketches.of(b, right[group], size))
+            likely = rest.likely()
             owner, _, side, empty = rest.peel()
             for name, sign in (("only_left", 1), ("only_right", -1)):
                 out[name][group] = np.bincount(owner[side == sign], minlength=len(group))
-            out["cells"][group] = cells
-            failed.append(group[~empty])
-        todo, cells = np.concatenate(failed), cells * 2
+            doublings = np.maximum(1, np.ceil(np.log2(np.maximum(1.3 * likely, 1) / size)))
+            again = group[~empty]
+            out["cells"][again] = size * 2 ** doublings[~empty].astype(np.int64)
+            failed.append(again)
+        todo = np.concatenate(failed)
     both = a.counts()[left] + b.counts()[right]
     out["likeness"] = np.where(both > 0, 1 - (out["only_left"] + out["only_right"]) / np.maximum(both, 1), 1.0)
     return out
@@ -202,30 +228,28 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-#: What is told of a document; the text of a row that has no successor yet goes along as ``tail``.
+#: What is found of a document; digests, sketches and hashes in bytes.
 FOUND = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
-    "near_next double, only_old long, only_new long, cells long"
+    "doc_id long, n_chars long, edited_hash binary, n_old long, sketch binary, n_new long, edited_sketch binary, "
+    "near_edited double, near_next double, only_old long, only_new long, cells long"
 )
 
 
-def _described(ids: list[int | None], texts: list[str], following: list[str], pattern: re.Pattern) -> dict[str, list]:
-    """The columns of FOUND for texts and the texts that follow them."""
-    changed = [edited(t, f) for t, f in zip(texts, following)]
+def _described(ids: list[int | None], texts: list[str], following: str, pattern: re.Pattern) -> dict[str, list]:
+    """The columns of FOUND for texts that follow each other, the last of them before ``following``."""
     n = len(texts)
-    own, new, after = Digests(texts, pattern), Digests(changed, pattern), Digests(following, pattern)
+    after = [*texts[1:], following]
+    changed = [edited(t, f) for t, f in zip(texts, after)]
+    own, new = Digests([*texts, following], pattern), Digests(changed, pattern)
     rows = np.arange(n)
-    to_new, to_next = compare(own, rows, new, rows), compare(own, rows, after, rows)
-    names = []
-    for digests in (own, new):
-        sketches, counts = Sketches.of(digests, rows, CELLS), digests.counts().tolist()
-        names.append([sketches.text(i, counts[i]) for i in range(n)])
+    old_cells, new_cells, next_cells = (Sketches.of(d, at, CELLS) for d, at in ((own, rows), (new, rows), (own, rows + 1)))
+    to_new = compare(own, rows, new, rows, made=(old_cells, new_cells))
+    to_next = compare(own, rows, own, rows + 1, made=(old_cells, next_cells))
     return {
-        "doc_id": ids, "n_chars": list(map(len, texts)),
-        "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-        "fingerprint": names[0], "edited_fingerprint": names[1], "near_edited": to_new["likeness"].tolist(),
-        "near_next": to_next["likeness"].tolist(), "only_old": to_new["only_left"].tolist(),
-        "only_new": to_new["only_right"].tolist(), "cells": to_new["cells"].tolist(),
+        "doc_id": ids, "n_chars": list(map(len, texts)), "edited_hash": [hashlib.sha256(t.encode()).digest() for t in changed],
+        "n_old": own.counts()[:n].tolist(), "sketch": old_cells.bytes(), "n_new": new.counts().tolist(),
+        "edited_sketch": new_cells.bytes(), "near_edited": to_new["likeness"].tolist(), "near_next": to_next["likeness"].tolist(),
+        "only_old": to_new["only_left"].tolist(), "only_new": to_new["only_right"].tolist(), "cells": to_new["cells"].tolist(),
     }
 
 
@@ -257,13 +281,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             else:
                 ids, texts = [held[0], *ids], [held[1], *texts]
             held = (ids[-1], texts[-1])
-            yield _table(_described(ids[:-1], texts[:-1], texts[1:], pattern))
+            if len(ids) > 1:
+                yield _table(_described(ids[:-1], texts[:-1], texts[-1], pattern))
         if held is not None:
             yield _row(part, doc_id=held[0], tail=held[1])
         release()
 
     names = [*columns, "part", "head", "tail"]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
     arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
     def _table(found: dict[str, list]) -> pa.RecordBatch:
@@ -289,8 +314,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, following = (batch.column(c).to_pylist() for c in ("doc_id", "tail", "following"))
-            yield _table(_described(ids, texts, following, pattern)).select(columns)
+            for doc_id, text, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tail", "following"))):
+                yield _table(_described([doc_id], [text], following, pattern)).select(columns)
 
     last = pairs.select("doc_id", "tail", "following").mapInArrow(finish, FOUND)
-    return found.where("part is null").select(*columns).unionByName(last)
+    told = lambda n, cells: F.concat(F.lower(F.hex(n)), F.lit("."), F.base64(cells))
+    return found.where("part is null").select(*columns).unionByName(last).select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_hash")).alias("edited_sha256"), told("n_old", "sketch").alias("fingerprint"),
+        told("n_new", "edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next", "only_old", "only_new", "cells",
+    )

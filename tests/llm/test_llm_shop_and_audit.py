@@ -104,8 +104,8 @@ def test_peeling_recovers_every_difference(texts, cells):
 def test_fingerprints_tell_their_differences():
     texts = [" ".join(f"w{k}." for k in range(400)), " ".join(f"w{k}." for k in range(5, 400)) + " new. new.", "", "other. text."]
     digests = fingerprints.Digests(texts, fingerprints.paragraph_pattern())
-    sketches = fingerprints.Sketches.of(digests, np.arange(4), fingerprints.CELLS)
-    told = [sketches.text(i, int(n)) for i, n in enumerate(digests.counts())]
+    sketches = fingerprints.Sketches.of(digests, np.arange(4), 96)
+    told = [fingerprints.as_text(int(n), cells) for n, cells in zip(digests.counts(), sketches.bytes())]
     values = [set(digests.values[a:b].tolist()) for a, b in zip(digests.bounds, digests.bounds[1:])]
     only = fingerprints.difference(told[0], told[1])
     assert only == (sorted(values[0] - values[1]), sorted(values[1] - values[0])) and [*map(len, only)] == [5, 2]
@@ -140,6 +140,9 @@ def test_fingerprints_of_odd_documents(spark, odd_documents):
     check_fingerprints(rows, found)
     one = [r for r in found if r.doc_id == 0]
     assert len(one) == 2 and one[0].fingerprint == one[1].fingerprint
+    digests = fingerprints.Digests([rows[1][1]], fingerprints.paragraph_pattern())
+    sketch = fingerprints.Sketches.of(digests, np.arange(1), fingerprints.CELLS)
+    assert one[0].fingerprint == fingerprints.as_text(int(digests.counts()[0]), sketch.bytes()[0])
     assert fingerprints.fingerprint_documents(odd_documents.limit(0)).count() == 0
     check_fingerprints([(4, "only one. text")], fingerprints.fingerprint_documents(spark.createDataFrame([(4, "only one. text")], "doc_id long, text string")).collect())
 
