@@ -318,7 +318,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 yield _table(_described([doc_id], [text], following, pattern)).select(columns)
 
     last = pairs.select("doc_id", "tail", "following").mapInArrow(finish, FOUND)
-    told = lambda n, cells: F.concat(F.lower(F.hex(n)), F.lit("."), F.base64(cells))
+    told = lambda n, cells: F.concat(F.lower(F.hex(n)), F.lit("."), F.translate(F.base64(cells), "\r\n", ""))
     return found.where("part is null").select(*columns).unionByName(last).select(
         "doc_id", "n_chars", F.lower(F.hex("edited_hash")).alias("edited_sha256"), told("n_old", "sketch").alias("fingerprint"),
         told("n_new", "edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next", "only_old", "only_new", "cells",
