@@ -26,11 +26,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` evaluated once for several uses: in the shared folder of checkpoints, or on disk where none is named."""
+    """``df`` evaluated once for several uses, in the shared folder of checkpoints; it goes when ``df`` is no longer
+    used, if the session cleans checkpoints. Only where executors are threads of this process, and no folder is named,
+    it is kept on their disk. A cluster without a shared folder is refused, as it could not outlive a lost executor.
+    """
     sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if named:
+            sc.setCheckpointDir(named)
+        elif sc.master.startswith("local"):
+            return df.persist(StorageLevel.DISK_ONLY)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return df.checkpoint()

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace import oracles
+from millrace import index_queries, oracles, registry  # noqa: F401  the first registers queries of its own
 from millrace.config import ChunkingConfig
 from millrace.functions import text as T
 from millrace.functions import urls as U
@@ -17,19 +15,7 @@ from millrace.operators import coverage, crawl, html, quality, search, sections
 from millrace.operators.chunking import chunk_documents
 from millrace.operators.windows import word_windows
 from millrace.plans import computed, kept, spread
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from millrace.registry import QUERIES, query, table  # noqa: F401  the first is read by others
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -510,4 +496,4 @@ def events_session(spark, sf_dir):
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("events"))
 
 
-ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | registry.ORACLE_SQL
