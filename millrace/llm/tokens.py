@@ -41,9 +41,9 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         # a letter that the normaliser parts into letter and mark leaves a mark before the sign, which then joins it
-        if self.letters_are_pieces and word[-1:] in (".", ",") and word[-2:-1].isalpha() and _as_it_is(word):
+        if self.letters_are_pieces and word[-1:] in (".", ",") and word[-2:-1].isalpha() and _lowered(word) is not None:
             ids = self[word[:-1]] + self[word[-1]]
-        elif self.letters_are_pieces and word.isalpha() and word == word.lower() and _as_it_is(word):
+        elif self.letters_are_pieces and word.isalpha() and _lowered(word) == word:
             bytes_ = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             found = [t.id for t in self.tokenizer.model.tokenize(bytes_)]
             ids = struct.pack(f"<{len(found)}I", *found)
@@ -54,15 +54,15 @@ class _Words(dict):
         return ids
 
 
-def _as_it_is(text: str) -> bool:
-    """Whether normal form C keeps the text, also when it is lower-cased (small letters have composed forms that capital
-    ones lack), and lower-casing does the same to it letter by letter and as a whole."""
+def _lowered(text: str) -> str | None:
+    """The text in small letters, if normal form C keeps it before and after (small letters have composed forms that
+    capital ones lack), and lower-casing does the same to it letter by letter and as a whole; else nothing."""
     if text.isascii():
-        return True
+        return text.lower()
     if "Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text):
-        return False
+        return None
     low = text.lower()
-    return low == text or unicodedata.is_normalized("NFC", low)
+    return low if low == text or unicodedata.is_normalized("NFC", low) else None
 
 
 class TextEncoder:
@@ -101,8 +101,9 @@ class TextEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        if "<|" not in text and _as_it_is(text):
-            text = text.lower()  # fewer different words; not where it could differ from lower-casing each character
+        if "<|" not in text:  # fewer different words; not where it could differ from lower-casing each character
+            low = _lowered(text)
+            text = text if low is None else low
         if any(c in text for c in CONTROLS):
             runs = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         else:
