@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import keyword, metrics, search
+from millrace.operators import keyword, metrics, search, vector_lists
 from millrace.registry import query_as, table
 
 # --- keywords, and rankings put together ---
@@ -81,3 +81,54 @@ def ranking_metrics(spark, sf_dir):
     relevance = items.join(docs, "source").select("item_id", "doc_id", grade.alias("grade"))
     found = metrics.query_metrics(_keyword(spark, sf_dir), relevance, "item_id", "doc_id", 10)
     return found.select("item_id", *[F.round(c, 9).alias(c) for c in metrics.MEASURES])
+
+
+# --- vectors in lists ---
+
+LISTS = vector_lists.ListParams(lists=16)
+FILTERS = {"few": "label = 3", "some": "label < 3", "most": "label <> 0", "every": "true"}
+
+
+def _lists(spark, sf_dir):
+    return vector_lists.write_lists(table(spark, sf_dir, "embeddings"), "vec_id", ("label",), LISTS)
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query_as("""SELECT count(*) AS queries, true AS recall_is_enough, true AS all_lists_are_exact FROM embeddings WHERE vec_id % 50 = 0""")
+def list_recall(spark, sf_dir):
+    """Whether as many lists as the index's own vectors call for give at least 0.95 of the exact neighbours of the ids
+    divisible by 50, and all lists all."""
+    index, asked = _lists(spark, sf_dir), _asked(spark, sf_dir)
+    exact = search.nearest(asked, table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "query_id", "vec_id", 10)
+    probes = (vector_lists.probes_for(index, 10), LISTS.lists)
+    some, every = (vector_lists.search_lists(asked, "query_id", index, 10, n) for n in probes)
+    told = [vector_lists.recall(x, exact, "query_id", "vec_id").withColumnRenamed("recall", n) for x, n in ((some, "some"), (every, "every"))]
+    count = asked.agg(F.count("*").alias("queries"))
+    return count.crossJoin(told[0]).crossJoin(told[1]).select(  # one row each
+        "queries", (F.col("some") >= 0.95).alias("recall_is_enough"), (F.col("every") == 1).alias("all_lists_are_exact")
+    )
+
+
+_FILTERED = " UNION ALL ".join(
+    f"""SELECT '{name}' AS selectivity, query_id, vec_id, round(score, 6) AS score, rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score,
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) DESC, e.vec_id) AS INTEGER) AS rank
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND ({rule.replace('label', 'e.label')})) WHERE rank <= 5"""
+    for name, rule in FILTERS.items()
+)
+
+
+@query_as(_FILTERED)
+def filtered_topk(spark, sf_dir):
+    """The best vectors among those that pass filters of four selectivities, which reach the scan of the lists."""
+    index, asked = _lists(spark, sf_dir), _asked(spark, sf_dir)
+    parts = [
+        vector_lists.search_lists(asked, "query_id", index, 5, LISTS.lists if rule == "true" else 1, F.expr(rule)).select(
+            F.lit(name).alias("selectivity"), "query_id", "vec_id", F.round("score", 6).alias("score"), "rank"
+        )
+        for name, rule in FILTERS.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -87,30 +87,40 @@ def manifest(index: DataFrame, source_file: str, embedding_model: str, index_fil
 QUERY_ROWS, VECTOR_ROWS = 1024, 4096
 
 
-def _blocks(rows: DataFrame, id_col: str, names: tuple[str, str, str], size: int) -> DataFrame:
-    """A row for each block of at most about ``size`` rows of one dimension: ids and components, one after the other."""
-    n_blocks = F.lit(max(1, -(-rows.count() // size)))
+def _blocks(rows: DataFrame, id_col: str, names: tuple[str, str, str], size: int, within: list[str]) -> DataFrame:
+    """A row for each block of at most about ``size`` rows of one dimension, and of one value of ``within``: ids and
+    components, one after the other."""
+    keys = [F.col(c) for c in within]
     dealt = rows.select(
-        F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias(names[2])
+        *keys, F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias(names[2])
     ).where(F.col(names[2]) > 0)
+    if within:
+        counts = rows.groupBy(*within).agg(F.ceil(F.count("*") / size).alias("n_blocks"))
+        dealt = dealt.join(counts, within)
+    else:
+        dealt = dealt.withColumn("n_blocks", F.lit(max(1, -(-rows.count() // size))))
     one = F.collect_list(F.struct("id", "v"))
-    grouped = dealt.groupBy(names[2], F.pmod(F.xxhash64("id"), n_blocks).alias("block")).agg(F.array_sort(one).alias("rows"))
+    grouped = dealt.groupBy(*within, names[2], F.pmod(F.xxhash64("id"), "n_blocks").alias("block")).agg(F.array_sort(one).alias("rows"))
     return grouped.select(
-        names[2], F.transform("rows", lambda r: r["id"]).alias(names[0]),
+        *within, names[2], F.transform("rows", lambda r: r["id"]).alias(names[0]),
         F.flatten(F.transform("rows", lambda r: r["v"])).alias(names[1]),
     )
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, k: int, same: bool = True) -> DataFrame:
+def nearest(
+    queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, k: int, same: bool = True, within: str | None = None
+) -> DataFrame:
     """(query id, vector id, score, rank) of the ``k`` vectors of the greatest inner product with each query.
 
     ``queries`` is a stated set, compared with all vectors in blocks: a pair of blocks is a matrix product, of which
     the best ``k`` of each query leave, so what is shuffled are ``k`` rows for a query and block, and no scores of all
-    pairs. Equal scores are ordered by the smaller vector id. ``same`` is false where a query is not to find its own id.
+    pairs. Equal scores are ordered by the smaller vector id; a product that is no number is none. ``same`` is false where a query is not to find its own id.
+    ``within`` names a column of both sides whose values must be equal; a query may have rows with several.
     """
     ship_package(vectors.sparkSession)
-    q = _blocks(queries, query_id, ("qs", "qv", "qd"), QUERY_ROWS)
-    v = _blocks(vectors, vector_id, ("vs", "vv", "vd"), VECTOR_ROWS)
+    keys = [within] if within else []
+    q = _blocks(queries, query_id, ("qs", "qv", "qd"), QUERY_ROWS, keys)
+    v = _blocks(vectors, vector_id, ("vs", "vv", "vd"), VECTOR_ROWS, keys)
     kinds = (dict(queries.dtypes)[query_id], dict(vectors.dtypes)[vector_id])
 
     def best_of(scores: np.ndarray) -> np.ndarray:
@@ -129,6 +139,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: st
                 out.append([])
                 continue
             scores = np.round(left @ right.T, 12)  # so that equal vectors have equal scores in every block
+            scores[~np.isfinite(scores)] = -np.inf  # vectors with null or infinite components are near to none
             place = {name: i for i, name in enumerate(b)} if not same else {}
             rows = []
             for i, name in enumerate(a):
@@ -142,7 +153,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: st
         return pd.Series(out, dtype=object)
 
     # every block of queries meets every block of vectors, which is what a stated query set against all rows is
-    pairs = v.crossJoin(q).select(F.explode(compare("qs", "qv", "vs", "vv")).alias("r"))
+    met = v.join(q, within) if within else v.crossJoin(q)
+    pairs = met.select(F.explode(compare("qs", "qv", "vs", "vv")).alias("r"))
     found = pairs.select(F.col("r.q").alias(query_id), F.col("r.v").alias(vector_id), "r.score")
     return top_k(found, query_id, vector_id, k)
 

@@ -42,9 +42,9 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None, **options: object) -> DataFrame:
         """Write ``df`` in place of what ``name`` had, and return the written table."""
-        df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(self.path(name))
+        df.write.mode("overwrite").options(**options).partitionBy(*(partition_by or [])).parquet(self.path(name))
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame | None = None) -> DataFrame:
