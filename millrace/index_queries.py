@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace import oracles
+from millrace.functions import text as T
 from millrace.operators import keyword, metrics, search, vector_lists
+from millrace.plans.reindex import DocumentIndex, classify
+from millrace.plans.tables import Tables
 from millrace.registry import query_as, table
 
 # --- keywords, and rankings put together ---
@@ -132,3 +136,35 @@ def filtered_topk(spark, sf_dir):
         for name, rule in FILTERS.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+# --- versions of documents ---
+
+#: The documents as they were before, by a stated rule: some were not there, some said something else, some went since.
+_WAS_THERE, _SAID_ELSE = "doc_id % 7 <> 3", "doc_id % 5 = 1"
+
+
+def _documents(spark, sf_dir):
+    url = F.concat(F.lit("https://"), "source", F.lit("/"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", url.alias("url"), F.col("source").alias("title"), "text")
+    gone = docs.where("doc_id % 9 = 2").select((-F.col("doc_id") - 1).alias("doc_id"), "url", "title", "text")
+    text = F.when(F.expr(_SAID_ELSE), F.concat(F.lit("Before. "), "text")).otherwise(F.col("text"))
+    return docs.where(_WAS_THERE).withColumn("text", text).unionByName(gone), docs
+
+
+@query_as(f"""SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'new' WHEN doc_id % 5 = 1 THEN 'changed' ELSE 'same' END AS change FROM documents
+UNION ALL SELECT -doc_id - 1, 'gone' FROM documents WHERE doc_id % 9 = 2""")
+def document_changes(spark, sf_dir):
+    """How each document differs from what it was, by its hash."""
+    hashed = (d.select("doc_id", T.content_hash(F.col("text")).alias("content_hash")) for d in _documents(spark, sf_dir))
+    return classify(*hashed, "doc_id")
+
+
+@query_as(f"""WITH RECURSIVE {oracles.CHUNKS} SELECT doc_id, chunk_id, chunk_index, text, content_hash,
+  count(*) OVER (PARTITION BY content_hash) > 1 AS is_duplicate FROM full_chunks""")
+def incremental_chunks(spark, sf_dir):
+    """The chunks of all documents, of which only those new or changed since the version before were made again."""
+    index = DocumentIndex(spark, Tables(spark, "documents").root, "doc_id")
+    for version in _documents(spark, sf_dir):
+        index.update(version)
+    return index.chunks().select("doc_id", "chunk_id", "chunk_index", "text", "content_hash", "is_duplicate")
