@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words whose ids a worker remembers before it starts again; about 150 bytes each.
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -41,19 +41,22 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         # a letter that the normaliser parts into letter and mark leaves a mark before the sign, which then joins it
-        if self.letters_are_pieces and word[-1:] in (".", ",") and word[-2:-1].isalpha() and _lowered(word) is not None:
+        kept = self.letters_are_pieces and (word.isascii() or _lowered(word) is not None)
+        if kept and word[-1] in ".," and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
-        elif self.letters_are_pieces and word.isalpha() and _lowered(word) == word:
+        elif kept and word.isalpha() and word == word.lower():
             bytes_ = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.tokenizer.model.tokenize(bytes_)]
-            ids = struct.pack(f"<{len(found)}I", *found)
+            ids = _packed([t.id for t in self.tokenizer.model.tokenize(bytes_)])
         else:
-            found = self.tokenizer.encode(word, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
+            ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self[word] = ids
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _lowered(text: str) -> str | None:
     """The text in small letters, if normal form C keeps it before and after (small letters have composed forms that
     capital ones lack), and lower-casing does the same to it letter by letter and as a whole; else nothing."""
