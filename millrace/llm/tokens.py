@@ -42,7 +42,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         # a letter that the normaliser parts into letter and mark leaves a mark before the sign, which then joins it
         kept = self.letters_are_pieces and (word.isascii() or _lowered(word) is not None)
-        if kept and word[-1] in ".," and word[-2:-1].isalpha():
+        if kept and word[-1:] in (".", ",") and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         elif kept and word.isalpha() and word == word.lower():
             bytes_ = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
