@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.plans import computed
+from millrace.plans import computed, kept
 from millrace.session import ship_package
 
 #: Parts that the chunks of a source url are dealt into where they meet cases.
 PARTS = 32
+#: Bytes of urls and terms up to which cases are sent to all tasks.
+BROADCAST_BYTES = 4 << 20
 
 
 def evidence(folded_text: Column, folded_terms: Column) -> Column:
@@ -21,19 +23,24 @@ def evidence(folded_text: Column, folded_terms: Column) -> Column:
 def case_coverage(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, source_url_found, evidence_found, source_chunk_count, evidence_chunk_count) of each case.
 
-    Chunks meet cases by the source url, their text folded once. Rows are dealt by url and a part of the chunk's hash,
-    and cases go to all parts of their urls, so the chunks of a url that very many share are many tasks' work.
+    Chunks meet cases by the source url; only those of urls that a case names are folded, once. Where the cases' urls
+    and terms are few bytes, they go to the chunks, and no text is shuffled. Else rows are dealt by url and a part of
+    the chunk's hash, and cases go to all parts of their urls, so the chunks of a url that very many share are many
+    tasks' work.
     """
     ship_package(cases.sparkSession)
-    each = T.fold_terms(cases.select("id", "relevant_source_urls", "relevant_terms"), "id", "relevant_terms")
+    each = kept(T.fold_terms(cases.select("id", "relevant_source_urls", "relevant_terms"), "id", "relevant_terms"))
     wanted = each.select("id", F.explode(F.array_distinct("relevant_source_urls")).alias("source_url"), "relevant_terms")
-    wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    folded = chunks.select(
-        "source_url", T.fold(F.col("text")).alias("folded"), F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part")
-    )
-    met = computed(folded, folded=F.col("folded")).join(wanted, ["source_url", "part"]).select(
-        "id", evidence(F.col("folded"), F.col("relevant_terms")).alias("has_evidence")
-    )
+    told = F.length("source_url") + F.length(F.array_join("relevant_terms", " ")) + 64
+    few = (wanted.agg(F.sum(told).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES
+    named = wanted.select("source_url").distinct()
+    texts = chunks.select("source_url", "text").join(F.broadcast(named) if few else named, "source_url", "left_semi")
+    folded = computed(texts.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")), folded=T.fold(F.col("text")))
+    if few:
+        both = folded.join(F.broadcast(wanted), "source_url")
+    else:
+        both = folded.join(wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["source_url", "part"])
+    met = both.select("id", evidence(F.col("folded"), F.col("relevant_terms")).alias("has_evidence"))
     counts = met.groupBy("id").agg(F.count("*").alias("s"), F.count_if("has_evidence").alias("e"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return cases.select("id").join(counts, "id", "left").select(

@@ -153,7 +153,8 @@ def html_sections(html: Column) -> Column:
 
 
 def fetched_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, title, text, sections, links) of each page; sections are not cleaned, links are resolved."""
+    """(url, title, text, sections, links) of each page, after its other columns; sections are not cleaned, links are
+    resolved."""
     ship_package(pages.sparkSession)
 
     @F.pandas_udf(f"title string, text string, sections {SECTION_TYPE}, hrefs array<string>")
@@ -168,10 +169,11 @@ def fetched_documents(pages: DataFrame, url_col: str = "url", html_col: str = "h
             rows.append((page.title or "", page.text(), sections, page.links))
         return pd.DataFrame(rows, columns=["title", "text", "sections", "hrefs"])
 
-    found = pages.select(F.col(url_col).alias("url"), extract(F.col(html_col)).alias("d")).withColumn(
+    others = [c for c in pages.columns if c not in (url_col, html_col, "url", "title", "text", "sections", "links", "d")]
+    found = pages.select(*others, F.col(url_col).alias("url"), extract(F.col(html_col)).alias("d")).withColumn(
         "row", F.monotonically_increasing_id()
     )
-    return found.select("url", "d.title", "d.text", "d.sections", _resolve_all(F.col("url"), F.col("d.hrefs")).alias("links"))
+    return found.select(*others, "url", "d.title", "d.text", "d.sections", _resolve_all(F.col("url"), F.col("d.hrefs")).alias("links"))
 
 
 def _resolve_all(base: Column, hrefs: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from millrace.config import ChunkingConfig
 from millrace.functions import text as T
 from millrace.operators.chunking import token_count
-from millrace.plans import kept
+from millrace.plans import kept, numbered
 from millrace.session import ship_package
 
 REQUIRED = ("chunk_id", "source_url", "title", "chunk_index", "text")
@@ -33,14 +33,17 @@ def chunk_issues(chunks: DataFrame, config: ChunkingConfig = ChunkingConfig(), p
     """``chunks`` with ``issue_id`` and ``issues``, the sorted names of what is wrong, and ``short_faq``.
 
     Counts and hashes that are missing or null are computed. All rows of a repeated text are flagged. A short answer
-    to a question heading is kept. A chunk without an id is named by its position: that of ``position_col``, or else
-    a number of its row in the table, which is different for each.
+    to a question heading is kept. A chunk without an id is named by its position from 0: that of ``position_col``, or
+    else its place in the order of the table's files, which is looked up only if there is such a chunk.
     """
     ship_package(chunks.sparkSession)
     have = set(chunks.columns)
     col = lambda name, kind: F.col(name) if name in have else F.lit(None).cast(kind)
     text = F.coalesce(col("text", "string"), F.lit(""))
-    position = F.monotonically_increasing_id() if position_col is None else F.col(position_col)
+    nameless = F.coalesce(col("chunk_id", "string"), F.lit("")) == ""
+    if position_col is None and not chunks.where(nameless).isEmpty():
+        chunks, position_col = numbered(kept(chunks), "__place"), "__place"
+    position = F.lit(None) if position_col is None else F.col(position_col)
     full = chunks.withColumn("__position", position.cast("string"))
     for name, kind in (("chunk_id", "string"), ("source_url", "string"), ("title", "string"), ("chunk_index", "int")):
         full = full.withColumn(name, col(name, kind))
@@ -67,7 +70,7 @@ def chunk_issues(chunks: DataFrame, config: ChunkingConfig = ChunkingConfig(), p
     )
     named_by = F.coalesce(F.nullif("chunk_id", F.lit("")), F.concat(F.lit("position-"), "__position"))
     return full.select(
-        *[c for c in full.columns if c != "__position"], named_by.alias("issue_id"),
+        *[c for c in full.columns if c not in ("__position", "__place")], named_by.alias("issue_id"),
         named.alias("issues"), (short & F.col("is_faq")).alias("short_faq"),
     )
 
@@ -107,23 +110,21 @@ def ready_chunks(chunks: DataFrame, issues: DataFrame) -> DataFrame:
 def inspection_sample(chunks: DataFrame, order: list[str], size: int = 25) -> DataFrame:
     """At most ``size`` rows at even steps of the order, from the first on.
 
-    Positions come from counts of ranges of the order: the rows are range partitioned and numbered within their
-    range, and the counts of the ranges before are added, so no task holds the whole table.
+    Only the columns of the order are sorted and numbered; the rows at the places that are picked are joined to them
+    last. Of rows that the order does not tell apart any may stand at a place, each at one.
     """
-    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("__id", F.monotonically_increasing_id())
-    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = chunks.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     # written once: a range shuffle that is planned twice may cut its ranges differently
-    placed = kept(numbered.withColumn("__part", part).withColumn("__place", place))
-    parts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = parts.withColumn(  # a row for each partition
-        "__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = numbered(kept(ranged), "sample_position")
+    total = placed.agg(F.count("*").alias("n")).first()["n"]
+    step = max(1, total // max(1, min(size, total)))
+    at = F.col("sample_position")
+    picked = placed.where((at % step == 0) & (at < step * size))
+    keys = [f"__{c}" for c in order]
+    places = picked.groupBy(*[F.col(c).alias(k) for c, k in zip(order, keys)]).agg(F.array_sort(F.collect_list(at)).alias("__places"))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(order, keys)]
+    met = chunks.join(F.broadcast(places), same)  # at most ``size`` rows
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[c for c in chunks.columns])))
+    return met.withColumn("__nth", nth).where(F.col("__nth") <= F.size("__places")).select(
+        F.element_at("__places", F.col("__nth")).alias("sample_position"), *chunks.columns
     )
-    total = parts.agg(F.sum("__n").alias("__total"))
-    at = placed.join(F.broadcast(before), "__part").crossJoin(F.broadcast(total))
-    position = F.col("__before") + F.col("__place")
-    step = F.greatest(F.lit(1), F.floor(F.col("__total") / F.least(F.lit(size), F.col("__total"))))
-    picked = at.withColumn("sample_position", position.cast("long")).where(
-        (F.col("sample_position") % step == 0) & (F.col("sample_position") / step < size)
-    )
-    return picked.select("sample_position", *chunks.columns)

@@ -46,6 +46,12 @@ raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generat
 trimmed AS (SELECT doc_id, pos, trim({_SQUEEZE}, ' |-') AS line FROM raw_lines),
 clean_lines AS (SELECT doc_id, min(pos) AS pos, line FROM trimmed WHERE line <> '' GROUP BY doc_id, line)
 """
+#: The same of documents that have one line of page chrome after each of theirs, by id: chrome_lines(doc_id, pos, line).
+CHROME = f"""{CLEAN},
+left_over AS (SELECT doc_id, list_extract([{", ".join(q(x) for _, x in BOILERPLATE)}], CAST(1 + doc_id % {len(BOILERPLATE)} AS INTEGER)) AS line FROM documents),
+with_chrome AS (SELECT doc_id, 2 * pos AS pos, line FROM trimmed UNION ALL SELECT doc_id, 2 * min(pos) + 1, line FROM raw_lines JOIN left_over USING (doc_id) GROUP BY ALL),
+chrome_lines AS (SELECT doc_id, min(pos) AS pos, line FROM with_chrome WHERE line <> '' GROUP BY doc_id, line)
+"""
 _SENTINEL = r"string_split(regexp_replace(line, '([.!?]+)(\s|$)', '\1' || chr(1) || '\2', 'g'), chr(1))"
 #: Units of cleaned documents: units(doc_id, line_no, unit_no, unit).
 UNITS_OF_LINES = rf"""
@@ -209,7 +215,8 @@ ORACLE_SQL: dict[str, str] = {
     "doc_content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "page_file_id": "SELECT page_id, substr(md5(url), 1, 12) AS file_id FROM pages",
     "doc_sentences": f"WITH {UNITS} SELECT doc_id, line_no, unit_no, unit FROM units",
-    "boilerplate_rules": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(x)})" for i, (_, x) in enumerate(BOILERPLATE)) + ") AS t(id, clean)",
+    "boilerplate_rules": f"WITH {CHROME} SELECT d.doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos), '') AS clean_text "
+    "FROM documents AS d LEFT JOIN chrome_lines USING (doc_id) GROUP BY d.doc_id",
     "heading_predicate": f"WITH l AS (SELECT * REPLACE (trim(line) AS line) FROM ({_LINES})) SELECT conv_id, turn, role, line_no, {_HEADING} AS is_heading FROM l",
     "faq_predicate": rf"WITH l AS ({_LINES}) SELECT conv_id, turn, role, line_no, regexp_matches(line, '\?\s*$') AND NOT regexp_matches(line, '(?i)whatsapp|https?://') AS is_faq FROM l",
     "clean_conversations": "WITH c AS (SELECT row_number() OVER () AS r, * FROM conversations), "

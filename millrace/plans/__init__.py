@@ -19,6 +19,23 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with each row's position from 0, in the order of its partitions.
+
+    Rows are numbered within their partition, and the counts of the partitions before, a row for each, are added; so no
+    task holds the table. ``df`` is what gives the same partitions each time: files, or a table that is kept.
+    """
+    at = F.monotonically_increasing_id()
+    placed = df.withColumns({"__part": F.shiftright(at, 33).cast("int"), "__in": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = placed.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # a row for each partition
+    before, rows = 0, []
+    for r in counts:
+        rows.append((r["__part"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(rows, "__part int, __before long")
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__in")).select(*df.columns, name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files give fewer partitions than that; larger inputs are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -19,27 +19,31 @@ from millrace.sources import writers as W
 log = logging.getLogger("millrace")
 
 
-def fetch_category(spark: SparkSession, url: str, fetcher: R.Fetcher, prefix: str = "/central/", word: str = "agriculture") -> DataFrame:
-    """Documents of the links that a category page lists."""
-    start = spark.createDataFrame([(url,)], "url string")
-    links = category_links(R.fetch_pages(start, fetcher), prefix, word)
-    return fetched_documents(R.fetch_pages(links.select(F.col("link").alias("url")), fetcher))
+def fetch_categories(starts: DataFrame, fetcher: R.Fetcher, prefix: str = "/central/", word: str = "agriculture") -> DataFrame:
+    """Documents, by ``source``, of the links that the category page of each of ``starts(source, url)`` lists."""
+    pages = kept(R.fetch_pages(starts.select("source", "url").repartition("source"), fetcher))
+    links = category_links(pages, prefix, word).join(pages.select("source", "url"), "url").select("source", F.col("link").alias("url"))
+    return fetched_documents(R.fetch_pages(links.distinct().repartition("source"), fetcher))
 
 
-def fetch_site(spark: SparkSession, url: str, fetcher: R.Fetcher, max_pages: int = crawl.MAX_PAGES) -> DataFrame:
-    """Documents of at most ``max_pages`` pages of a site, from ``url`` on, breadth first. Each page is fetched once."""
+def fetch_sites(starts: DataFrame, fetcher: R.Fetcher, max_pages: int = crawl.MAX_PAGES) -> DataFrame:
+    """Documents, by ``source``, of at most ``max_pages`` pages of the site of each of ``starts(source, url)``, breadth first.
+
+    All sites are crawled at once, the pages of a site that a round asks for by one task, one after the other. No page
+    is asked for beyond those that are needed, and none twice.
+    """
     documents: list[DataFrame] = []
 
-    def expand(frontier: DataFrame) -> DataFrame:
-        documents.append(kept(fetched_documents(R.fetch_pages(frontier, fetcher))))
-        return frontier.join(documents[-1].select("url").distinct(), "url", "left_semi")
+    def fetch(asked: DataFrame) -> DataFrame:
+        documents.append(kept(fetched_documents(R.fetch_pages(asked.repartition("source"), fetcher))))
+        return documents[-1]
+
+    visited = crawl.crawl_sources(starts, fetch, max_pages)
+    every = reduce(DataFrame.unionByName, documents, starts.sparkSession.createDataFrame([], f"source string, {FETCHED}"))
+    return every.join(visited, ["source", "url"])
 
-    def edges_of(pages: DataFrame) -> DataFrame:
-        return crawl.link_edges(documents[-1].join(pages.select("url"), "url", "left_semi"))
 
-    visited = crawl.crawl(url, expand, edges_of, spark, max_pages)
-    every = reduce(DataFrame.unionByName, documents, spark.createDataFrame([], S.FETCHED))
-    return every.join(visited, "url").orderBy("rank").drop("rank")
+FETCHED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.FETCHED.fields)
 
 
 def fetch_sources(
@@ -47,22 +51,20 @@ def fetch_sources(
 ) -> dict[str, dict[str, int]]:
     """Fetch every source of a registry; documents, and the PDF that category pages link, go under ``folder``.
 
-    A registry is a configuration file, so its sources are taken one after the other. A source that fails is logged
-    and passed over.
+    All sites are one crawl, and all category pages another job. A source whose pages cannot be fetched has none.
     """
-    counts: dict[str, dict[str, int]] = {}
-    parts: list[DataFrame] = []
-    for row in R.dispatch(registry, category_urls).collect():
-        category = row["strategy"] == "category"
-        got = kept(fetch_category(spark, row["url"], fetcher) if category else fetch_site(spark, row["url"], fetcher))
-        parts.append(got)
-        counts[row["name"]] = {"documents": got.count(), "pdfs": 0}
-        if category:
-            links = got.select(F.explode("links").alias("url")).where(F.lower(urls.path(F.col("url"))).endswith(".pdf")).distinct()
-            pdfs = kept(R.download_pdfs(links, fetcher))
-            W.write_pdfs(pdfs, f"{folder}/pdfs")
-            counts[row["name"]]["pdfs"] = pdfs.count()
-        log.info("%s | %s | %s", row["strategy"], row["url"], counts[row["name"]])
-    if parts:
-        W.write_fetched(reduce(DataFrame.unionByName, parts), f"{folder}/documents")
+    sources = kept(R.dispatch(registry, category_urls).withColumnRenamed("name", "source"))
+    category = kept(fetch_categories(sources.where("strategy = 'category'"), fetcher))
+    sites = kept(fetch_sites(sources.where("strategy = 'site'"), fetcher))
+    links = category.select("source", F.explode("links").alias("url")).where(F.lower(urls.path(F.col("url"))).endswith(".pdf")).distinct()
+    pdfs = kept(R.download_pdfs(links.select("url").distinct(), fetcher))
+    W.write_pdfs(pdfs, f"{folder}/pdfs")
+    of_source = lambda df: df.groupBy("source").agg(F.count("*").alias("n"))
+    found = of_source(category.select("source").unionByName(sites.select("source"))).withColumnRenamed("n", "documents")
+    files = of_source(links.join(pdfs.select("url"), "url")).withColumnRenamed("n", "pdfs")
+    told = sources.join(found, "source", "left").join(files, "source", "left").fillna(0, ["documents", "pdfs"])
+    counts = {r["source"]: {"documents": r["documents"], "pdfs": r["pdfs"]} for r in told.collect()}  # a registry's sources
+    for name, found_ in counts.items():
+        log.info("%s | %s", name, found_)
+    W.write_fetched(category.unionByName(sites.drop("rank")).drop("source"), f"{folder}/documents")
     return counts

@@ -9,6 +9,7 @@ from millrace.config import ChunkingConfig
 from millrace.operators import quality as Q
 from millrace.operators.chunking import chunk_documents
 from millrace.operators.search import Encoder, embed_chunks, manifest
+from millrace.plans import kept
 from millrace.sources import readers as R
 from millrace.sources import writers as W
 
@@ -26,7 +27,9 @@ def process_documents(
     chunk_documents(docs, config, keys=("ord",)).write.mode("overwrite").parquet(chunks_path)
     chunks = spark.read.parquet(chunks_path)
     order = ["ord", "chunk_index"]
-    issues = Q.chunk_issues(chunks, config)  # chunks of this plan have ids, so none is named by its position
+    # judged once for its several uses, without the texts: whether one is empty is all that the checks need of it
+    narrow = chunks.withColumn("text", F.substring("text", 1, 1)).drop("section", "section_index", "page_number", "ord")
+    issues = kept(Q.chunk_issues(narrow, config))
     ready = Q.ready_chunks(chunks, issues)
     sample = Q.inspection_sample(chunks, order)
     for df, name in ((chunks, R.CHUNKS), (ready, R.READY)):

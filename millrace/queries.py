@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace import index_queries, oracles, registry  # noqa: F401  the first registers queries of its own
-from millrace.config import ChunkingConfig
+from millrace.config import ChunkingConfig, TokenizerFile
 from millrace.functions import text as T
 from millrace.functions import urls as U
 from millrace.functions import vectors as V
 from millrace.operators import coverage, crawl, html, quality, search, sections
-from millrace.operators.chunking import chunk_documents
+from millrace.operators.chunking import chunk_documents, token_count
 from millrace.operators.windows import word_windows
 from millrace.plans import computed, kept, spread
 from millrace.registry import QUERIES, query, table  # noqa: F401  the first is read by others
@@ -68,8 +68,20 @@ def doc_sentences(spark, sf_dir):
 
 @query
 def boilerplate_rules(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(oracles.BOILERPLATE_LINES)), "id int, line string")
-    return rows.select("id", T.clean_text(F.col("line")).alias("clean"))
+    """All documents with a line of page chrome after each of their lines, by id, and what cleaning leaves of them."""
+    chrome = F.element_at(F.array(*[F.lit(x) for x in oracles.BOILERPLATE_LINES]), (F.col("doc_id") % len(oracles.BOILERPLATE_LINES) + 1).cast("int"))
+    docs = documents(spark, sf_dir).withColumn("chrome", chrome)
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit("\n"), F.col("chrome"))), "\n")
+    return docs.select("doc_id", T.clean_text(text).alias("clean_text"))
+
+
+@query
+def doc_token_count(spark, sf_dir):
+    """Tokens of all documents by a tokenizer's file, with its special ones."""
+    import public_tokenizers
+
+    tokens = TokenizerFile(public_tokenizers.path("word_bpe_49k.json"))
+    return documents(spark, sf_dir).select("doc_id", token_count(F.col("text"), tokens).cast("long").alias("n_tokens"))
 
 
 def _conversation_lines(spark, sf_dir):

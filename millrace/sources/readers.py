@@ -50,23 +50,26 @@ def http_get(url: str) -> tuple[int, str | None, bytes]:
 
 
 def fetch_pages(frontier: DataFrame, fetcher: Fetcher) -> DataFrame:
-    """(url, html) of the urls whose response is a page; failures of any kind are left out."""
+    """(url, html) of the urls whose response is a page, after the other columns of ``frontier``; failures of any kind
+    are left out. Each row is one request."""
     ship_package(frontier.sparkSession)
+    others = [c for c in frontier.columns if c != "url"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for url in batch["url"]:
+            for row in batch[[*others, "url"]].itertuples(index=False, name=None):
                 try:
-                    got = fetcher(url)
+                    got = fetcher(row[-1])
                 except Exception:  # a page that cannot be fetched is skipped
                     got = None
                 if got and 200 <= got[0] < 300:
-                    rows.append((url, got[1], got[2].decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["url", "content_type", "html"])
+                    rows.append((*row, got[1], got[2].decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=[*others, "url", "content_type", "html"])
 
-    got = frontier.select("url").mapInPandas(run, "url string, content_type string, html string")
-    return got.where(urls.is_html_type(F.col("content_type"))).select("url", "html")
+    kinds = "".join(f"{c} {t}, " for c, t in frontier.dtypes if c != "url")
+    got = frontier.mapInPandas(run, f"{kinds}url string, content_type string, html string")
+    return got.where(urls.is_html_type(F.col("content_type"))).select(*others, "url", "html")
 
 
 def download_pdfs(links: DataFrame, fetcher: Fetcher) -> DataFrame:
@@ -150,13 +153,16 @@ def read_documents(spark: SparkSession, folder: str, pdf_reader: PdfReader | Non
     JSON lists are metadata of PDF files, found by file name, a later entry before an earlier one; JSON objects count
     if they have text, html or sections. Other suffixes and the evaluation file are passed over.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
-    files = files.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)).withColumn(
-        "suffix", F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
-    )
-    texts = files.withColumn("value", F.decode("content", "UTF-8"))
+
+    def files(suffix: str) -> DataFrame:
+        """(path, content, name) of the files with a suffix in any case; others are not even listed."""
+        any_case = "*." + "".join(f"[{c}{c.upper()}]" for c in suffix)
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case).load(folder)
+        return found.select("path", "content", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
+
     order = F.split("path", "/")  # paths are ordered by their parts
-    jsons = texts.where((F.col("suffix") == ".json") & (F.col("name") != EVALUATION))
+    value = F.decode("content", "UTF-8").alias("value")
+    jsons = files("json").where(F.col("name") != EVALUATION).select("path", "name", value)
     is_list = F.ltrim("value").startswith("[")
     listed = jsons.where(is_list).select(
         "path", F.posexplode(F.from_json("value", T.ArrayType(S.PDF_METADATA))).alias("pos", "m")
@@ -169,13 +175,13 @@ def read_documents(spark: SparkSession, folder: str, pdf_reader: PdfReader | Non
     given = documents.where(
         (F.coalesce("d.text", F.lit("")) != "") | (F.coalesce("d.html", F.lit("")) != "") | (F.size("d.sections") > 0)
     ).select(F.struct(F.lit(0).alias("kind"), order.alias("path")).alias("ord"), "d.*")
-    pages = texts.where("suffix = '.html'").select(
+    pages = files("html").select(
         F.struct(F.lit(1).alias("kind"), order.alias("path")).alias("ord"), "path",
-        F.regexp_replace("name", r"\.[^.]*$", "").alias("title"), F.col("value").alias("html"),
+        F.regexp_replace("name", r"\.[^.]*$", "").alias("title"), value.alias("html"),
     )
     out = given.unionByName(pages, allowMissingColumns=True)
     if pdf_reader is not None:
-        pdfs = files.where("suffix = '.pdf'")
+        pdfs = files("pdf")
         found = pdf_sections(pdfs, pdf_reader).join(pdfs.select("path", "name"), "path").join(meta, "name", "left")
         out = out.unionByName(
             found.select(

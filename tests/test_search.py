@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import coverage, crawl, search
+from millrace.plans.fetch import fetch_sites
 
 
 class Keyword:
@@ -72,3 +75,51 @@ def test_crawl_order_limits_and_failures(spark):
     everything = known.union(spark.createDataFrame([(u + "a",)], "url string"))
     assert [r.url for r in crawl.crawl_table(df, everything, u + "0", 4).orderBy("rank").collect()] == [u + "0", u + "b", u + "a", u + "c"]
     assert crawl.crawl_table(df, known, u + "{{x}}").count() == 0
+
+
+def queue_crawl(links, good, start, limit):
+    """Url by url, as a queue; (found, asked)."""
+    from collections import deque
+    from urllib.parse import urldefrag, urlparse
+
+    pending, seen, found, asked = deque([start]), set(), [], []
+    while pending and len(found) < limit:
+        url = urldefrag(pending.popleft())[0]
+        if url in seen or urlparse(url).netloc != urlparse(start).netloc or "{{" in url or urlparse(url).path.lower().endswith(".pdf"):
+            continue
+        seen.add(url)
+        asked.append(url)
+        if url in good:
+            found.append(url)
+            pending.extend(links.get(url, []))
+    return found, asked
+
+
+def test_crawls_ask_for_no_more_than_a_queue(spark, tmp_path):
+    """Many sources at once, with failures, fragments, loops and hubs of 300 links; every request is written down."""
+    rng = random.Random(5)
+    links, good, starts = {}, set(), []
+    for s in range(6):
+        pages = [f"https://h{s}.example/{k}{'.pdf' if k % 17 == 16 else ''}" for k in range(400)]
+        for page in pages:
+            links[page] = [rng.choice(pages) + ("#x" if rng.random() < 0.2 else "") for _ in range(rng.randrange(6))] + rng.sample(["https://o.example/", pages[0], "/{{t}}"], 1)
+        links[pages[0]] = pages[1:301] if s < 3 else pages[1:4]
+        good |= {p for p in pages if rng.random() < (0.9 if s % 2 else 0.4)} | {pages[0]}
+        starts.append((f"s{s}", pages[0] + "#top"))
+    starts += [("down", "https://nowhere.example/"), ("bad", "https://h0.example/{{x}}")]
+
+    def fetcher(url):
+        with open(f"{tmp_path}/asked", "a") as out:
+            out.write(url + "\n")
+        if url not in good:
+            raise OSError("down")
+        return 200, "text/html", "".join(f"<a href='{u}'>x</a>" for u in links[url]).encode()
+
+    frame = spark.createDataFrame(starts, "source string, url string")
+    got = fetch_sites(frame, fetcher, 25).select("source", "url", "rank").collect()
+    expected = {name: queue_crawl(links, good, url, 25) for name, url in starts}
+    for name, (found, _) in expected.items():
+        assert [r.url for r in sorted((r for r in got if r.source == name), key=lambda r: r.rank)] == found
+    asked = open(f"{tmp_path}/asked").read().split()
+    assert sorted(asked) == sorted(u for _, urls in expected.values() for u in urls)
+    assert len([u for u in asked if u.startswith("https://h1.")]) < 40  # a hub of 300 links
