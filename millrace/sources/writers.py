@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,24 +44,43 @@ def write_fetched(documents: DataFrame, path: str) -> None:
     last.select("d.*", "file_id").write.mode("overwrite").parquet(path)
 
 
+def _put(folder: str, name: str, body: bytes) -> None:
+    """A file under a folder that all executors reach. It has its name only when it is whole: an attempt writes a file of
+    its own and renames it, so a task that is lost leaves none by that name, and one that is repeated writes the same."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    store.create_dir(inner, recursive=True)
+    attempt = f"{inner}/_{name}.{uuid.uuid4().hex}"
+    try:
+        with store.open_output_stream(attempt) as out:
+            out.write(bytes(body))
+        store.move(attempt, f"{inner}/{name}")
+    except BaseException:
+        if store.get_file_info(attempt).type != fs.FileType.NotFound:
+            store.delete_file(attempt)
+        raise
+
+
 def write_pdfs(pdfs: DataFrame, folder: str) -> None:
     """``pdfs(file_id, body, ...)`` as files of that name under ``folder``, which all executors reach."""
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in rows:
             for name, body in zip(batch["file_id"], batch["body"]):
-                store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-                store.create_dir(inner, recursive=True)
-                with store.open_output_stream(f"{inner}/{name}.pdf") as out:
-                    out.write(bytes(body))
+                _put(folder, f"{name}.pdf", body)
             yield pd.DataFrame({"n": [len(batch)]})
 
     pdfs.select("file_id", "body").mapInPandas(run, "n long").agg(F.sum("n")).collect()  # one number
 
 
-def write_index(embedded: DataFrame, manifest: DataFrame, folder: str) -> None:
-    """Vectors and metadata in one Parquet table, ordered by position within files, and the manifest beside it."""
-    embedded.sortWithinPartitions("position").write.mode("overwrite").parquet(f"{folder}/chunks_index")
-    write_report(manifest, f"{folder}/manifest.json")
+def write_pdf_metadata(pdfs: DataFrame, folder: str) -> None:
+    """What is known of files, ``pdfs(url, title, pdf)``, as JSON lists beside them, one for each partition."""
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = [dict(zip(("url", "title", "pdf"), r)) for batch in rows for r in batch.itertuples(index=False, name=None)]
+        if told:
+            _put(folder, f"metadata-{TaskContext.get().partitionId():05d}.json", json.dumps(told, ensure_ascii=False, indent=2).encode())
+        yield pd.DataFrame({"n": [len(told)]})
+
+    pdfs.select("url", "title", "pdf").mapInPandas(run, "n long").agg(F.sum("n")).collect()  # one number

@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.config import ChunkingConfig, TokenizerFile, count_tokens
-from millrace.operators import quality, sections
+from millrace.operators import coverage, quality, sections
 from millrace.operators.chunking import chunk_documents, pack_units, pack_widths
 from millrace.operators.html import SECTION_TYPE, html_sections_py
 
@@ -143,3 +144,31 @@ def test_html_nesting():
     assert [(s["heading"], s["text"]) for s in got] == [("", "One Two H a b\nTwo"), ("H", "a b\nb")]
     assert html_sections_py("plain &amp; text")[0]["text"] == "plain & text"
     assert html_sections_py("<h1>only</h1>") == [{"heading": "", "text": "only", "page_number": None, "section_index": 0}]
+
+
+def test_sample_of_rows_that_tie(spark):
+    rows = spark.createDataFrame([(k // 3, k, "x" * k) for k in range(100)], "ord int, own int, text string").repartition(5)
+    got = quality.inspection_sample(rows, ["ord"], 10).orderBy("sample_position").collect()
+    assert [r.sample_position for r in got] == list(range(0, 100, 10)) and [r.ord for r in got] == [p // 3 for p in range(0, 100, 10)]
+    assert len({r.own for r in got}) == 10
+    same = quality.inspection_sample(rows.withColumn("ord", F.lit(None).cast("int")), ["ord"], 10).collect()
+    assert sorted(r.sample_position for r in same) == list(range(0, 100, 10)) and len({r.own for r in same}) == 10
+    assert quality.inspection_sample(rows.limit(0), ["ord"], 10).count() == 0
+    assert [r.sample_position for r in quality.inspection_sample(rows.where("own < 3"), ["own"], 10).orderBy("sample_position").collect()] == [0, 1, 2]
+
+
+def test_chunks_without_ids_are_named_by_their_place(spark, tmp_path):
+    rows = [(None if k % 3 == 0 else f"c{k}", "word " * 25 if k % 2 else "") for k in range(12)]
+    spark.createDataFrame(rows, "chunk_id string, text string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    named = quality.chunk_issues(spark.read.parquet(str(tmp_path / "c")))
+    assert sorted(r.issue_id for r in named.collect()) == sorted(c or f"position-{k}" for k, (c, _) in enumerate(rows))
+    assert "__place" not in named.columns
+
+
+def test_coverage_of_many_and_of_few_cases(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"u{k % 5}", f"Straße {k} of it") for k in range(60)], "source_url string, text string")
+    cases = spark.createDataFrame([(str(k), [f"u{k}", f"u{k + 1}", f"u{k}"], ["STRASSE", str(k)]) for k in range(7)], "id string, relevant_source_urls array<string>, relevant_terms array<string>")
+    few = sorted(map(tuple, coverage.case_coverage(cases, chunks).collect()))
+    monkeypatch.setattr(coverage, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, coverage.case_coverage(cases, chunks).collect())) == few
+    assert few[3][3] == 24 and few[6] == ("6", False, False, 0, 0)

@@ -86,6 +86,34 @@ def test_category_links(spark):
     assert sorted(r.link for r in category_links(df).collect()) == ["https://h.example/central/a", "https://h.example/central/b"]
 
 
+def test_files_are_whole_or_not_there(spark, tmp_path):
+    pdfs = spark.createDataFrame([("a", b"%PDF a", "https://a/1", "One é", "a.pdf"), ("b", b"%PDF b", "https://a/2", None, "b.pdf")], "file_id string, body binary, url string, title string, pdf string")
+    for _ in range(2):  # as a task that is repeated does
+        writers.write_pdfs(pdfs, str(tmp_path / "out"))
+        writers.write_pdf_metadata(pdfs.coalesce(1), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["a.pdf", "b.pdf", "metadata-00000.json"]
+    broken = pdfs.withColumn("body", F.when(F.col("file_id") == "a", F.col("body"))).withColumn("file_id", F.concat("file_id", F.lit("2")))
+    with pytest.raises(Exception):
+        writers.write_pdfs(broken.coalesce(1), str(tmp_path / "broken"))
+    assert [p.name for p in (tmp_path / "broken").iterdir()] == ["a2.pdf"]
+    docs = readers.read_documents(spark, str(tmp_path / "out"), pdf_reader=lambda b: [b.decode()]).collect()
+    assert sorted((d.url, d.title) for d in docs) == [("https://a/1", "One é"), ("https://a/2", "b")]
+
+
+def test_metadata_of_an_index(spark, tmp_path):
+    chunks = spark.createDataFrame([("c1", "u", "t", "s", 0, None, 0, "text"), ("c2", "u", "t", "s", 1, 2, 1, "more")], "chunk_id string, source_url string, title string, section string, section_index int, page_number int, chunk_index int, text string")
+    writers.write_jsonl(chunks.withColumn("position", F.monotonically_increasing_id()).coalesce(1), str(tmp_path / "chunks_metadata.jsonl"))
+    got = readers.read_metadata(spark, str(tmp_path / "chunks_metadata.jsonl"))
+    assert [r.chunk_id for r in got.orderBy("position").collect()] == ["c1", "c2"]
+
+
+def test_suffixes_in_any_case(spark, tmp_path):
+    (tmp_path / "A.HTML").write_text("<p>one</p>")
+    (tmp_path / "b.Json").write_text('{"text": "two"}')
+    (tmp_path / "c.htm").write_text("<p>no</p>")
+    assert [(d.title, d.text) for d in readers.read_documents(spark, str(tmp_path)).orderBy("ord").collect()] == [(None, "two"), ("A", None)]
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("u", "word " * 30)], "url string, text string").write.parquet(str(tmp_path / "in"))
     docs = spark.readStream.schema("url string, text string").parquet(str(tmp_path / "in"))
