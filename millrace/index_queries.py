@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import oracles
 from millrace.functions import text as T
-from millrace.operators import keyword, metrics, search, vector_lists
+from millrace.operators import keyword, metrics, search, trust, vector_lists
 from millrace.plans.reindex import DocumentIndex, classify
 from millrace.plans.tables import Tables
 from millrace.registry import query_as, table
@@ -87,6 +87,31 @@ def ranking_metrics(spark, sf_dir):
     return found.select("item_id", *[F.round(c, 9).alias(c) for c in metrics.MEASURES])
 
 
+@query_as(f"""WITH {KEYWORD_SQL},
+hits AS (SELECT item_id, doc_id, score, CAST(substr(source, 4) AS INTEGER) % 3 AS trusted, source, quality AS value
+  FROM keyword JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)),
+stated AS (SELECT *, first_value(value) OVER (PARTITION BY item_id, source ORDER BY trusted, doc_id DESC) AS counts,
+  row_number() OVER (PARTITION BY item_id, source ORDER BY trusted, doc_id DESC) AS nth FROM hits WHERE value IS NOT NULL),
+lists AS (SELECT a.item_id, a.doc_id, string_agg(b.doc_id, ',' ORDER BY b.doc_id) FILTER (b.value = a.counts AND b.doc_id <> a.doc_id) AS supporting,
+  string_agg(b.doc_id, ',' ORDER BY b.doc_id) FILTER (b.value <> a.counts) AS conflicting
+  FROM stated a JOIN stated b USING (item_id, source) WHERE a.nth = 1 GROUP BY ALL),
+kept AS (SELECT h.item_id, h.doc_id, round(h.score * [1.0, 0.8, 0.5][1 + h.trusted], 6) AS score, coalesce(supporting, '') AS supporting,
+  coalesce(conflicting, '') AS conflicting FROM hits h LEFT JOIN stated s USING (item_id, doc_id) LEFT JOIN lists USING (item_id, doc_id)
+  WHERE s.doc_id IS NULL OR s.value = s.counts)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM kept) WHERE rank <= 10""")
+def trusted_topk(spark, sf_dir):
+    """The keyword ranking of each item by trust in publishers. What documents of a source state of its quality differs:
+    the latest by id counts, and those that say otherwise are cited with it."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
+    hits = _keyword(spark, sf_dir).join(docs, "doc_id").withColumn("publisher_rank", F.substring("source", 4, 9).cast("int") % 3)
+    facts = docs.join(labels, "doc_id").select(
+        "doc_id", F.col("source").alias("thing"), F.lit("quality").alias("field"), F.col("quality").alias("value"), F.col("doc_id").alias("stated_at")
+    )
+    found = trust.trusted_ranking(hits, facts, "item_id", "doc_id", 10)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("item_id", "doc_id", "score", "rank", listed("supporting"), listed("conflicting"))
+
+
 # --- vectors in lists ---
 
 LISTS = vector_lists.ListParams(lists=16)

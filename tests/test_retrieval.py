@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import keyword, metrics
+from millrace.operators import keyword, metrics, trust
 from millrace.operators.search import top_k
 
 WORDS = [f"w{i}" for i in range(300)] + ["the", "of", "Éa", "straße"]
@@ -125,3 +125,17 @@ def test_bootstrap_of_two_rankers(spark):
 def test_top_k_orders_ties(spark):
     rows = spark.createDataFrame([(1, 3, 0.5), (1, 2, 0.5), (1, 1, 0.1)], "q int, d int, score double")
     assert [r.d for r in top_k(rows, "q", "d", 2).orderBy("rank").collect()] == [2, 3]
+
+
+def test_publishers_and_conflicts(spark):
+    u = spark.createDataFrame([("https://x.gov.in/a",), ("http://nic.in:80/",), ("https://notgov.in/",), ("https://s.example.org/x",), ("gov.in",), (None,)], "url string")
+    found = u.select(trust.publisher_rank(F.col("url"), trust.Trust(secondary=("example.org",))).alias("r")).collect()
+    assert [r.r for r in found] == [0, 0, 2, 1, 2, 2]
+    hits = spark.createDataFrame([(1, d, s, p) for d, s, p in [(1, 9.0, 2), (2, 8.0, 0), (3, 7.0, 0), (4, 6.0, 1), (5, 5.0, 2), (6, 4.0, 2)]] + [(2, 1, 3.0, 2)], "q int, d int, score double, publisher_rank int")
+    facts = spark.createDataFrame(
+        [(1, "A", "limit", "50", 9), (2, "A", "limit", "60", 1), (3, "A", "limit", "70", 2), (4, "A", "limit", "70", None), (5, "A", "limit", None, 9), (4, "B", "due", "May", 1), (6, "B", "due", "May", 2)],
+        "d int, thing string, field string, value string, stated_at int",
+    )
+    got = {(r.q, r.d): (r.rank, r.score, r.supporting, r.conflicting) for r in trust.trusted_ranking(hits, facts, "q", "d", 9).collect()}
+    # 3 is primary and later than 2; 1 and 2 say otherwise; 5 states nothing; 4 and 6 agree
+    assert got == {(1, 3): (1, 7.0, [4], [1, 2]), (1, 4): (2, 4.8, [6], []), (1, 5): (3, 2.5, [], []), (1, 6): (4, 2.0, [], []), (2, 1): (1, 1.5, [], [])}
