@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace import oracles
 from millrace.functions import text as T
-from millrace.operators import keyword, metrics, search, trust, vector_lists
+from millrace.operators import keyword, metrics, routing, search, trust, vector_lists
 from millrace.plans.reindex import DocumentIndex, classify
 from millrace.plans.tables import Tables
-from millrace.registry import query_as, table
+from millrace.registry import query, query_as, table
 
 # --- keywords, and rankings put together ---
 
@@ -112,6 +112,15 @@ def trusted_topk(spark, sf_dir):
     return found.select("item_id", "doc_id", "score", "rank", listed("supporting"), listed("conflicting"))
 
 
+@query
+def routed_turns(spark, sf_dir):
+    """All turns of conversations by the languages of all documents, or neither where that is not sure."""
+    labelled = search.embed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label")))
+    turns = search.embed_chunks(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    found = routing.route(turns, routing.fit_router(labelled, "doc_id"))
+    return found.select("conv_id", "turn", "route", F.round("similarity", 5).alias("similarity"), F.round("margin", 5).alias("margin"))
+
+
 # --- vectors in lists ---
 
 LISTS = vector_lists.ListParams(lists=16)
