@@ -65,3 +65,16 @@ def test_near_duplicates_of_whole_table(spark):
             holders.setdefault(s, []).append(doc)
     kept = corpus_pipeline.near_dedup(spark, docs, DATA)
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [d for d, _ in rows if find(d) == d]
+
+
+def test_links_where_there_are_some(spark):
+    """The tables have no vectors as near as 0.93; at 0.3 they have many links, and groups of them."""
+    from millrace.llm import rpforest
+
+    data = DATA.replace("0.001", "0.01")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{data}/embeddings.parquet'")
+    expected = sorted(con.sql(rpforest.ORACLE_SQL.replace("0.93", "0.3")).fetchall())
+    found = rpforest.embedding_components(spark.read.parquet(f"{data}/embeddings.parquet"), params=rpforest.ForestParams(threshold=0.3))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect())
+    assert got == expected and sum(r[1] for r in got) > 500 and sum(r[3] for r in got) < len(got) - 100
