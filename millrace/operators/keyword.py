@@ -1,10 +1,11 @@
 """Keyword search: an inverted index as tables, BM25 with postings skipped by upper bounds, and fusion of rankings.
 
 The index has three tables. ``postings`` has a row for each term and block of documents: their ids, frequencies and
-lengths as arrays, and the greatest frequency and least length among them, which bound every score of the row. ``terms``
-has a term's number of documents and the bounds over all its rows, ``totals`` one row on the collection. Terms are dealt
-over folders by their hash, and files are sorted by term, so a query reads the folders of its terms alone, and of these
-the row groups that have them. Texts are read when the index is built and never at query time.
+lengths as arrays, and the greatest frequency and least length among them, which bound every score of the row. A block is
+some documents that stand together, and its rows are made where these are read, so building shuffles neither texts nor
+postings. ``terms`` has a term's number of documents and the bounds over all its rows, ``totals`` one row on the
+collection. Terms are dealt over folders by their hash, and files are sorted by term, so a query reads the folders of its
+terms alone, and of these the row groups that have them. Texts are never read at query time.
 
 A query skips what cannot matter. Its rarest terms give each query a score that the k-th best reaches for certain. Terms
 whose bounds together stay below it cannot bring a document in by themselves: their postings are looked up only for
@@ -13,8 +14,16 @@ documents that other terms brought in, and only in blocks that have any.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,9 +31,14 @@ from pyspark.sql.window import Window
 from millrace.operators.search import top_k
 from millrace.plans import kept
 from millrace.plans.tables import Tables
+from millrace.session import ship_package
 
 #: Letters and digits of any script make words.
-BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
+WORD = re.compile(r"[^\W_]+")
+#: Postings of a block at most, beside its number of documents; about 100 bytes each while it is made.
+BLOCK_POSTINGS = 500_000
+#: Row groups of the postings' files, of which a query reads those that have its terms.
+ROW_GROUP_BYTES = 4 << 20
 #: Scores are rounded to this many places, so that they do not depend on the order of sums.
 PLACES = 6
 SLACK = 1e-5
@@ -59,8 +73,8 @@ class KeywordIndex:
     params: Bm25
 
 
-def keywords(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN_WORDS), lambda w: w != "")
+def keywords(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
 
 
 def _folder(term: Column, params: Bm25) -> Column:
@@ -72,26 +86,57 @@ def build_index(
 ) -> KeywordIndex:
     """Write the index of ``docs``, whose ids are unique, and return it. Null texts have no words, null ids are left out.
 
-    Words are counted where their document is, before the shuffle. A row of postings has at most about ``block_rows``
-    documents whatever the number of documents with its term, so a word of every document is many rows.
+    A row of postings has at most ``block_rows`` documents whatever the number of documents with its term, so a word of
+    every document is many rows.
     """
     tables = tables or Tables(docs.sparkSession, "keywords")
+    ship_package(docs.sparkSession)
+    kind = dict(docs.dtypes)[id_col]
+    columns = ["term", "block", "n", "most", "least", "docs", "frequencies", "lengths"]
+    schema = f"term string, block long, n long, most int, least int, docs array<{kind}>, frequencies array<int>, lengths array<int>"
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n_docs, n_postings, id_type = TaskContext.get().partitionId() << 32, 0, 0, None
+        held: dict[str, tuple[list, list[int], list[int]]] = {}
+
+        def rows() -> pa.RecordBatch:
+            lists = list(held.values())
+            sizes = np.array([len(x[0]) for x in lists])
+            starts = np.concatenate(([0], np.cumsum(sizes)))
+            flat = [list(chain.from_iterable(x[k] for x in lists)) for k in range(3)]
+            most, least = (f.reduceat(np.array(flat[k]), starts[:-1]) for f, k in ((np.maximum, 1), (np.minimum, 2)))
+            arrays = [pa.array(x, t) for x, t in zip(flat, (id_type, pa.int32(), pa.int32()))]
+            made = [
+                pa.array(list(held), pa.string()), pa.array(np.full(len(lists), block), pa.int64()), pa.array(sizes, pa.int64()),
+                pa.array(most, pa.int32()), pa.array(least, pa.int32()),
+                *[pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for x in arrays],
+            ]
+            held.clear()
+            return pa.RecordBatch.from_arrays(made, columns)
+
+        for batch in batches:
+            id_type = batch.column("doc").type
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+                words = keywords(text)
+                for term, n in Counter(words).items():
+                    lists = held.get(term)
+                    if lists is None:
+                        lists = held[term] = ([], [], [])
+                    lists[0].append(doc)
+                    lists[1].append(n)
+                    lists[2].append(len(words))
+                    n_postings += 1
+                n_docs += 1
+                if held and (n_docs >= params.block_rows or n_postings >= BLOCK_POSTINGS):
+                    yield rows()
+                    block, n_docs, n_postings = block + 1, 0, 0
+        if held:
+            yield rows()
+
     named = docs.where(F.col(id_col).isNotNull())
-    blocks = F.lit(max(1, -(-named.count() // params.block_rows)))
-    spelt = named.select(F.col(id_col).alias("doc"), keywords(F.col(text_col)).alias("words"))
-    each = spelt.select("doc", F.size("words").alias("length"), F.explode("words").alias("term"))
-    counted = each.groupBy("doc", "length", "term").agg(F.count("*").cast("int").alias("frequency"))
-    block = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    rows = F.array_sort(F.collect_list(F.struct("doc", "frequency", "length")))
-    grouped = counted.groupBy("term", block.alias("block")).agg(
-        rows.alias("r"), F.max("frequency").alias("most"), F.min("length").alias("least"), F.count("*").alias("n")
-    )
-    postings = grouped.select(
-        _folder(F.col("term"), params).alias("folder"), "term", "block", "n", "most", "least",
-        F.col("r.doc").alias("docs"), F.col("r.frequency").alias("frequencies"), F.col("r.length").alias("lengths"),
-    )
-    ranged = postings.repartitionByRange("folder", "term", "block").sortWithinPartitions("folder", "term", "block")
-    written = tables.write(ranged, "postings", ["folder"])
+    inverted = named.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(invert, schema)
+    postings = inverted.withColumn("folder", _folder(F.col("term"), params)).sortWithinPartitions("folder", "term", "block")
+    written = tables.write(postings, "postings", ["folder"], **{"parquet.block.size": ROW_GROUP_BYTES})
     terms = written.groupBy("folder", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.min("least").alias("least"))
     stats = tables.write(terms.sortWithinPartitions("folder", "term"), "terms", ["folder"])
     length = written.agg(F.coalesce(F.sum(F.aggregate("frequencies", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("words"))
@@ -101,7 +146,13 @@ def build_index(
 
 def _query_terms(queries: DataFrame, query_id: str, text_col: str, index: KeywordIndex) -> DataFrame:
     """(query, folder, term, idf, mean, bound): the different words of each query that the index has."""
-    words = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(keywords(F.col(text_col)))).alias("term"))
+
+    @F.pandas_udf("array<string>")
+    def asked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(set(keywords(t))))
+
+    ship_package(queries.sparkSession)
+    words = queries.select(F.col(query_id).alias("query"), F.explode(asked(F.col(text_col))).alias("term"))
     facts = index.totals.first()  # one row
     n, mean = F.lit(facts["documents"]), F.lit(facts["words"] / max(1, facts["documents"]))
     known = words.withColumn("folder", _folder(F.col("term"), index.params)).join(index.terms, ["folder", "term"])
