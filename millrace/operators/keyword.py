@@ -7,9 +7,10 @@ postings. ``terms`` has a term's number of documents and the bounds over all its
 collection. Terms are dealt over folders by their hash, and files are sorted by term, so a query reads the folders of its
 terms alone, and of these the row groups that have them. Texts are never read at query time.
 
-A query skips what cannot matter. Its rarest terms give each query a score that the k-th best reaches for certain. Terms
-whose bounds together stay below it cannot bring a document in by themselves: their postings are looked up only for
-documents that other terms brought in, and only in blocks that have any.
+Queries are answered block by block: the rows of a block that any query of a group has words of meet in one task, once for
+all of the group, and the best documents of each query leave it. What cannot matter is skipped: the rarest words of a query
+tell a score that its k-th best document reaches for certain, and a block whose bounds for the query's words add up to less
+is not looked at.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ PLACES = 6
 SLACK = 1e-5
 #: Documents, as a multiple of ``k``, that the rarest words of a query bring in for its first bound.
 SEEDS = 20
+#: Queries that a task answers for a block of documents at once: as many sums of scores for each document.
+GROUP_QUERIES = 256
 
 
 @dataclass(frozen=True)
@@ -170,18 +173,23 @@ def _scored(rows: DataFrame, params: Bm25) -> DataFrame:
     return each.select("query", "block", F.col("p.docs").alias("doc"), part.alias("part"))
 
 
-def planned_terms(terms: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
-    """``terms`` with ``floor``, a score that the query's k-th best document reaches, and ``brings``: whether the term
-    can bring a document into the best k at all, with those of smaller bounds."""
+def with_floors(terms: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
+    """``terms`` with ``floor``, a score that the query's k-th best document reaches: that of its rarest words alone."""
     rarest = Window.partitionBy("query").orderBy("df", "term")
     before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seeds = terms.withColumn("before", before).where(F.col("before") < SEEDS * k)
+    seeds = terms.withColumn("before", before).where(F.col("before") < SEEDS * k).where(F.col("df") <= SEEDS * k)
     postings = index.postings.join(seeds.select("query", "folder", "term", "idf", "mean"), ["folder", "term"])
     sums = _scored(postings, index.params).groupBy("query", "doc").agg(F.sum("part").alias("score"))
     kth = top_k(sums, "query", "doc", k).where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
-    upwards = Window.partitionBy("query").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    told = terms.join(kth, "query", "left").fillna(-1.0, ["floor"]).withColumn("up_to", F.sum("bound").over(upwards))
-    return told.withColumn("brings", F.col("up_to") >= F.col("floor") - SLACK)
+    return terms.join(kth, "query", "left").fillna(-1.0, ["floor"])
+
+
+def live_blocks(terms: DataFrame, index: KeywordIndex) -> DataFrame:
+    """(group, block) in which the bounds of some query of the group add up to its floor; from the bounds alone."""
+    bounds = index.postings.select("folder", "term", "block", "most", "least").join(terms, ["folder", "term"])
+    most = F.col("idf") * index.params.weight(F.col("most"), F.col("least"), F.col("mean"))
+    sums = bounds.groupBy("group", "query", "block").agg(F.sum(most).alias("most"), F.first("floor").alias("floor"))
+    return sums.where(F.col("most") >= F.col("floor") - SLACK).select("group", "block").distinct()
 
 
 def bm25(
@@ -190,32 +198,52 @@ def bm25(
 ) -> DataFrame:
     """(query id, document id, score, rank): the ``k`` best documents of each query that have a word of it.
 
-    Queries are a stated set; a word counts once however often a query has it. Equal scores are ordered by the smaller
-    id. ``skip`` false reads all postings of all words, for the same result. Queries without known words have no rows.
+    Queries are a stated set, taken in groups of about ``GROUP_QUERIES``; a word counts once however often a query has
+    it. Equal scores are ordered by the smaller id. ``skip`` false looks at all blocks, for the same result. Queries
+    without known words have no rows.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     params = index.params
-    terms = _query_terms(queries, query_id, text_col, index)
-    wanted = ["query", "folder", "term", "idf", "mean"]
+    groups = F.lit(max(1, -(-queries.count() // GROUP_QUERIES)))
+    terms = _query_terms(queries, query_id, text_col, index).withColumn("group", F.pmod(F.xxhash64("query"), groups).cast("int"))
+    terms = kept(with_floors(terms, index, k) if skip else terms.withColumn("floor", F.lit(-1.0)))
+    asked = F.collect_list(F.struct("query", "idf", "floor"))
+    by_term = terms.groupBy("group", "folder", "term").agg(asked.alias("asked"), F.first("mean").alias("mean"))
+    rows = index.postings.join(by_term, ["folder", "term"])
     if skip:
-        terms = kept(planned_terms(terms, index, k))
-        bringing = index.postings.join(terms.where("brings").select(*wanted, "floor"), ["folder", "term"])
-        rest = terms.where("not brings").groupBy("query").agg(F.sum("bound").alias("rest"))
-        # what the other words may add at most decides which documents are looked up at all
-        found = (
-            _scored(bringing, params).groupBy("query", "block", "doc").agg(F.sum("part").alias("part"))
-            .join(terms.select("query", "floor").distinct(), "query").join(rest, "query", "left")
-            .where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor") - SLACK).select("query", "block", "doc", "part")
-        )
-        blocks = found.select("query", "block").distinct()
-        others = index.postings.join(terms.where("not brings").select(*wanted), ["folder", "term"]).join(blocks, ["query", "block"], "left_semi")
-        looked_up = _scored(others, params).join(found.select("query", "doc"), ["query", "doc"], "left_semi")
-        parts = found.select("query", "doc", "part").unionByName(looked_up.select("query", "doc", "part"))
-    else:
-        parts = _scored(index.postings.join(terms.select(*wanted), ["folder", "term"]), params)
-    scores = parts.groupBy("query", "doc").agg(F.round(F.sum("part"), PLACES).alias("score"))
-    best = top_k(scores, "query", "doc", k)
+        rows = rows.join(live_blocks(terms, index), ["group", "block"], "left_semi")
+    kinds = (dict(queries.dtypes)[query_id], dict(index.postings.dtypes)["docs"][6:-1])
+
+    def weight(n, length, mean):
+        return n * (params.k1 + 1) / (n + params.k1 * (1 - params.b + params.b * length / max(mean, 1e-9)))
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        docs, place = np.unique(np.concatenate(group["docs"].tolist()), return_inverse=True)
+        ends = np.cumsum([len(d) for d in group["docs"]])
+        bounds: dict = {}
+        floors: dict = {}
+        for wanted, most, least, mean in zip(group["asked"], group["most"], group["least"], group["mean"]):
+            for a in wanted:
+                bounds[a["query"]] = bounds.get(a["query"], 0.0) + a["idf"] * weight(most, least, mean)
+                floors[a["query"]] = a["floor"]
+        sums = {q: np.zeros(len(docs)) for q, most in bounds.items() if most >= floors[q] - SLACK}
+        for wanted, n, length, mean, end in zip(group["asked"], group["frequencies"], group["lengths"], group["mean"], ends):
+            at, part = place[end - len(n) : end], weight(np.asarray(n, float), np.asarray(length, float), mean)
+            for a in wanted:
+                if a["query"] in sums:
+                    sums[a["query"]][at] += a["idf"] * part
+        found = []
+        for q, scores in sums.items():
+            scores = np.round(scores, PLACES)
+            limit = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+            for at in np.nonzero((scores >= limit) & (scores > 0))[0].tolist():
+                found.append((q, docs[at], float(scores[at])))
+        return pd.DataFrame(found, columns=["query", "doc", "score"])
+
+    best = top_k(
+        rows.groupBy("group", "block").applyInPandas(score, f"query {kinds[0]}, doc {kinds[1]}, score double"), "query", "doc", k
+    )
     return best.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score", "rank")
 
 

@@ -54,23 +54,34 @@ def test_bm25_against_all_documents(spark, corpus, k):
         assert all(abs(a - b) < 2e-6 for q in got for (_, a), (_, b) in zip(got[q], expected[q]))
 
 
-def test_bounds_skip_postings_and_folders(spark, corpus, monkeypatch):
+def test_bounds_skip_blocks_and_folders(spark, corpus):
     _, _, df, asked = corpus
-    monkeypatch.setattr(keyword, "SEEDS", 4)
-    index = keyword.build_index(df, "doc_id", params=keyword.Bm25(block_rows=32, folders=8))
-    terms = keyword.planned_terms(keyword._query_terms(asked, "q", "text", index), index, 3).where("query <> 22")
-    read = {r.brings: r.n for r in terms.groupBy("brings").agg(F.sum("df").alias("n")).collect()}
-    assert read[False] > read[True]  # most postings are of words that bring no document in
-    # every score is at most the bounds of its words
-    parts = keyword._scored(index.postings.join(terms.select("query", "folder", "term", "idf", "mean"), ["folder", "term"]), index.params)
-    most = parts.groupBy("query", "doc").agg(F.sum("part").alias("s")).groupBy("query").agg(F.max("s").alias("s"))
-    bounds = terms.groupBy("query").agg(F.sum("bound").alias("bound"))
-    assert most.join(bounds, "query").where("s > bound + 1e-9").count() == 0
+    # texts of rare words stand together, so most blocks have none of those of a query
+    rare = df.where("doc_id < 400").withColumn("text", F.concat("text", F.lit(" rare"), (F.col("doc_id") / 40).cast("int")))
+    index = keyword.build_index(rare.coalesce(1).sortWithinPartitions("doc_id"), "doc_id", params=keyword.Bm25(block_rows=16, folders=8))
+    queries = spark.createDataFrame([(q, f"rare{q} of the") for q in range(10)], "q int, text string")
+    terms = keyword.with_floors(keyword._query_terms(queries, "q", "text", index), index, 3).withColumn("group", F.col("query"))
+    every = terms.withColumn("floor", F.lit(-1.0))
+    assert keyword.live_blocks(terms, index).count() < 0.4 * keyword.live_blocks(every, index).count()
+    rows = lambda skip: sorted(map(tuple, keyword.bm25(queries, "q", index, 3, skip=skip).collect()))
+    assert rows(True) == rows(False) and len(rows(True)) == 30
+    # no score is above the bounds of its words
+    scored = keyword.bm25(asked, "q", index, 1).select(F.col("q").alias("query"), "score")
+    bounds = keyword._query_terms(asked, "q", "text", index).groupBy("query").agg(F.sum("bound").alias("bound"))
+    assert scored.join(bounds, "query").where("score > bound + 1e-5").count() == 0
     one = index.postings.where((F.col("folder") == 3) & (F.col("term") == "w5"))
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(term,w5)" in plan
 
 
+def test_queries_in_groups(spark, corpus, monkeypatch):
+    _, _, df, asked = corpus
+    index = keyword.build_index(df, "doc_id", params=keyword.Bm25(block_rows=64))
+    whole = sorted(map(tuple, keyword.bm25(asked, "q", index, 4).collect()))
+    monkeypatch.setattr(keyword, "GROUP_QUERIES", 4)
+    assert sorted(map(tuple, keyword.bm25(asked, "q", index, 4).collect())) == whole
+
+
 def test_empty_collections(spark, corpus):
     _, _, df, asked = corpus
     index = keyword.build_index(df.limit(0), "doc_id")
