@@ -47,6 +47,8 @@ SLACK = 1e-5
 SEEDS = 20
 #: Queries that a task answers for a block of documents at once: as many sums of scores for each document.
 GROUP_QUERIES = 256
+#: Words of queries, with what goes with them, up to which they are sent to the postings; beyond it both are shuffled.
+SENT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -147,6 +149,11 @@ def build_index(
     return KeywordIndex(written, stats, tables.write(totals, "totals"), params)
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be sent to all tasks, if ``rows``, a number that has been counted, is small enough."""
+    return F.broadcast(df) if rows <= SENT_ROWS else df
+
+
 def _query_terms(queries: DataFrame, query_id: str, text_col: str, index: KeywordIndex) -> DataFrame:
     """(query, folder, term, idf, mean, bound): the different words of each query that the index has."""
 
@@ -158,7 +165,8 @@ def _query_terms(queries: DataFrame, query_id: str, text_col: str, index: Keywor
     words = queries.select(F.col(query_id).alias("query"), F.explode(asked(F.col(text_col))).alias("term"))
     facts = index.totals.first()  # one row
     n, mean = F.lit(facts["documents"]), F.lit(facts["words"] / max(1, facts["documents"]))
-    known = words.withColumn("folder", _folder(F.col("term"), index.params)).join(index.terms, ["folder", "term"])
+    words = kept(words.withColumn("folder", _folder(F.col("term"), index.params)))
+    known = index.terms.join(_sent(words, words.count()), ["folder", "term"])
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return known.select(
         "query", "folder", "term", "df", idf.alias("idf"), mean.alias("mean"),
@@ -178,7 +186,8 @@ def with_floors(terms: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
     rarest = Window.partitionBy("query").orderBy("df", "term")
     before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     seeds = terms.withColumn("before", before).where(F.col("before") < SEEDS * k).where(F.col("df") <= SEEDS * k)
-    postings = index.postings.join(seeds.select("query", "folder", "term", "idf", "mean"), ["folder", "term"])
+    seeds = _sent(seeds.select("query", "folder", "term", "idf", "mean"), terms.count())
+    postings = index.postings.join(seeds, ["folder", "term"])
     sums = _scored(postings, index.params).groupBy("query", "doc").agg(F.sum("part").alias("score"))
     kth = top_k(sums, "query", "doc", k).where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
     return terms.join(kth, "query", "left").fillna(-1.0, ["floor"])
@@ -186,7 +195,7 @@ def with_floors(terms: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
 
 def live_blocks(terms: DataFrame, index: KeywordIndex) -> DataFrame:
     """(group, block) in which the bounds of some query of the group add up to its floor; from the bounds alone."""
-    bounds = index.postings.select("folder", "term", "block", "most", "least").join(terms, ["folder", "term"])
+    bounds = index.postings.select("folder", "term", "block", "most", "least").join(_sent(terms, terms.count()), ["folder", "term"])
     most = F.col("idf") * index.params.weight(F.col("most"), F.col("least"), F.col("mean"))
     sums = bounds.groupBy("group", "query", "block").agg(F.sum(most).alias("most"), F.first("floor").alias("floor"))
     return sums.where(F.col("most") >= F.col("floor") - SLACK).select("group", "block").distinct()
@@ -207,10 +216,11 @@ def bm25(
     params = index.params
     groups = F.lit(max(1, -(-queries.count() // GROUP_QUERIES)))
     terms = _query_terms(queries, query_id, text_col, index).withColumn("group", F.pmod(F.xxhash64("query"), groups).cast("int"))
-    terms = kept(with_floors(terms, index, k) if skip else terms.withColumn("floor", F.lit(-1.0)))
+    terms = kept(terms)
+    terms = kept(with_floors(terms, index, k)) if skip else terms.withColumn("floor", F.lit(-1.0))
     asked = F.collect_list(F.struct("query", "idf", "floor"))
     by_term = terms.groupBy("group", "folder", "term").agg(asked.alias("asked"), F.first("mean").alias("mean"))
-    rows = index.postings.join(by_term, ["folder", "term"])
+    rows = index.postings.join(_sent(by_term, terms.count()), ["folder", "term"])
     if skip:
         rows = rows.join(live_blocks(terms, index), ["group", "block"], "left_semi")
     kinds = (dict(queries.dtypes)[query_id], dict(index.postings.dtypes)["docs"][6:-1])
