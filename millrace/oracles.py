@@ -124,6 +124,11 @@ issues AS (
 )
 """
 _UNESCAPE = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+#: The same references in text, where the semicolon may be missing, as at the end of titles that were cut in the middle of
+#: one; ``&#x2`` is a reference to a character that HTML leaves out.
+_DECODE = "{0}"
+for _pattern, _to in ((r"&lt;?", "<"), (r"&gt;?", ">"), (r"&quot;?", '"'), (r"&#x27(?:;|([^0-9A-Fa-f;]|$))", r"''\1"), (r"&#x2(?:;|([^0-9A-Fa-f;]|$))", r"\1"), (r"&amp;?", "&")):
+    _DECODE = f"regexp_replace({_DECODE}, '{_pattern}', '{_to}', 'g')"
 #: Anchors of pages: anchors(url, pos, href, anchor_text, root).
 ANCHORS = rf"""
 found AS (SELECT url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS a FROM pages),
@@ -180,7 +185,7 @@ paras AS (
 ),
 strings AS (
   SELECT page_id, head, k, NOT contains(p, '</p>') AS is_open,
-    trim({_UNESCAPE.format("regexp_replace(p, '<[^>]*>', '', 'g')")}, chr(32) || chr(9) || chr(10) || chr(13)) AS t
+    trim({_DECODE.format("regexp_replace(p, '<[^>]*>', '', 'g')")}, chr(32) || chr(9) || chr(10) || chr(13)) AS t
   FROM paras WHERE k > 1
 ),
 joined_ AS (
@@ -195,7 +200,7 @@ lines_ AS (
   SELECT page_id, head, min((k, j)) AS o, trim({_SQUEEZE}, ' |-') AS line FROM each_line GROUP BY page_id, head, trim({_SQUEEZE}, ' |-')
 ),
 page_secs AS (
-  SELECT page_id, trim(regexp_replace({_UNESCAPE.format("head")}, '[ \t]+', ' ', 'g'), ' |-') AS heading, string_agg(line, chr(10) ORDER BY o) AS text
+  SELECT page_id, trim(regexp_replace({_DECODE.format("head")}, '[ \t]+', ' ', 'g'), ' |-') AS heading, string_agg(line, chr(10) ORDER BY o) AS text
   FROM lines_ WHERE line <> '' GROUP BY page_id, head
 )
 """
@@ -273,12 +278,12 @@ SELECT doc_id, chunk_index, chunk_index * 40 AS "begin", CAST(least(chunk_index
 WITH n AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS sample_position, count(*) OVER () AS total FROM documents),
 s AS (SELECT *, greatest(1, total // least(25, total)) AS step FROM n)
 SELECT sample_position, doc_id, source FROM s WHERE sample_position % step = 0 AND sample_position // step < 25""",
-    "page_title": f"SELECT url, trim({_UNESCAPE.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}) AS title FROM pages",
+    "page_title": f"SELECT url, trim({_DECODE.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}) AS title FROM pages",
     "page_text": f"WITH {PAGES}, lines AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, "
     "'<(script|style|nav|footer)>.*?</(script|style|nav|footer)>', chr(1), 'gs'), '<[^>]*>', chr(10), 'g'), chr(10))) AS raw, "
     "generate_subscripts(string_split(regexp_replace(regexp_replace(html, '<(script|style|nav|footer)>.*?</(script|style|nav|footer)>', chr(1), 'gs'), "
     "'<[^>]*>', chr(10), 'g'), chr(10)), 1) AS k FROM pages), "
-    "shown AS (SELECT page_id, k, trim(" + _UNESCAPE.format("raw") + ", chr(1) || chr(32) || chr(9) || chr(13)) AS line FROM lines) "
+    "shown AS (SELECT page_id, k, trim(" + _DECODE.format("raw") + ", chr(1) || chr(32) || chr(9) || chr(13)) AS line FROM lines) "
     "SELECT url, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (line <> ''), '') AS text, "
     "CAST(any_value(p.page_id IN (SELECT page_id FROM joined_ WHERE t <> '')) AS INTEGER) AS n_sections FROM pages AS p JOIN shown USING (page_id) GROUP BY p.page_id, url",
     "page_chunks": f"WITH RECURSIVE {PAGES}, clean_lines AS (SELECT page_id AS doc_id, o AS pos, line FROM lines_ WHERE line <> ''), {UNITS_OF_LINES}, {CHUNKS_OF_UNITS}, "
