@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: All characters that Unicode white space tests accept, for regular expressions of any engine.
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same as a class of Java, which tells most letters by two tests and not by one for each range.
+WS_JAVA = r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+#: The same characters, for functions that take a set of them.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Decimal digits of any script.
 DIGIT = r"\p{Nd}"
 #: Line boundaries of ``str.splitlines``.
@@ -85,6 +89,22 @@ MARKERS = (
     r"(?i)✕|whatsapp|telegram|t\.me|\.com/|find this scheme|mark it as ready|documents ready|verify scheme facts|"
     r"fact-?checked|editor|verified|" + re.escape(Publisher().domain)
 )
+#: A text without any of these, in small letters, has no line with MARKERS.
+HINTS = (
+    "✕", "whatsapp", "telegram", "t.me", ".com/", "find this scheme", "mark it as ready", "documents ready", "verify scheme facts",
+    "checked", "editor", "verified", Publisher().domain,
+)
+
+
+def _has_any(text: Column, parts: tuple[str, ...]) -> Column:
+    found = F.contains(text, F.lit(parts[0]))
+    for part in parts[1:]:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def nfkc(text: Column) -> Column:
@@ -94,16 +114,17 @@ def nfkc(text: Column) -> Column:
     def normalize(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return F.when(text.rlike(r"^[\x00-\x7f]*$"), text).otherwise(normalize(text))
+    # a function in Python gets every row, whatever case it stands in: so null in place of what it has nothing to do with
+    return F.when(is_ascii(text), text).otherwise(normalize(F.when(~is_ascii(text), text)))
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
     """Runs of characters that are not white space."""
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{WS_JAVA}+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -119,16 +140,34 @@ def apply_rules(line: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def clean_lines(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The different lines of a cleaned text, in order of their first occurrence; ``text`` is normalised."""
-    plain = F.regexp_replace(F.translate(text, "\u00a0\u0000", " "), r"\r\n?", "\n")
+    def only(x: Column, marks: tuple[str, ...], change: Column) -> Column:
+        return F.when(_has_any(x, marks), change).otherwise(x)
+
+    # each step is of an array of one, so that it is evaluated once for all its uses
+    one = F.array(text)
+    one = F.transform(one, lambda x: only(x, ("\u00a0", "\u0000"), F.translate(x, "\u00a0\u0000", " ")))
+    one = F.transform(one, lambda x: only(x, ("\r",), F.regexp_replace(x, r"\r\n?", "\n")))
+    one = F.transform(one, lambda x: only(x, ("\t", "  "), F.regexp_replace(x, "\t[ \t]*| [ \t]+", " ")))
+    ends = F.lit(" |-")
+
+    def lines(x: Column) -> Column:
+        # one step for each pass over the lines, so that no expression is evaluated twice
+        return F.transform(F.split(x, "\n"), trim_ws)
+
+    def bare(found: Column) -> Column:
+        return F.transform(found, lambda x: F.btrim(x, ends))
+
+    def ruled(x: Column) -> Column:
+        found = F.transform(lines(x), lambda x: F.when(x.rlike(MARKERS), apply_rules(x, rules)).otherwise(x))
+        return bare(F.transform(found, lambda x: F.regexp_replace(x, "[ \t]+", " ")))
 
-    # one step for each pass over the lines, so that no expression is evaluated twice
-    lines = F.transform(F.split(plain, "\n"), lambda raw: trim_ws(F.regexp_replace(raw, "[ \t]+", " ")))
     if rules:
-        lines = F.transform(lines, lambda x: F.when(x.rlike(MARKERS), apply_rules(x, rules)).otherwise(x))
-    lines = F.transform(
-        lines, lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r"^[ |\-]+|[ |\-]+$", "")
-    )
-    return F.array_distinct(F.filter(lines, lambda x: x != ""))
+        hinted = lambda x: F.exists(F.array(F.lower(x)), lambda low: _has_any(low, HINTS))
+        cleaned = F.transform(one, lambda x: F.when(hinted(x), ruled(x)).otherwise(bare(lines(x))))
+    else:
+        cleaned = F.transform(one, lambda x: bare(lines(x)))
+    cleaned = F.element_at(cleaned, 1)
+    return F.array_distinct(F.filter(cleaned, lambda x: x != ""))
 
 
 def clean_text(text: Column, rules: tuple[Rule, ...] = RULES, normalize: bool = True) -> Column:
@@ -162,6 +201,25 @@ def sentences(line: Column) -> Column:
     return F.filter(F.transform(found, trim_ws), lambda x: x != "")
 
 
+#: ``is_list_item``, ``split_lines`` and ``sentences`` for kernels that are in Python anyway.
+LIST_ITEM = re.compile(r"(?:[-*•]|\d+[.)])\s+")
+_MARKS = re.compile(r"[.!?]+(?=\s|\Z)")
+
+
+def split_lines_py(text: str) -> list[str]:
+    return [x for x in map(str.strip, text.splitlines()) if x]
+
+
+def sentences_py(line: str) -> list[str]:
+    found, begin = [], 0
+    for marks in _MARKS.finditer(line):
+        if marks.end() - begin > 1:  # a sentence has something before its end marks
+            found.append(line[begin : marks.end()].strip())
+            begin = marks.end()
+    found.append(line[begin:].strip())
+    return [x for x in found if x]
+
+
 def is_list_item(line: Column) -> Column:
     return line.rlike(rf"^(?:[-*•]|{DIGIT}+[.)]){WS}+")
 
@@ -226,7 +284,8 @@ def fold(text: Column) -> Column:
         return values.map(lambda v: None if v is None else v.casefold())
 
     plain = F.replace(text, F.lit("ß"), F.lit("ss"))
-    return F.when(plain.rlike(folded_otherwise()), casefold(text)).otherwise(F.lower(plain))
+    odd = plain.rlike(folded_otherwise())
+    return F.when(odd, casefold(F.when(odd, text))).otherwise(F.lower(plain))
 
 
 def contains_all(folded_text: Column, folded_terms: Column) -> Column:

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def get_session(app: str = "millrace", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -29,7 +30,12 @@ def get_session(app: str = "millrace", master: str | None = None, shuffle_partit
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per context, so that Python workers can import it anywhere."""
+    """Send this package to the executors once per context, so that Python workers can import it anywhere.
+
+    Python gets at most about 4 MB at once, where the session has Spark's default for that.
+    """
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "4m")
     sc = spark.sparkContext
     if getattr(sc, "_millrace_shipped", False):
         return spark

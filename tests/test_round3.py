@@ -24,3 +24,25 @@ def test_references_without_semicolon(spark, tmp_path, name):
     columns = sorted(expected.columns)
     told = lambda df: sorted(map(repr, df[columns].itertuples(index=False, name=None)))
     assert len(got) == len(CUT) and told(got) == told(expected)
+
+
+def test_batches_are_bounded(spark):
+    from millrace.session import BATCH_BYTES, ship_package
+
+    old = spark.conf.get(BATCH_BYTES)
+    spark.conf.unset(BATCH_BYTES)
+    ship_package(spark)
+    told = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, old)
+    assert told == "4m"
+
+
+def test_plain_texts_do_not_reach_python(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import text as T
+
+    texts = spark.createDataFrame([("plain",), ("ﬁ",), (None,)], "t string")
+    plan = texts.select(T.nfkc(F.col("t")), T.fold(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert sent and all("normalize(t#" not in line and "casefold(t#" not in line for line in sent)
