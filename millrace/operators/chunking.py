@@ -18,18 +18,19 @@ from millrace.session import ship_package
 TOO_SMALL = "max_tokens is too small for the section heading and one word"
 
 
-def split_units(text: Column, room: Column | None, config: ChunkingConfig) -> Column:
-    """Lines of lists, and sentences of other lines; units over the limits become their words.
-
-    ``room`` is the number of words that the token limit leaves, where it depends on words alone.
-    """
-    pieces = F.flatten(
-        F.transform(T.split_lines(text), lambda x: F.when(T.is_list_item(x), F.array(x)).otherwise(T.sentences(x)))
-    )
-    limit = F.lit(config.chunk_size) if room is None else F.least(F.lit(config.chunk_size), room)
-    return F.flatten(
-        F.transform(pieces, lambda u: F.when(T.word_count(u) <= limit, F.array(u)).otherwise(T.words(u)))
-    )
+def split_units(text: str, limit: int) -> tuple[list[str], list[int]]:
+    """Lines of lists, and sentences of other lines, with their numbers of words; units over the limit become their words."""
+    units, widths = [], []
+    for line in T.split_lines_py(text):
+        for unit in [line] if T.LIST_ITEM.match(line) else T.sentences_py(line):
+            words = unit.split()
+            if len(words) <= limit:
+                units.append(unit)
+                widths.append(len(words))
+            else:
+                units += words
+                widths += [1] * len(words)
+    return units, widths
 
 
 def pack_widths(widths: np.ndarray, room: int, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -78,55 +79,35 @@ def pack_units(units: list[str], prefix: str, config: ChunkingConfig) -> list[tu
     return spans
 
 
-SPANS = "array<array<struct<s:int,e:int>>>"
-
-
-def _span_rows(spans) -> list[dict]:
-    return [{"s": s, "e": e} for s, e in spans]
-
-
-def _additive_spans(widths: Column, rooms: Column, config: ChunkingConfig) -> Column:
-    size, overlap = config.chunk_size, config.chunk_overlap
-
-    @F.pandas_udf(SPANS)
-    def pack(widths: pd.Series, rooms: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [_span_rows(pack_widths(np.asarray(w), int(r), size, overlap)) for w, r in zip(ws, rs)]
-                for ws, rs in zip(widths, rooms)
-            ],
-            dtype=object,
-        )
-
-    return pack(widths, rooms)
+def fitting_units(text: str, prefix: str, config: ChunkingConfig) -> list[str]:
+    """Units of which none is over the token limit: those whose text alone is become their words."""
 
+    def fits(unit: str) -> bool:
+        return count_tokens(config.tokens, T.clean_text_py(prefix + unit)) <= config.max_tokens
 
-def _counted_spans(units: Column, prefixes: Column, config: ChunkingConfig) -> Column:
-    @F.pandas_udf(SPANS)
-    def pack(units: pd.Series, prefixes: pd.Series) -> pd.Series:
-        return pd.Series(
-            [[_span_rows(pack_units(list(u), p, config)) for u, p in zip(us, ps)] for us, ps in zip(units, prefixes)],
-            dtype=object,
-        )
+    return [w for u in split_units(text, config.chunk_size)[0] for w in ([u] if fits(u) else u.split())]
 
-    return pack(units, prefixes)
 
+def packed(sections: Column, config: ChunkingConfig) -> Column:
+    """The texts of the chunks of each section, without its heading."""
+    t = config.tokens
 
-def _fitting_units(units: Column, prefixes: Column, config: ChunkingConfig) -> Column:
-    """Units whose text alone is over the token limit become their words."""
+    def of_section(heading: str, text: str) -> list[str]:
+        if isinstance(t, WordTokens):
+            room = (config.max_tokens - t.special) // t.per_word - len(heading.split())
+            units, widths = split_units(text, min(config.chunk_size, room))
+            spans = pack_widths(np.asarray(widths, np.int64), room, config.chunk_size, config.chunk_overlap)
+        else:
+            prefix = heading + "\n" if heading else ""
+            units = fitting_units(text, prefix, config)
+            spans = pack_units(units, prefix, config)
+        return [" ".join(units[begin:end]) for begin, end in spans]
 
     @F.pandas_udf("array<array<string>>")
-    def fit(units: pd.Series, prefixes: pd.Series) -> pd.Series:
-        def one(unit: str, prefix: str) -> list[str]:
-            ok = count_tokens(config.tokens, T.clean_text_py(prefix + unit)) <= config.max_tokens
-            return [unit] if ok else unit.split()
-
-        return pd.Series(
-            [[[w for u in part for w in one(u, p)] for part, p in zip(us, ps)] for us, ps in zip(units, prefixes)],
-            dtype=object,
-        )
+    def pack(headings: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[of_section(h, t) for h, t in zip(hs, ts)] for hs, ts in zip(headings, texts)], dtype=object)
 
-    return fit(units, prefixes)
+    return pack(F.transform(sections, lambda s: s["heading"]), F.transform(sections, lambda s: s["text"]))
 
 
 def token_count(text: Column, tokens) -> Column:
@@ -143,8 +124,8 @@ def token_count(text: Column, tokens) -> Column:
 def chunk_documents(docs: DataFrame, config: ChunkingConfig = ChunkingConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of documents of any shape, with ``keys`` of the documents in front.
 
-    A document's chunks are built in one array and exploded once, so their numbers need no shuffle. With WordTokens
-    only widths of units reach Python; the token limit then counts the words of the heading and of the units.
+    A document's chunks are built in one array and exploded once, so their numbers need no shuffle. With WordTokens the
+    token limit counts the words of the heading and of the units.
     """
     ship_package(docs.sparkSession)
     have = set(docs.columns)
@@ -155,27 +136,15 @@ def chunk_documents(docs: DataFrame, config: ChunkingConfig = ChunkingConfig(),
         "sections",
     )
     ready = computed(ready, sections=merge_short_sections(F.col("sections"), config.min_words))
-    prefixes = F.transform("sections", lambda s: F.when(s["heading"] != "", F.concat(s["heading"], F.lit("\n"))).otherwise(""))
-    if isinstance(config.tokens, WordTokens):
-        t = config.tokens
-        room = lambda s: F.floor((F.lit(config.max_tokens - t.special) / t.per_word)).cast("int") - T.word_count(s["heading"])
-        ready = computed(ready, units=F.transform("sections", lambda s: split_units(s["text"], room(s), config)))
-        widths = F.transform("units", lambda us: F.transform(us, T.word_count))
-        ready = ready.withColumn("spans", _additive_spans(widths, F.transform("sections", room), config))
-    else:
-        ready = computed(ready, units=F.transform("sections", lambda s: split_units(s["text"], None, config)))
-        ready = ready.withColumn("units", _fitting_units(F.col("units"), prefixes, config))
-        ready = ready.withColumn("spans", _counted_spans(F.col("units"), prefixes, config))
-    parts = F.arrays_zip("sections", "units", "spans")
+    ready = ready.withColumn("packed", packed(F.col("sections"), config))
     built = F.flatten(
         F.transform(
-            parts,
+            F.arrays_zip("sections", "packed"),
             lambda p: F.transform(
-                p["spans"],
+                p["packed"],
                 lambda x: F.struct(
                     p["sections"]["heading"].alias("section"), p["sections"]["section_index"].alias("section_index"),
-                    p["sections"]["page_number"].alias("page_number"),
-                    F.array_join(F.slice(p["units"], x["s"] + 1, x["e"] - x["s"]), " ").alias("packed"),
+                    p["sections"]["page_number"].alias("page_number"), x.alias("packed"),
                 ),
             ),
         )
@@ -187,10 +156,14 @@ def chunk_documents(docs: DataFrame, config: ChunkingConfig = ChunkingConfig(),
         each = each.withColumn("raw", F.when(F.col("is_clean"), F.col("raw")).otherwise(T.nfkc(F.col("raw"))))
     else:
         each = each.withColumn("raw", raw)
-    return computed(each, text=T.clean_text(F.col("raw"), normalize=False)).select(
+    each = computed(each, text=T.clean_text(F.col("raw"), normalize=False))
+    each = computed(each, word_count=T.word_count(F.col("text")))
+    tokens = config.tokens
+    words_told = isinstance(tokens, WordTokens)
+    n_tokens = F.col("word_count") * tokens.per_word + tokens.special if words_told else token_count(F.col("text"), tokens)
+    return each.select(
         *keys, T.chunk_id(F.col("source_url"), F.col("chunk_index")).alias("chunk_id"), "source_url", "title",
         F.col("c.section").alias("section"), T.is_faq(F.col("c.section")).alias("is_faq"),
         F.coalesce("c.section_index", F.lit(0)).alias("section_index"), F.col("c.page_number").alias("page_number"),
-        "chunk_index", "text", T.word_count(F.col("text")).alias("word_count"),
-        token_count(F.col("text"), config.tokens).alias("token_count"), T.content_hash(F.col("text")).alias("content_hash"),
+        "chunk_index", "text", "word_count", n_tokens.alias("token_count"), T.content_hash(F.col("text")).alias("content_hash"),
     )
