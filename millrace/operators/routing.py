@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans import kept
+
 UNSUPPORTED, CLARIFICATION = "unsupported", "clarification"
 
 
@@ -68,7 +70,9 @@ def _judged(embedding: Column, centres: np.ndarray) -> Column:
 
 def fit_router(labelled: DataFrame, id_col: str, params: RouteParams = RouteParams()) -> Router:
     """A router from ``labelled(id, embedding, label)``; null labels and empty vectors are left out."""
-    usable = labelled.where(F.col("label").isNotNull() & (F.size("embedding") > 0)).select(id_col, "embedding", F.col("label").cast("string").alias("label"))
+    # read several times, and filtered only then: encoders are asked once for each text
+    told = kept(labelled.select(id_col, "embedding", F.col("label").cast("string").alias("label")))
+    usable = told.where(F.col("label").isNotNull() & (F.size("embedding") > 0))
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(10))
     dimension = usable.agg(F.max(F.size("embedding")).alias("d")).first()["d"]
     if dimension is None:
@@ -86,10 +90,17 @@ def fit_router(labelled: DataFrame, id_col: str, params: RouteParams = RoutePara
     ).first()
     if facts["m"] is None:
         return Router(labels, centres, -1.0, 0.0)
-    limits = labelled.sparkSession.createDataFrame([(0.0,)] + [(float(x),) for x in facts["m"]], "limit_ double").distinct()
-    # every limit's accuracy at once: a row for each question and the limits it passes, summed where it is
-    passed = seen.crossJoin(F.broadcast(limits)).where(F.col("margin") >= F.col("limit_"))
-    rates = passed.groupBy("limit_").agg(F.avg(F.col("right").cast("double")).alias("a")).orderBy("limit_").collect()  # of ``steps``
+    limits = sorted({0.0, *map(float, facts["m"])})
+    # a row for each number of limits that a margin reaches; the accuracy at a limit is that of all that reach it
+    reached = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: F.col("margin") >= x))
+    counts = {r["n"]: r for r in seen.groupBy(reached.alias("n")).agg(F.count("*").alias("all"), F.count_if("right").alias("ok")).collect()}
+    rates, passed, right_ = [], 0, 0
+    for n in range(len(limits), 0, -1):
+        if n in counts:
+            passed, right_ = passed + counts[n]["all"], right_ + counts[n]["ok"]
+        if passed:
+            rates.append({"limit_": limits[n - 1], "a": right_ / passed})
+    rates.reverse()
     enough = [r["limit_"] for r in rates if r["a"] >= params.accuracy]
     margin = min(enough) if enough else max(rates, key=lambda r: (r["a"], -r["limit_"]))["limit_"]
     return Router(labels, centres, float(facts["s"]) if facts["s"] is not None else -1.0, float(margin))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any, Protocol
 
 import numpy as np
@@ -25,6 +26,26 @@ class Encoder(Protocol):
     def encode(self, texts: list[str], **options: Any) -> np.ndarray: ...
 
 
+class _Places(dict):
+    """The component of each word, those that count against it after all others; words seen are remembered, in bounds."""
+
+    MOST = 200_000
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        if len(self) >= self.MOST:
+            self.clear()
+        place = self[word] = h % self.dimension + (0 if h >> 63 else self.dimension)
+        return place
+
+
+_places = lru_cache(maxsize=4)(_Places)  # for each worker process
+
+
 class HashingEncoder:
     """A deterministic encoder: signed hashed words, scaled to unit length."""
 
@@ -33,10 +54,10 @@ class HashingEncoder:
 
     def encode(self, texts: list[str], normalize_embeddings: bool = True, **_: Any) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), np.float32)
+        place = _places(self.dimension).__getitem__
         for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                row[h % self.dimension] += 1 if h >> 63 else -1
+            counts = np.bincount(np.fromiter(map(place, text.lower().split()), np.int64), minlength=2 * self.dimension)
+            row[:] = counts[: self.dimension] - counts[self.dimension :]
             if normalize_embeddings and (n := np.linalg.norm(row)):
                 row /= n
         return out

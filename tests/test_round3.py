@@ -46,3 +46,55 @@ def test_plain_texts_do_not_reach_python(spark):
     plan = texts.select(T.nfkc(F.col("t")), T.fold(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     sent = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
     assert sent and all("normalize(t#" not in line and "casefold(t#" not in line for line in sent)
+
+
+class Noted:
+    """Notes what it is asked for."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def encode(self, texts, **_):
+        import numpy as np
+
+        with open(self.path, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return np.array([[1.0, len(t)] for t in texts], np.float32)
+
+
+def test_questions_are_encoded_once(spark, tmp_path):
+    from millrace.operators import routing, search
+
+    rows = [(k, "x" * (1 + k), "ab"[k % 2]) for k in range(60)]
+    labelled = search.embed_chunks(spark.createDataFrame(rows, "id long, text string, label string"), Noted(str(tmp_path / "asked")))
+    routing.fit_router(labelled, "id")
+    assert sorted((tmp_path / "asked").read_text().split()) == sorted(t for _, t, _ in rows)
+
+
+def test_hashing_encoder_is_what_it_was():
+    import hashlib
+
+    import numpy as np
+
+    from millrace.operators.search import HashingEncoder
+
+    texts = ["", "a b a", "The thing AND the other", "ünï çödé x" * 3]
+    for row, text in zip(HashingEncoder(16).encode(texts), texts):
+        told = np.zeros(16, np.float32)
+        for word in text.lower().split():
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            told[h % 16] += 1 if h >> 63 else -1
+        n = np.linalg.norm(told)
+        assert (row == (told / n if n else told)).all()
+
+
+def test_words_are_encoded_once():
+    import public_tokenizers
+
+    from millrace.config import TokenizerFile, count_tokens
+    from millrace.functions.tokens import text_encoder
+
+    tokens = TokenizerFile(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", "A plain text, of words.", "x\x1cy  z\n\nÉÀ 3.14 <|endoftext|> it's", "हिन्दी ﬁ Σ İ 中文"] * 2
+    assert [count_tokens(tokens, t) for t in texts] == [len(tokens.encode(t)) for t in texts]
+    assert "plain" in text_encoder(tokens.path).words
