@@ -16,7 +16,8 @@ is not looked at.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -36,7 +37,7 @@ from millrace.session import ship_package
 
 #: Letters and digits of any script make words.
 WORD = re.compile(r"[^\W_]+")
-#: Postings of a block at most, beside its number of documents; about 100 bytes each while it is made.
+#: Postings of a block at most, beside its number of documents; about 50 bytes each while it is made.
 BLOCK_POSTINGS = 500_000
 #: Row groups of the postings' files, of which a query reads those that have its terms.
 ROW_GROUP_BYTES = 4 << 20
@@ -101,40 +102,43 @@ def build_index(
     schema = f"term string, block long, n long, most int, least int, docs array<{kind}>, frequencies array<int>, lengths array<int>"
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, n_docs, n_postings, id_type = TaskContext.get().partitionId() << 32, 0, 0, None
-        held: dict[str, tuple[list, list[int], list[int]]] = {}
+        block, id_type = TaskContext.get().partitionId() << 32, None
+        places: defaultdict[str, int] = defaultdict()  # of the block's terms, in the order in which they came
+        places.default_factory = places.__len__
+        ids: list = []  # of the block's documents
+        held, frequencies, n_terms, n_words = (array("i") for _ in range(4))  # two for each posting, two for each document
 
         def rows() -> pa.RecordBatch:
-            lists = list(held.values())
-            sizes = np.array([len(x[0]) for x in lists])
+            terms, per_doc = np.array(held), np.array(n_terms)
+            order = np.argsort(terms, kind="stable")
+            sizes = np.bincount(terms)
             starts = np.concatenate(([0], np.cumsum(sizes)))
-            flat = [list(chain.from_iterable(x[k] for x in lists)) for k in range(3)]
-            most, least = (f.reduceat(np.array(flat[k]), starts[:-1]) for f, k in ((np.maximum, 1), (np.minimum, 2)))
-            arrays = [pa.array(x, t) for x, t in zip(flat, (id_type, pa.int32(), pa.int32()))]
+            counts, lengths = np.array(frequencies)[order], np.repeat(np.array(n_words), per_doc)[order]
+            docs_ = pa.array(ids, id_type).take(pa.array(np.repeat(np.arange(len(ids)), per_doc)[order]))
             made = [
-                pa.array(list(held), pa.string()), pa.array(np.full(len(lists), block), pa.int64()), pa.array(sizes, pa.int64()),
-                pa.array(most, pa.int32()), pa.array(least, pa.int32()),
-                *[pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for x in arrays],
+                pa.array(list(places), pa.string()), pa.array(np.full(len(sizes), block), pa.int64()), pa.array(sizes, pa.int64()),
+                pa.array(np.maximum.reduceat(counts, starts[:-1]), pa.int32()), pa.array(np.minimum.reduceat(lengths, starts[:-1]), pa.int32()),
+                *[pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x) for x in (docs_, pa.array(counts, pa.int32()), pa.array(lengths, pa.int32()))],
             ]
-            held.clear()
+            places.clear()
+            ids.clear()
+            for part in (held, frequencies, n_terms, n_words):
+                del part[:]
             return pa.RecordBatch.from_arrays(made, columns)
 
         for batch in batches:
             id_type = batch.column("doc").type
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 words = keywords(text)
-                for term, n in Counter(words).items():
-                    lists = held.get(term)
-                    if lists is None:
-                        lists = held[term] = ([], [], [])
-                    lists[0].append(doc)
-                    lists[1].append(n)
-                    lists[2].append(len(words))
-                    n_postings += 1
-                n_docs += 1
-                if held and (n_docs >= params.block_rows or n_postings >= BLOCK_POSTINGS):
+                found = Counter(words)
+                held.extend(map(places.__getitem__, found))
+                frequencies.extend(found.values())
+                ids.append(doc)
+                n_terms.append(len(found))
+                n_words.append(len(words))
+                if held and (len(ids) >= params.block_rows or len(held) >= BLOCK_POSTINGS):
                     yield rows()
-                    block, n_docs, n_postings = block + 1, 0, 0
+                    block += 1
         if held:
             yield rows()
 
