@@ -98,3 +98,13 @@ def test_words_are_encoded_once():
     texts = ["", "A plain text, of words.", "x\x1cy  z\n\nÉÀ 3.14 <|endoftext|> it's", "हिन्दी ﬁ Σ İ 中文"] * 2
     assert [count_tokens(tokens, t) for t in texts] == [len(tokens.encode(t)) for t in texts]
     assert "plain" in text_encoder(tokens.path).words
+
+
+def test_lines_are_trimmed_without_a_regex(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import text as T
+
+    plan = spark.createDataFrame([("x",)], "t string").select(T.trim_ws(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+    assert set(T.SPACES) == {c for c in map(chr, range(0x110000)) if c.isspace()}
