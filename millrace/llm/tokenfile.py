@@ -194,8 +194,7 @@ def write_token_files(
             out.close()
             row = {"part": part, "path": name, "ids": writer.n_ids, "docs": writer.n_docs}
             yield pa.RecordBatch.from_pylist([row], FILE_ROW)
-        encoder.words.clear()  # idle workers keep nothing
-        release()
+        release()  # but not of the words, which are bounded, and would each be encoded again by every task
 
     placed = docs.select(
         F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
