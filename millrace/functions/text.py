@@ -38,7 +38,9 @@ class Rule:
 
     @property
     def python_regex(self) -> str:
-        return self.regex.replace(DIGIT, r"\d")
+        """For Python, where letters of either case are those of ASCII alone, as in Java, but words those of any script."""
+        body = self.regex.removeprefix("(?i)").replace(DIGIT, r"(?u:\d)").replace(r"\b", r"(?u:\b)")
+        return f"(?ai:{body})"
 
 
 @dataclass(frozen=True)
@@ -178,18 +180,25 @@ def clean_text(text: Column, rules: tuple[Rule, ...] = RULES, normalize: bool =
 def clean_text_py(text: str, rules: tuple[Rule, ...] = RULES) -> str:
     """``clean_text`` for kernels that are in Python anyway."""
     text = unicodedata.normalize("NFKC", text).replace("\xa0", " ").replace("\x00", "")
-    seen: dict[str, None] = {}
-    for raw in re.split(r"\r\n|\r|\n", text):
-        line = re.sub("[ \t]+", " ", raw).strip()
-        if re.search(MARKERS, line):
-            for rule in rules:
-                line = re.sub(rule.python_regex, rule.replacement, line)
-        line = re.sub("[ \t]+", " ", line).strip(" |-")
-        if line:
-            seen.setdefault(line)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "\t" in text or "  " in text:
+        text = re.sub("\t[ \t]*| [ \t]+", " ", text)
+    lines = map(str.strip, text.split("\n"))
+    low = text.lower()
+    if rules and any(hint in low for hint in HINTS):
+        lines = [_ruled(line, rules) if re.search(MARKERS, line) else line for line in lines]
+    seen = dict.fromkeys(line.strip(" |-") for line in lines)
+    seen.pop("", None)
     return "\n".join(seen)
 
 
+def _ruled(line: str, rules: tuple[Rule, ...]) -> str:
+    for rule in rules:
+        line = re.sub(rule.python_regex, rule.replacement, line)
+    return re.sub("[ \t]+", " ", line)
+
+
 def split_lines(text: Column) -> Column:
     """Lines at any line boundary, trimmed, without the empty ones."""
     return F.filter(F.transform(F.split(text, LINE_ENDS), trim_ws), lambda x: x != "")
@@ -263,6 +272,14 @@ def is_heading(line: Column) -> Column:
     return n.between(1, 12) & (F.length(line) <= 120) & (shaped | is_upper(line))
 
 
+def is_heading_py(line: str) -> bool:
+    """``is_heading`` of a line of ``split_lines_py``, for kernels that are in Python anyway."""
+    if not line or len(line) > 120 or len(line.split()) > 12:
+        return False
+    shaped = (line[-1] == "?" and len(line) > 1) or (line.startswith(HEADING_STARTS) and line not in HEADING_STARTS)
+    return shaped or (line.upper() == line and line.lower() != line)
+
+
 @lru_cache(maxsize=1)
 def folded_otherwise() -> str:
     """A class of characters in which are all letters that lower-casing alone does not fold, or folds by context.

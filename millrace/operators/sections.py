@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,32 +23,36 @@ def line_sections(pages: DataFrame, keys: list[str], text_col: str = "text", pag
     """(keys, heading, text, page_number, section_index) from the text of numbered pages.
 
     Heading lines part sections and do not reach over pages; of several in a row the last one counts; sections
-    without text after cleaning are dropped and not numbered. Window functions over lines do all of it.
+    without text after cleaning are dropped and not numbered. A page is cut where it is read, and only its sections are
+    shuffled, once, to be numbered.
     """
     ship_package(pages.sparkSession)
-    lines = pages.select(*keys, page_col, F.posexplode(T.split_lines(F.col(text_col))).alias("pos", "line"))
-    of_page = Window.partitionBy(*keys, page_col).orderBy("pos")
-    flagged = lines.withColumn("is_heading", T.is_heading(F.col("line"))).withColumn(
-        "part", F.sum(F.col("is_heading").cast("int")).over(of_page.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    body = F.transform(
-        F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("pos", "line")))), lambda x: x["line"]
-    )
-    grouped = flagged.groupBy(*keys, page_col, "part").agg(
-        F.max(F.when(F.col("is_heading"), F.col("line"))).alias("heading"), F.array_join(body, "\n").alias("text")
-    )
-    heading = F.coalesce(T.clean_text(F.col("heading")), F.lit(""))
-    cleaned = grouped.select(
-        *keys, page_col, "part", F.when(T.has_share_text(heading), "").otherwise(heading).alias("heading"),
-        T.clean_text(F.col("text")).alias("text"),
-    ).where("text <> ''")
-    order = Window.partitionBy(*keys).orderBy(page_col, "part")
-    return cleaned.select(
-        *keys, "heading", "text", F.col(page_col).cast("int").alias("page_number"),
-        (F.row_number().over(order) - 1).alias("section_index"),
+
+    @F.pandas_udf("array<struct<heading:string,text:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else [{"heading": h, "text": x} for h, x in _page_sections(t)])
+
+    placed = pages.select(*keys, page_col, F.monotonically_increasing_id().alias("place"), cut(F.col(text_col)).alias("cut"))
+    each = placed.select(*keys, page_col, "place", F.posexplode("cut").alias("part", "s"))
+    order = Window.partitionBy(*keys).orderBy(page_col, "place", "part")
+    return each.select(
+        *keys, F.when(T.has_share_text(F.col("s.heading")), "").otherwise(F.col("s.heading")).alias("heading"), "s.text",
+        F.col(page_col).cast("int").alias("page_number"), (F.row_number().over(order) - 1).alias("section_index"),
     )
 
 
+def _page_sections(text: str) -> Iterator[tuple[str, str]]:
+    """(heading, text) of the sections of a page, cleaned, without those that have no text."""
+    heading, body = "", []
+    for line in [*T.split_lines_py(text), None]:
+        if line is not None and not T.is_heading_py(line):
+            body.append(line)
+            continue
+        if body and (cleaned := T.clean_text_py("\n".join(body))):
+            yield T.clean_text_py(heading), cleaned
+        heading, body = line, []
+
+
 def document_sections(docs: DataFrame) -> DataFrame:
     """``docs`` with ``sections`` by shape: of html if there is any, else its sections as they are, else its text.
 
