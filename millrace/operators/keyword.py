@@ -2,8 +2,8 @@
 
 The index has three tables. ``postings`` has a row for each term and block of documents: their ids, frequencies and
 lengths as arrays, and the greatest frequency and least length among them, which bound every score of the row. A block is
-some documents that stand together, and its rows are made where these are read, so building shuffles neither texts nor
-postings. ``terms`` has a term's number of documents and the bounds over all its rows, ``totals`` one row on the
+some documents that stand together, and its rows are made where these are read, so building shuffles no postings, and texts
+only where files give a task too many of them. ``terms`` has a term's number of documents and the bounds over all its rows, ``totals`` one row on the
 collection. Terms are dealt over folders by their hash, and files are sorted by term, so a query reads the folders of its
 terms alone, and of these the row groups that have them. Texts are never read at query time.
 
@@ -39,6 +39,8 @@ from millrace.session import ship_package
 WORD = re.compile(r"[^\W_]+")
 #: Postings of a block at most, beside its number of documents; about 50 bytes each while it is made.
 BLOCK_POSTINGS = 500_000
+#: Bytes of text of which a task makes and sorts the postings; about nine times as much memory.
+TASK_BYTES = 32 << 20
 #: Row groups of the postings' files, of which a query reads those that have its terms.
 ROW_GROUP_BYTES = 4 << 20
 #: Scores are rounded to this many places, so that they do not depend on the order of sums.
@@ -87,6 +89,15 @@ def _folder(term: Column, params: Bm25) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(params.folders)).cast("int")
 
 
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` as they are read, if no partition has more text than a task is to sort; else dealt by their ids."""
+    size = F.sum(F.coalesce(F.octet_length(text_col), F.lit(0))).alias("size")
+    found = docs.groupBy(F.spark_partition_id()).agg(size).agg(F.max("size").alias("most"), F.sum("size").alias("all")).first()
+    if (found["most"] or 0) <= TASK_BYTES:
+        return docs
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-found["all"] // TASK_BYTES)), id_col)
+
+
 def build_index(
     docs: DataFrame, id_col: str, text_col: str = "text", params: Bm25 = Bm25(), tables: Tables | None = None
 ) -> KeywordIndex:
@@ -143,7 +154,8 @@ def build_index(
             yield rows()
 
     named = docs.where(F.col(id_col).isNotNull())
-    inverted = named.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(invert, schema)
+    texts = _dealt(named.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "doc", "text")
+    inverted = texts.mapInArrow(invert, schema)
     postings = inverted.withColumn("folder", _folder(F.col("term"), params)).sortWithinPartitions("folder", "term", "block")
     written = tables.write(postings, "postings", ["folder"], **{"parquet.block.size": ROW_GROUP_BYTES})
     terms = written.groupBy("folder", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.min("least").alias("least"))
