@@ -104,8 +104,10 @@ def manifest(index: DataFrame, source_file: str, embedding_model: str, index_fil
     )
 
 
-#: Queries and vectors of a block: a pair of blocks is one matrix product of 1024 by 4096 doubles.
+#: Queries and vectors of a block: a pair of blocks is a matrix product of 1024 by 4096 doubles, made in slices.
 QUERY_ROWS, VECTOR_ROWS = 1024, 4096
+#: Queries of a block whose scores are held at once.
+SLICE_ROWS = 64
 
 
 def _blocks(rows: DataFrame, id_col: str, names: tuple[str, str, str], size: int, within: list[str]) -> DataFrame:
@@ -128,6 +130,15 @@ def _blocks(rows: DataFrame, id_col: str, names: tuple[str, str, str], size: int
     )
 
 
+def best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best; of those as good as the last, the first, as a block is in the order of its ids."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    limit = np.partition(scores, -k)[-k]
+    better = np.nonzero(scores > limit)[0]
+    return np.concatenate((better, np.nonzero(scores == limit)[0][: k - len(better)]))
+
+
 def nearest(
     queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, k: int, same: bool = True, within: str | None = None
 ) -> DataFrame:
@@ -144,12 +155,6 @@ def nearest(
     v = _blocks(vectors, vector_id, ("vs", "vv", "vd"), VECTOR_ROWS, keys)
     kinds = (dict(queries.dtypes)[query_id], dict(vectors.dtypes)[vector_id])
 
-    def best_of(scores: np.ndarray) -> np.ndarray:
-        """Places of the best, and of all that are as good as the last of them."""
-        if len(scores) <= k:
-            return np.arange(len(scores))
-        return np.nonzero(scores >= np.partition(scores, -k)[-k])[0]
-
     @F.pandas_udf(f"array<struct<q:{kinds[0]},v:{kinds[1]},score:double>>")
     def compare(qs: pd.Series, qv: pd.Series, vs: pd.Series, vv: pd.Series) -> pd.Series:
         out = []
@@ -159,17 +164,16 @@ def nearest(
             if left.shape[1] != right.shape[1]:
                 out.append([])
                 continue
-            scores = np.round(left @ right.T, 12)  # so that equal vectors have equal scores in every block
-            scores[~np.isfinite(scores)] = -np.inf  # vectors with null or infinite components are near to none
             place = {name: i for i, name in enumerate(b)} if not same else {}
             rows = []
-            for i, name in enumerate(a):
-                if name in place:
-                    scores[i, place[name]] = -np.inf
-                rows += [
-                    {"q": name, "v": b[j], "score": float(scores[i, j])}
-                    for j in best_of(scores[i]).tolist() if scores[i, j] > -np.inf
-                ]
+            for begin in range(0, len(a), SLICE_ROWS):
+                part = left[begin : begin + SLICE_ROWS]
+                scores = np.round(part @ right.T, 12)  # so that equal vectors have equal scores in every block
+                scores[~np.isfinite(scores)] = -np.inf  # vectors with null or infinite components are near to none
+                for name, row in zip(a[begin:], scores):
+                    if name in place:
+                        row[place[name]] = -np.inf
+                    rows += [(name, b[j], float(row[j])) for j in best_of(row, k).tolist() if row[j] > -np.inf]
             out.append(rows)
         return pd.Series(out, dtype=object)
 
